@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pieces, wavelet
+from tidemark.llm import langid, mixing, pieces, quality, wavelet
 from tidemark.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,9 +22,52 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_wavelet_shards, op4_sentencepiece)}
+    return {f.__name__: f for f in (op2_wavelet_shards, op4_sentencepiece, op5_language_id, op7_quality_rules, op9_source_mixing)}
+
+
+MIXING_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS u
+  FROM documents),
+own AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+ranked AS (
+  SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, (3 * source_size)::DOUBLE AS cap FROM own),
+levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM own)::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam
+  FROM ranked),
+lam AS (SELECT lam FROM levels WHERE lam <= cap / w ORDER BY cap / w, source ASC NULLS LAST LIMIT 1),
+goal AS (
+  SELECT source, source_size, least(cap, (SELECT lam FROM lam) * w) AS target,
+         CASE WHEN source_size > 0 THEN floor(least(cap, (SELECT lam FROM lam) * w) / source_size) ELSE 0 END::BIGINT AS copies
+  FROM levels),
+ties AS (SELECT source, u, sum(size)::BIGINT AS n FROM rows GROUP BY source, u),
+run AS (SELECT source, u, n, sum(n) OVER (PARTITION BY source ORDER BY u) AS upto FROM ties),
+edge AS (
+  SELECT run.source, arg_min(u, u) AS u, arg_min(upto, u) AS upto, arg_min(upto - n, u) AS below, any_value(target - copies * source_size) AS rest
+  FROM run JOIN goal ON run.source IS NOT DISTINCT FROM goal.source WHERE upto > target - copies * source_size GROUP BY run.source),
+cuts AS (
+  SELECT goal.*, CASE WHEN edge.u IS NULL THEN 1152921504606846976 ELSE edge.u + (edge.upto - edge.rest < edge.rest - edge.below)::BIGINT END AS cut
+  FROM goal LEFT JOIN edge ON goal.source IS NOT DISTINCT FROM edge.source)
+SELECT doc_id, size, source_size, target, (size * (copies + (u < cut)::BIGINT))::BIGINT AS taken
+FROM rows JOIN cuts ON rows.source IS NOT DISTINCT FROM cuts.source
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mixing": MIXING_SQL}
