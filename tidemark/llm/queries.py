@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, mixing, neardup, pieces, quality, urlrules, wavelet
+from tidemark.llm import chat, jaccard, langid, linededup, mixing, neardup, pieces, quality, urlrules, wavelet
 from tidemark.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -31,6 +31,10 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), WORDS, end_id=2))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), PIECES)
 
@@ -55,6 +59,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
@@ -75,6 +83,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM esc GROUP BY conv_id
 """
 
+LINES_SQL = r"""
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM cut),
+long_lines AS (SELECT * FROM lines WHERE length(line) >= 20),
+seen AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS place FROM long_lines GROUP BY line),
+sides AS (SELECT *, unnest([n, n - 1]) AS m FROM seen),
+pairs AS (
+  SELECT a.line AS line FROM sides a JOIN sides b ON a.m = b.m AND left(a.line, a.m // 2) = left(b.line, b.m // 2)
+  WHERE b.place < a.place AND a.line <> b.line AND levenshtein(a.line, b.line) <= 1
+  UNION
+  SELECT a.line FROM sides a JOIN sides b ON a.m = b.m AND right(a.line, a.m - a.m // 2) = right(b.line, b.m - b.m // 2)
+  WHERE b.place < a.place AND a.line <> b.line AND levenshtein(a.line, b.line) <= 1),
+gone AS (
+  SELECT l.doc_id, l.line_no FROM long_lines l JOIN seen s ON l.line = s.line LEFT JOIN pairs p ON l.line = p.line
+  WHERE p.line IS NOT NULL OR row(l.doc_id, l.line_no) <> s.place),
+left_over AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text, count(*) AS n
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no WHERE g.doc_id IS NULL GROUP BY l.doc_id)
+SELECT cut.doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, (coalesce(len(parts), 0) - coalesce(n, 0))::BIGINT AS n_dropped,
+       CASE WHEN cut.text IS NOT NULL THEN coalesce(left_over.text, '') END AS text
+FROM cut LEFT JOIN left_over ON cut.doc_id = left_over.doc_id
+"""
+
 MIXING_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -107,4 +138,4 @@ FROM rows JOIN cuts ON rows.source IS NOT DISTINCT FROM cuts.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT_SQL, "op9_source_mixing": MIXING_SQL}
+    return {"op1_chat_format": CHAT_SQL, "op9_source_mixing": MIXING_SQL, "op10_line_dedup": LINES_SQL}
