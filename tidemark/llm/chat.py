@@ -65,14 +65,18 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     ids = own.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"))
     own = own.join(ids, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_up") == F.col("_m")), "left").drop("_c", "_up").withColumnRenamed("_m", "_up")
     # Jump table k: the message 2**k replies up, with how many messages and how much score the jump passes.
-    jumps = [save(own.withColumn("_n", F.lit(1).cast("long")))]
-    while jumps[-1].filter("_up is not null").limit(1).count():
-        low = jumps[-1]
-        high = low.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), F.col("_up").alias("_up2"), F.col("_score").alias("_s2"), F.col("_n").alias("_n2"))
-        both = low.join(high, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_up") == F.col("_m")), "left")
-        jumps.append(save(both.select("conv_id", "msg_id", F.col("_up2").alias("_up"), (F.col("_score") + F.coalesce("_s2", F.lit(0.0))).alias("_score"), (F.col("_n") + F.coalesce("_n2", F.lit(0))).alias("_n"))))
+    # Messages whose jump leaves the tree are done and take no part in later rounds.
+    jumps, done = [save(own.withColumn("_n", F.lit(1).cast("long")))], None
+    while True:
+        low, over = jumps[-1].filter("_up is not null"), jumps[-1].filter("_up is null")
+        done = over if done is None else done.unionByName(over)
+        if low.isEmpty():
+            break
+        high = done.unionByName(low).select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), F.col("_up").alias("_up2"), F.col("_score").alias("_s2"), F.col("_n").alias("_n2"))
+        both = low.join(high, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_up") == F.col("_m")))
+        jumps.append(save(both.select("conv_id", "msg_id", F.col("_up2").alias("_up"), (F.col("_score") + F.col("_s2")).alias("_score"), (F.col("_n") + F.col("_n2")).alias("_n"))))
     parents = jumps[0].filter("_up is not null").select(F.col("conv_id").alias("_c"), F.col("_up").alias("_m"))
-    total = jumps[-1].select("conv_id", F.col("msg_id").alias("leaf_id"), F.col("_score").alias("branch_score"), F.col("_n").alias("depth"))
+    total = done.select("conv_id", F.col("msg_id").alias("leaf_id"), F.col("_score").alias("branch_score"), F.col("_n").alias("depth"))
     leaves = total.join(parents, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("leaf_id") == F.col("_m")), "left_anti")
     if branches is None:
         leaves = leaves.withColumn("rank", F.lit(None).cast("int"))
