@@ -23,7 +23,7 @@ def solve_homography(source: list[tuple[float, float]], target: list[tuple[float
     for (x, y), (u, v) in zip(source, target, strict=True):
         rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
         right += [u, v]
-    return [*np.linalg.solve(np.array(rows, float), np.array(right, float)), 1.0]
+    return [*map(float, np.linalg.solve(np.array(rows, float), np.array(right, float))), 1.0]
 
 
 def joint_angle(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:

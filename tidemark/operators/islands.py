@@ -97,4 +97,5 @@ def layout(df: DataFrame, keys: list[str], gap: float) -> DataFrame:
     w = _running(keys, "start", "end")
     length = F.col("end") - F.col("start")
     at = F.coalesce(F.sum(length + gap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("double"))
-    return df.withColumns({"idx": F.row_number().over(w) - 1, "out_start": at, "out_end": at + length, "pause": F.greatest(F.lead("start").over(w) - F.col("end"), F.lit(0).cast("double"))})
+    pause = F.when(F.lead("start").over(w).isNotNull(), F.greatest(F.lead("start").over(w) - F.col("end"), F.lit(0).cast("double")))
+    return df.withColumns({"idx": F.row_number().over(w) - 1, "out_start": at, "out_end": at + length, "pause": pause})

@@ -6,18 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import aggregates, bookkeeping, decoding, joins, sequences
+from tidemark.queries import aggregates, bookkeeping, decoding, joins, live, sequences
 
-_MODULES = (sequences, joins, aggregates, decoding, bookkeeping)
+_MODULES = (sequences, joins, aggregates, decoding, bookkeeping, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.SQL.items()}
-
-
-def _modules() -> tuple:
-    return _MODULES
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
