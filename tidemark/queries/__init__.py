@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import aggregates, bookkeeping, decoding, joins, live, sequences
+from tidemark.queries import aggregates, bookkeeping, decoding, joins, live, motions, sequences
 
-_MODULES = (sequences, joins, aggregates, decoding, bookkeeping, live)
+_MODULES = (sequences, joins, aggregates, decoding, bookkeeping, live, motions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
