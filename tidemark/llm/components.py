@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop_saved, save
 
+#: Edges a task of a step handles; a step over few edges runs in few tasks.
+TASK_EDGES = 250_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a long, b long).
@@ -16,22 +19,24 @@ def components(edges: DataFrame) -> DataFrame:
     null end, loops and repeated edges change nothing.
     """
     tidy = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    now, mark = save(tidy(edges)), None
+    look = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    now = save(tidy(edges))
+    mark = look(now)
     while True:
+        few = lambda df: df.coalesce(1 + mark["n"] // TASK_EDGES)  # noqa: B023, E731
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         # Large star: the larger neighbours of a node go to its smallest neighbour or itself.
-        large = save(tidy(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        large = save(few(tidy(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         # Small star: a node and its smaller neighbours go to the smallest of them.
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = save(tidy(small.unionByName(down.select("a", F.col("m").alias("b")))))
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = save(few(tidy(small.unionByName(down.select("a", F.col("m").alias("b"))))))
         drop_saved(large)
         drop_saved(now)
-        now = after
+        now, seen = after, look(after)
         if seen == mark:
             break
         mark = seen
     roots = now.select("b").distinct()
-    return save(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component"))))
+    return save(few(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))))
