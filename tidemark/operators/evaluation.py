@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.intervals import interval_iou, overlap
+from tidemark.functions.intervals import interval_iou
 from tidemark.operators.islands import coalesce_intervals, union_length
 from tidemark.operators.ranges import overlap_pairs
 
@@ -91,5 +91,3 @@ def coverage(predicted: DataFrame, gold: DataFrame, keys: list[str], width: floa
     out = out.fillna(0, ["kept", "gold", "both"])
     return out.withColumn("dead", F.greatest(F.col("kept") - F.col("both"), F.lit(0)))
 
-
-__all__ = ["best_assignment", "coverage", "matched", "overlap", "scores"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import TINY
 from tidemark.operators import folds, islands
+from tidemark.operators.ranges import band_semi
 
 HANDS = ("left", "right")
 COURT_LENGTH, COURT_WIDTH = 23.77, 10.97
@@ -199,8 +200,6 @@ def _median(items: Column, field: str) -> Column:
 def stroke_proposals(pose: DataFrame, serve_times: DataFrame, keys: list[str], c: Thresholds = Thresholds()) -> DataFrame:
     """Every row whose wrist goes back, forward and through: actor, ms, action, hand, confidence and the measures.
     Rows within serve_mask of a serve (keys, ms) are left out, as are actors with fewer than five rows."""
-    from tidemark.operators.ranges import band_semi
-
     w = _frames(keys)
     own = Window.partitionBy(*keys, "actor_id")
     rows = pose.withColumn("_rows", F.count("*").over(own)).filter("_rows >= 5").drop("_rows")
@@ -210,7 +209,7 @@ def stroke_proposals(pose: DataFrame, serve_times: DataFrame, keys: list[str], c
     rows = rows.withColumns({f"{h}_s{a}": F.percentile(F.when(seen[h], F.col(f"{h}_{a}")), F.lit(0.5)).over(smooth) for h in HANDS for a in "xy"})
     order = own.orderBy("ms")
     pre, post = w(-c.stroke_pre, -80), w(80, c.stroke_post)
-    made = {"_npre": F.count("*").over(pre), "_npost": F.count("*").over(post)}
+    made = {}
     for h in HANDS:
         x, y = F.col(f"{h}_sx"), F.col(f"{h}_sy")
         at = F.when(x.isNotNull(), F.struct(F.col("ms").alias("ms"), x.alias("x"), y.alias("y")))
@@ -221,7 +220,7 @@ def stroke_proposals(pose: DataFrame, serve_times: DataFrame, keys: list[str], c
         back = speed(F.col("ms") - F.lag("ms").over(order), x - F.lag(x).over(order), y - F.lag(y).over(order))
         ahead = speed(F.lead("ms").over(order) - F.col("ms"), F.lead(x).over(order) - x, F.lead(y).over(order) - y)
         made |= {f"{h}_pre": F.sort_array(F.collect_list(at).over(pre)), f"{h}_post": F.collect_list(at).over(post), f"{h}_v": F.coalesce(F.greatest(back, ahead), F.lit(0.0)), f"{h}_el": F.percentile(F.col(f"{h}_elbow"), F.lit(0.5)).over(pre)}
-    rows = rows.withColumns(made).filter("_npre > 0 and _npost > 0")
+    rows = rows.withColumns(made)
     masks = serve_times.select(*keys, F.col("ms").alias("_sv"))
     # Serves are the points, rows the bands around themselves; without keys a constant stands in for one.
     tag = keys or ["_k"]
@@ -231,7 +230,7 @@ def stroke_proposals(pose: DataFrame, serve_times: DataFrame, keys: list[str], c
     rows = rows.withColumn("_id", id_col)
     rows = band_semi(rows, "_id", masks, tag, "_sv", F.col("ms") - c.serve_mask, F.col("ms") + c.serve_mask, 4.0 * c.serve_mask, anti=True).drop("_id", "_k")
     hand = _hands(rows, ["over", "x", "y", "speed", "elbow", "sx", "sy", "pre", "post", "v", "el"])
-    hand = hand.filter(F.col("sx").isNotNull() & (F.size("pre") >= 2) & (F.size("post") > 0) & F.col("elbow").isNotNull())
+    whole = F.col("sx").isNotNull() & (F.size("pre") >= 2) & (F.size("post") > 0) & F.col("elbow").isNotNull()
     half = F.greatest(F.lit(1), F.floor(F.size("pre") / 2).cast("int"))
     early, loaded = F.slice("pre", F.lit(1), half), F.slice("pre", half + 1, F.size("pre"))
     hand = hand.withColumns({f"{n}{a}": _median(v, a) for n, v in (("e", early), ("l", loaded), ("a", F.col("post"))) for a in "xy"})
@@ -260,10 +259,11 @@ def stroke_proposals(pose: DataFrame, serve_times: DataFrame, keys: list[str], c
     }
     action = F.when(overhead, "overhead").when(compact, "compact").when(ground, "ground")
     score = F.least(F.greatest(_weigh(STROKE_WEIGHTS, parts), F.lit(0.0)), F.lit(0.99))
-    hand = hand.withColumns({"action": action, "_raw": score}).filter(F.col("action").isNotNull() & (F.col("_raw") >= c.stroke_score))
+    hand = hand.withColumns({"action": F.when(whole & (score >= c.stroke_score), action), "_raw": score})
+    # The condition stands above the ranking: pushed below it, it would repeat all the expressions it is made of.
     motion = g("backswing") + g("forward") + g("follow") + g("through")
-    best = Window.partitionBy(*keys, "actor_id", "ms").orderBy(g("_raw").desc(), motion.desc(), "hand_no")
-    hand = hand.withColumn("_best", F.row_number().over(best)).filter("_best = 1")
+    best = Window.partitionBy(*keys, "actor_id", "ms").orderBy(g("action").isNull(), g("_raw").desc(), motion.desc(), "hand_no")
+    hand = hand.withColumn("_best", F.row_number().over(best)).filter("_best = 1 and action is not null")
     return hand.select(*keys, "actor_id", "ms", "actor_end", "action", "hand", F.bround("_raw", 4).alias("confidence"), *(F.bround(n, 4).alias(n) for n in ("backswing", "forward", "follow", "through", "prep_cos", "follow_cos")), F.bround("v", 4).alias("speed"), F.bround("gain", 2).alias("gain"))
 
 
