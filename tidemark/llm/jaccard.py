@@ -2,8 +2,8 @@
 
 Two sets of similarity t and more share, in the first |x| - ceil(t|x|) + l tokens of any global order, at
 least l tokens. Every document picks its own l: its prefix is lengthened while the estimated work (postings
-to read, and candidates to verify, which fall with l) gets less; a pair then has to share the smaller of
-the two l before it is verified. The order puts rare shingles first, by a sketch of their counts over all
+to read, and candidates to verify, which fall with l) gets less. How many tokens a pair has to share before
+it is verified follows from both prefixes and sizes: the longer the prefixes, the more. The order puts rare shingles first, by a sketch of their counts over all
 documents: a fixed-size array, which is also what the cost estimate reads.
 
 Steps: equal sets become one node. Every posting list is sorted and each node's most frequent
@@ -21,11 +21,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import save, text_slices
+from tidemark.llm.common import drop_saved, save, text_slices
 from tidemark.llm.components import components
 
 #: Count sketch: rows x counters (8 MB as 32-bit numbers, whatever the input), sent in blocks.
@@ -36,20 +36,30 @@ MOST_MATCHES, POSTINGS_PER_SHINGLE = 8, 8
 HOT_LIST = 1000
 #: Node filter: bits of the array that keeps sets of nodes without a candidate out of the shuffle (4 MB).
 FILTER_BITS, FILTER_BLOCK = 25, 16
+#: Bits of a set's parity, which rules out pairs in the last join before they are made.
+PARITY_BITS = 512
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-WORD_TABLE = 500_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_TABLE:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_hashes = _WordHashes()
+#: Text bytes hashed at once, about what a core's cache holds.
+HASH_BYTES = 1 << 16
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# A number for each byte, A-Z as a-z; a word's hash is the polynomial of its bytes' numbers in an odd base.
+_BYTE = np.random.default_rng(41).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BASE = 0x5851F42D4C957F2D
+_BACK = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers 0..n-1 of the base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _BACK)):
+            steps = np.full(max(n, 2 * HASH_BYTES), base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -57,19 +67,60 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its hash."""
+    data = np.frombuffer(raw, np.uint8)
+    gap = np.concatenate([[True], _SPACE[data], [True]])
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edges[::2], edges[1::2]
+    forth, back = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * forth[: len(data)], out=sums[1:])
+    return start, _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64), 2)
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Per whole text, the sorted distinct 64-bit hashes of its shingles in ASCII lower case; a text with fewer
+    words is one shingle, one without words has none."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    held = 0
+
+    def flush() -> None:
+        ends = np.cumsum([len(x) + 1 for x in group])
+        start, word = _words(b"\n".join(group))
+        cuts = np.concatenate([[0], np.searchsorted(start, ends)])
+        h = np.zeros(max(0, len(word) - width + 1), np.uint64)
+        for k in range(width):
+            h = _mix(h + word[k : len(word) - width + 1 + k], k % len(_ODD))
+        h = _mix(h, 1)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a >= width:
+                x = np.sort(h[a : b - width + 1])
+                out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+            elif b > a:
+                x = np.array([b - a], np.uint64)
+                for w in word[a:b]:
+                    x = _mix(x + w, 3)
+                out.append(x)
+            else:
+                out.append(np.zeros(0, np.uint64))
+        group.clear()
+
+    for text in texts:
+        raw = text.encode() if text else b""
+        if group and held + len(raw) > HASH_BYTES:
+            flush()
+            held = 0
+        group.append(raw)
+        held += len(raw) + 1
+    if group:
+        flush()
+    return out
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the shingles of the whole text in ASCII lower case; a text with
-    fewer words is one shingle, one without words has none."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    h = np.zeros(len(w) - width + 1, np.uint64)
-    for k in range(width):
-        h = _mix(h + w[k : len(w) - width + 1 + k], k % len(_ODD))
-    return np.unique(_mix(h, 1))
+    return shingle_sets([text], width)[0]
 
 
 def node_of(found: np.ndarray) -> int:
@@ -81,25 +132,33 @@ def _slots(found: np.ndarray, row: int) -> np.ndarray:
     return ((found * _ODD[row + 1]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls on each of PARITY_BITS places, as longs. Two sets' parities differ in
+    no more places than the sets differ in tokens."""
+    place = ((found * _ODD[0]) >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY_BITS) & 1).astype(bool)).view(np.int64)
+
+
 def census(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, node per row (node is null for an empty set), and the sketch of all shingle counts."""
+    """doc_id, n, node (null for an empty set) and parity per row, and the sketch of all shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "slot", "counts"]
+        names = ["doc_id", "n", "node", "parity", "slot", "counts"]
         sums = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
         for part, texts in text_slices(batches, "_text"):
-            sets = [shingles(t, width) for t in texts]
+            sets = shingle_sets(texts, width)
             every = np.concatenate(sets)
             for r in range(SKETCH_ROWS):
                 sums[r] += np.bincount(_slots(every, r), minlength=1 << SKETCH_BITS)
             n, node = [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            none, size = pa.nulls(len(sets)), PARITY_BITS // 64
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * size), pa.array(np.concatenate([parity(x) for x in sets])))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), bits, none.cast(pa.int32()), none.cast(pa.binary())], names)
         blocks = [(i, b) for i, b in enumerate(sums.reshape(-1, SKETCH_BLOCK)) if b.any()]
         none = pa.nulls(len(blocks)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in blocks], pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for _, b in blocks], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(blocks), pa.list_(pa.int64())), pa.array([i for i, _ in blocks], pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for _, b in blocks], pa.binary())], names)
 
-    rows = save(docs.mapInArrow(run, "doc_id long, n long, node long, slot int, counts binary"))
+    rows = save(docs.mapInArrow(run, "doc_id long, n long, node long, parity array<long>, slot int, counts binary"))
 
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in frame["counts"])
@@ -110,27 +169,32 @@ def census(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros((SKETCH_ROWS << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint32).reshape(-1, SKETCH_BLOCK)
     for slot, counts in parts.toPandas().itertuples(index=False):
         sketch[slot] = np.minimum(np.frombuffer(zlib.decompress(counts), np.int64), 0xFFFFFFFF)
-    return rows.filter("slot is null").select("doc_id", "n", "node"), sketch.reshape(SKETCH_ROWS, -1)
+    return rows.filter("slot is null").select("doc_id", "n", "node", "parity"), sketch.reshape(SKETCH_ROWS, -1)
+
 
+def prefix(found: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set, lengthened to the l of the least cost, and its tokens' estimated counts.
 
-def prefix(found: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix of a set in the global order, its estimated counts, and the l it was lengthened to."""
+    A token is the level of its count (8 bits) before its hash (56 bits): tokens sort rarest first.
+    """
     count = sketch[0][_slots(found, 0)]
     for r in range(1, SKETCH_ROWS):
         count = np.minimum(count, sketch[r][_slots(found, r)])
-    level = np.log2(np.maximum(count, 1)) * 4
-    order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")
+    level = (np.log2(np.maximum(count, 1)) * 4).astype(np.uint64)
+    token = np.sort((level << np.uint64(56)) | (found >> np.uint64(8)))
     need = -(-percent * len(found) // 100)
     first, most = len(found) - need + 1, min(MOST_MATCHES, need)
-    postings = np.cumsum(np.maximum(count[order[: first + most - 1]] - noise, 0.0))[first - 1 :]
+    token = token[: first + most - 1]
+    count = np.exp2((token >> np.uint64(56)).astype(np.float64) / 4)
+    postings = np.cumsum(np.maximum(count - noise, 0.0))[first - 1 :]
     matches = np.arange(1, most + 1)
     best = int(np.argmin(postings + postings / matches * len(found) / POSTINGS_PER_SHINGLE)) + 1
-    chosen = order[: first + best - 1]
-    return found[chosen], count[chosen], best
+    return token[: first + best - 1], count[: first + best - 1]
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """token, salt, node, n, l: the prefixes of all sets; each task sends an equal set once."""
+    """token, salt, node, n, rest (n less the length of the prefix): the prefixes of all sets; each task sends
+    an equal set once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,21 +202,20 @@ def postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
         noise = 2.0 * float(counts[0].mean())
         for _, texts in text_slices(batches, "_text"):
             out = []
-            for text in texts:
-                found = shingles(text, width)
+            for found in shingle_sets(texts, width):
                 if len(found) and (node := node_of(found)) not in seen:
                     seen.add(node)
-                    token, count, best = prefix(found, counts, noise, percent)
+                    token, count = prefix(found, counts, noise, percent)
                     spread = np.maximum(count // HOT_LIST, 1).astype(np.uint64)
                     salt = (_mix(token ^ np.uint64(node & 0xFFFFFFFFFFFFFFFF), 3) % spread).astype(np.int32)
                     salt[spread > 1] += 1  # 0: the list is in one piece
-                    out.append((token.view(np.int64), salt, node, len(found), best))
+                    out.append((token.view(np.int64), salt, node, len(found), len(found) - len(token)))
             if out:
                 sizes = [len(x[0]) for x in out]
                 each = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], kind), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])), each(2, np.int64), each(3, np.int32), each(4, np.int32)], ["token", "salt", "node", "n", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])), each(2, np.int64), each(3, np.int32), each(4, np.int32)], ["token", "salt", "node", "n", "rest"])
 
-    return docs.mapInArrow(run, "token long, salt int, node long, n int, l int")
+    return docs.mapInArrow(run, "token long, salt int, node long, n int, rest int")
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -179,8 +242,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
         bits, seen = shared.value, set()
         for _, texts in text_slices(batches, "_text"):
             out = []
-            for text in texts:
-                found = shingles(text, width)
+            for found in shingle_sets(texts, width):
                 if len(found) and (node := node_of(found)) not in seen:
                     at = node & (1 << FILTER_BITS) - 1
                     if bits[at >> 3] >> (7 - (at & 7)) & 1:
@@ -194,11 +256,24 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     sets = save(docs.mapInArrow(run, schema).dropDuplicates(["node"]))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_in", F.size(F.array_intersect("_a", "_b")))
-    return save(both.filter(100 * F.col("_in") >= percent * (F.size("_a") + F.size("_b") - F.col("_in"))).select("a", "b"))
+    links = save(both.filter(100 * F.col("_in") >= percent * (F.size("_a") + F.size("_b") - F.col("_in"))).select("a", "b"))
+    drop_saved(sets)
+    return links
+
+
+def least_overlap(percent: int) -> Column:
+    """Tokens that sets of n and q_n have to share to be similar."""
+    return F.ceil(percent * (F.col("n") + F.col("q_n")) / F.lit(100.0 + percent) - 1e-9)
+
+
+def enough(count: Column, percent: int) -> Column:
+    """Whether two sets (n, rest; q_n, q_rest) that share so many tokens in their prefixes can be similar: of an
+    overlap of t, all but rest_x come in the first n_x - rest_x tokens of x, so the prefixes share t less the larger rest."""
+    return count >= least_overlap(percent) - F.greatest("rest", "q_rest")
 
 
 def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Per row: doc_id, n, node; and per node: node, doc (its smallest doc_id), component_id.
+    """Per row: doc_id, n, node, parity; and per node: node, doc (its smallest doc_id), component_id.
 
     percent: the least intersection in a hundred of the union.
     """
@@ -210,24 +285,37 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFram
     lists = postings(texts, sketch, width, percent)
     lists = lists.select("*", before("node").alias("p"), before("n").alias("pn"), F.min("node").over(place).alias("lo"), F.max("node").over(place).alias("hi"))
     # Lists of one node link nothing; equal sets of several tasks stand side by side.
-    lists = save(lists.filter("(lo != hi or salt > 0) and (p is null or p != node)").select("token", "node", "n", "l", "p", "pn"))
+    lists = save(lists.filter("(lo != hi or salt > 0) and (p is null or p != node)").select("token", "node", "n", "rest", "p", "pn"))
     near = lists.filter(F.col("p").isNotNull() & (100 * F.col("pn") >= percent * F.col("n"))).groupBy("node", "p").count()
     first = save(near.groupBy(F.col("node").alias("a")).agg(F.max_by("p", F.struct("count", "p")).alias("b")))
-    links = verified(texts, first, width, percent)
+    # What the two prefixes share in all decides whether the pair is worth its verification.
+    ours = first.join(lists.select(F.col("node").alias("a"), "token", "n", "rest"), "a")
+    theirs = lists.select(F.col("node").alias("b"), "token", F.col("n").alias("q_n"), F.col("rest").alias("q_rest"))
+    first = ours.join(theirs, ["b", "token"]).groupBy("a", "b", "n", "rest", "q_n", "q_rest").count()
+    links = verified(texts, save(first.filter(enough(F.col("count"), percent)).select("a", "b")), width, percent)
     known = components(links)
 
-    own = lists.join(known, "node", "left").select("token", "node", "n", "l", F.coalesce("component", "node").alias("c"))
+    own = lists.select("token", "node", "n", "rest").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     own = save(own)
     spans = own.groupBy("token", "c").count().groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     open_lists = save(own.join(spans, "token"))
-    rest = open_lists.filter("c != main").select("token", *(F.col(x).alias(f"r_{x}") for x in ("node", "n", "l", "c")))
-    pairs = rest.join(open_lists, "token").filter("r_c != c and (c = main or r_node < node)")
-    pairs = pairs.filter(100 * F.least("n", "r_n") >= percent * F.greatest("n", "r_n"))
-    pairs = pairs.groupBy(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b"), F.least("l", "r_l").alias("need")).count()
-    pairs = save(pairs.filter("count >= need").select("a", "b"))
+    marks = rows.select("node", "parity").join(open_lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    open_lists = save(open_lists.join(marks, "node"))
+    rest = open_lists.filter("c != main").select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("rest").alias("q_rest"), F.col("c").alias("q_c"), F.col("parity").alias("q_parity"))
+    pairs = rest.join(open_lists, "token").filter("q_c != c and (c = main or q < node)")
+    pairs = pairs.filter(100 * F.least("n", "q_n") >= percent * F.greatest("n", "q_n"))
+    # Sets that can be similar differ in few tokens, and so their parities in few places.
+    apart = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        apart = apart + F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("q_parity")[i]))
+    pairs = pairs.filter(apart <= F.col("n") + F.col("q_n") - 2 * least_overlap(percent))
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("q").alias("b"), "n", "rest", "q_n", "q_rest").count()
+    # A pair may come from either side, in lists with different main components.
+    both = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("q_n")).alias("sizes"), F.greatest("rest", "q_rest").alias("rest")).agg(F.sum("count").alias("count"))
+    pairs = save(both.withColumns({"n": F.col("sizes"), "q_n": F.lit(0), "q_rest": F.col("rest")}).filter(enough(F.col("count"), percent)).select("a", "b"))
     if not pairs.isEmpty():
-        links = links.unionByName(verified(texts, pairs, width, percent))
-        known = components(links)
+        # The components found before stand in for the links they came from.
+        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(texts, pairs, width, percent)))
 
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
     nodes = save(nodes.join(known, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component")))
@@ -258,7 +346,7 @@ def keep_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "_text"):
-            sets = [shingles(t, width) for t in texts]
+            sets = shingle_sets(texts, width)
             node = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("_in"), part.column("_id"), node], ["_in", "_id", "_node"])
 
