@@ -62,6 +62,31 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def paired(n, dim=64):
+    """Unit vectors 2k and 2k + 1 of cosine 0.9001, the last third in one cone (cosine 0.7 to each other), and the first row of the cone."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    cone = 2 * (n // 3)
+
+    def pairs(k, width, cosine):
+        a, b = unit(rng.standard_normal((k, width))), rng.standard_normal((k, width))
+        b = unit(b - (b * a).sum(1, keepdims=True) * a)
+        return np.stack([a, cosine * a + np.sqrt(1 - cosine * cosine) * b], 1).reshape(2 * k, width)
+
+    thin = np.sqrt(0.3) * pairs((n - cone) // 2, dim - 1, (0.9001 - 0.7) / 0.3)
+    return np.concatenate([pairs(cone // 2, dim, 0.9001), np.column_stack([np.full(len(thin), np.sqrt(0.7)), thin])]), cone
+
+
+def test_embeddings_recall_in_dense_third(spark):
+    x, cone = paired(20_000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    _, one = neardup.classes(df)
+    found = {(r.a, r.b) for r in getattr(neardup, "leaf_links", getattr(neardup, "window_links", None))(one, 0.9).collect()}
+    group = closure(range(len(x)), found)
+    hit = np.array([group[i] == group[i + 1] for i in range(0, len(x), 2)])
+    assert hit[: cone // 2].mean() >= 0.99 and hit[cone // 2 :].mean() >= 0.99
+
+
 def split(url):
     if url is None or "://" not in url:
         return "", ""
