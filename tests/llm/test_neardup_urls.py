@@ -87,6 +87,24 @@ def test_embeddings_recall_in_dense_third(spark):
     assert hit[: cone // 2].mean() >= 0.99 and hit[cone // 2 :].mean() >= 0.99
 
 
+def test_embeddings_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART", 256)
+    x, _ = paired(4_000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (2, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            _, one = neardup.classes(df.repartition(n))
+            got.append(closure(range(len(x)), [(r.a, r.b) for r in getattr(neardup, "leaf_links", getattr(neardup, "window_links", None))(one, 0.9).collect()]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert sum(got[0][i] != got[1][i] for i in got[0]) == 0
+
+
 def split(url):
     if url is None or "://" not in url:
         return "", ""
