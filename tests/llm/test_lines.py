@@ -50,6 +50,25 @@ def test_equals_brute_force(spark):
     assert len(twice) == 3
 
 
+def test_short_repeats_go_where_asked(spark):
+    rng = random.Random(4)
+    base = ["}", "Yes.", "x" * 19, "y" * 20, "", "  ", "Table of contents: 1", "é", "z" * 40]
+    rows = [(d, "\n".join(rng.choices(base, k=6))) for d in range(30)]
+    seen, want = set(), {}
+    for d, t in rows:
+        left = []
+        for x in t.split("\n"):
+            if not x.strip() or x not in seen:
+                left.append(x)
+            seen.add(x)
+        want[d] = "\n".join(left)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup(df, shortest=1).collect()} == want
+    assert {r.doc_id: r.text for r in linededup.clean_documents(df, shortest=1).collect()} == want
+    near = spark.createDataFrame([(1, "y" * 20 + "\n" + "w" * 19), (2, "y" * 19 + "v\n" + "w" * 18 + "v")], "doc_id long, text string")
+    assert [r.text for r in linededup.dedup(near, shortest=1).orderBy("doc_id").collect()] == ["y" * 20 + "\n" + "w" * 19, "w" * 18 + "v"]
+
+
 def test_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
