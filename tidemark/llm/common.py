@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ SLICE_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset
-    (tests on one machine), a temporary folder is set for the session."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary
+    folder serves a local master (tests on one machine); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -34,15 +37,16 @@ def save(df: DataFrame) -> DataFrame:
     """Write df to a scratch table and read it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a table that save() wrote, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete the files of tables that save() returned, once nothing will read them again."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -60,12 +64,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch in slices of about SLICE_BYTES of text (one row at least), with the texts as a list."""
+def batch_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of at most about so many bytes of the text column (one row at least)."""
     for batch in batches:
-        texts, start, held = batch.column(column).to_pylist(), 0, 0
-        for i, text in enumerate(texts):
-            held += len(text) if text is not None else 0
-            if held >= SLICE_BYTES or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The slices of batch_slices, each with its texts as a list."""
+    for part in batch_slices(batches, column):
+        yield part, part.column(column).to_pylist()
+
+
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The runs values[start[p] : start[p] + size[p]] of all p of place, one after the other."""
+    sizes = size[place]
+    shift = np.repeat(start[place] - (np.cumsum(sizes) - sizes), sizes)
+    return values[shift + np.arange(len(shift))]
