@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.common import save, scratch, text_slices
+from tidemark.llm.common import batch_slices, gather, save, scratch
 
 MAGIC = b"TWM1"
 BLOCK_BITS = 1 << 16
@@ -46,49 +47,55 @@ class WordEncoder:
     """The tokenizers library's ids of whole texts for a model that drops white space.
 
     Texts are cut at ASCII white space, which no token crosses, and every distinct word is encoded once
-    per worker. Plain Latin words go straight to the library's model, all else through its pipeline.
+    per worker. Plain Latin words go straight to the library's model, all else through its pipeline. Texts
+    stay in Arrow buffers: a slice's words are numbered there and their ids gathered by position.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.words: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
+        self.stems: dict[str, np.ndarray] = {}
 
-    def stem(self, word: str) -> bytes:
+    def stem(self, word: str) -> np.ndarray:
         found = self.stems.get(word)
         if found is None:
             raw = word if word.isascii() else self.bytes_of(word)[0][0]
-            found = self.stems[word] = np.array([t.id for t in self.library.model.tokenize(raw)], "<u4").tobytes()
+            found = self.stems[word] = np.array([t.id for t in self.library.model.tokenize(raw)], np.uint32)
         return found
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         if len(self.words) + len(words) > TABLE_WORDS:
-            self.words.clear()
+            self.words = {"": self.words[""]}
         if len(self.stems) > TABLE_WORDS:
             self.stems.clear()
         odd = []
-        for raw in words:
-            if raw not in self.words:
-                word = raw.decode()
+        for word in words:
+            if word not in self.words:
                 m = _SIMPLE.fullmatch(word.lower())
                 if m and "<|" not in word:
-                    self.words[raw] = self.stem(m[1]) + (self.stem(m[2]) if m[2] else b"")
+                    own = self.stem(m[1])
+                    self.words[word] = np.concatenate([own, self.stem(m[2])]) if m[2] else own
                 else:
-                    odd.append(raw)
+                    odd.append(word)
         for start in range(0, len(odd), 4096):
             part = odd[start : start + 4096]
-            for raw, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[raw] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = [t.encode().split() if t else [] for t in texts]
-        distinct: set[bytes] = set()
-        for row in rows:
-            distinct.update(row)
-        self.learn(distinct)
-        find = self.words.__getitem__
-        return [b"".join(map(find, row)) for row in rows]
+            for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.words[word] = np.array(e.ids, np.uint32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's ids end; null texts have none."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = pc.dictionary_encode(cut.flatten())
+        words = numbered.dictionary.to_pylist()
+        self.learn(words)
+        runs = [self.words[w] for w in words]
+        size = np.array([len(x) for x in runs], np.int64)
+        place = numbered.indices.to_numpy()
+        ids = gather(np.concatenate(runs) if runs else np.zeros(0, np.uint32), np.cumsum(size) - size, size, place)
+        upto = np.concatenate([[0], np.cumsum(size[place])])
+        bounds = cut.offsets.to_numpy()
+        return ids, upto[bounds[1:] - bounds[0]]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -97,8 +104,8 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray) -> bytes:
-    """The file of one shard. offsets: where each document starts, and the end."""
+def pack(ids: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> bytes:
+    """The file of one shard. offsets: where each document starts, and the end; known: which documents have an id, all by default."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     width = max(1, int(ids.max(initial=0)).bit_length())
     cur = ids.astype(np.uint16 if width <= 16 else np.uint32)
@@ -112,6 +119,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray) -> bytes:
         return [at - len(small), len(small)]
 
     sections = {"doc_ids": put(np.asarray(doc_ids, "<i8").tobytes()), "offsets": put(np.asarray(offsets, "<i8").tobytes())}
+    sections["known"] = put(np.packbits(np.ones(len(doc_ids), bool) if known is None else known).tobytes())
     for shift in range(width - 1, -1, -1):
         ones = ((cur >> shift) & 1).astype(bool)
         packed = np.packbits(ones)
@@ -143,6 +151,10 @@ class Shard:
     def doc_ids(self) -> np.ndarray:
         return np.frombuffer(self._get(self.head["sections"]["doc_ids"]), "<i8")
 
+    def known(self) -> np.ndarray:
+        """Which documents have an id."""
+        return np.unpackbits(np.frombuffer(self._get(self.head["sections"]["known"]), np.uint8))[: len(self.doc_ids())].astype(bool)
+
     def offsets(self) -> np.ndarray:
         return np.frombuffer(self._get(self.head["sections"]["offsets"]), "<i8")
 
@@ -186,27 +198,34 @@ class Shard:
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
-    def _place(self, plane: int, k: int, bit: int) -> int:
-        """Position of the k-th (from 0) bit of that kind in a plane."""
+    def _places(self, plane: int, k: np.ndarray, bit: int) -> np.ndarray:
+        """Positions of the k-th (from 0, ascending) bits of that kind in a plane; each block is read once."""
         ones = np.asarray(self.planes[plane]["ones"])
         before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK_BITS, self.n) - ones
-        block = int(np.searchsorted(before, k, "right")) - 1
-        return block * BLOCK_BITS + int(np.flatnonzero(self._bits(plane, block) == bit)[k - before[block]])
+        block = np.searchsorted(before, k, "right") - 1
+        out = np.empty(len(k), np.int64)
+        for b in np.unique(block).tolist():
+            here = block == b
+            out[here] = b * BLOCK_BITS + np.flatnonzero(self._bits(plane, b) == bit)[k[here] - before[b]]
+        return out
+
+    def _up(self, value: int, at: np.ndarray) -> np.ndarray:
+        """From places in the bottom order to positions."""
+        for plane in range(self.width - 1, -1, -1):
+            bit = value >> (self.width - 1 - plane) & 1
+            at = self._places(plane, at - self._zeros(plane) if bit else at, bit)
+        return at
 
     def select(self, value: int, k: int) -> int:
         """Position of the k-th occurrence (from 0) of the id."""
         low, high = self._range(value, self.n)
         if not 0 <= k < high - low:
             raise IndexError(k)
-        at = low + k
-        for plane in range(self.width - 1, -1, -1):
-            bit = value >> (self.width - 1 - plane) & 1
-            at = self._place(plane, at - self._zeros(plane) if bit else at, bit)
-        return at
+        return int(self._up(value, np.array([low + k]))[0])
 
     def find(self, value: int) -> list[int]:
         """All positions of the id."""
-        return [self.select(value, k) for k in range(self.count(value))]
+        return self._up(value, np.arange(*self._range(value, self.n))).tolist()
 
     def ids(self) -> np.ndarray:
         """All ids in order, from the lowest plane up."""
@@ -227,38 +246,50 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     part, seq, path, n_docs, n_tokens, and start, the tokens of all shards before it.
 
     Null texts count as empty and hold end_id only. Rows without doc_id come first, and equal doc_ids
-    follow each other in the order of their texts' hashes; both are written. An empty table has no shard.
+    follow each other in the order of their texts' hashes; both are written. A text longer than a shard is a shard of its own.
+    An empty table has no shard. Extra columns are left out.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark) + "-shards"
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encoder = TaskContext.get(), word_encoder(tokenizer)
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         done: list[tuple] = []
-        held: list[bytes] = []
-        doc_ids: list[int | None] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def close() -> None:
             nonlocal size
             name = f"{base}/shard-{task.partitionId():06d}-{len(done):05d}-{task.taskAttemptId()}.twm"
-            offsets = np.cumsum([0, *(len(x) // 4 for x in held)])
+            ids, sizes, doc_ids, known = map(np.concatenate, zip(*held, strict=True))
             with store.open_output_stream(name) as out:
-                out.write(pack(np.frombuffer(b"".join(held), "<u4"), np.array([NULL_ID if d is None else d for d in doc_ids]), offsets))
+                out.write(pack(ids, doc_ids, np.concatenate([[0], np.cumsum(sizes)]), known))
             done.append((task.partitionId(), len(done), name, len(doc_ids), size))
-            held.clear(), doc_ids.clear()
+            held.clear()
             size = 0
 
-        for part, texts in text_slices(batches, "_text"):
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                if held and size + len(ids) // 4 + 1 > SHARD_TOKENS:
-                    close()
-                held.append(ids + end)
-                doc_ids.append(doc_id)
-                size += len(ids) // 4 + 1
+        for part in batch_slices(batches, "_text"):
+            ids, ends = encoder.encode(part.column("_text"))
+            ids = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+            sizes = np.diff(ends, prepend=0)
+            column = part.column("doc_id")
+            doc_ids, known = pc.fill_null(column, 0).to_numpy(), pc.is_valid(column).to_numpy(zero_copy_only=False)
+            start = 0
+            while start < len(ends):
+                # As many documents as the open shard takes; one at least if it is empty.
+                begun = int(ends[start - 1]) if start else 0
+                stop = int(np.searchsorted(ends, begun + SHARD_TOKENS - size, "right"))
+                if stop <= start:
+                    if held:
+                        close()
+                        continue
+                    stop = start + 1
+                held.append((ids[begun : ends[stop - 1]], sizes[start:stop], doc_ids[start:stop], known[start:stop]))
+                size += int(ends[stop - 1]) - begun
+                start = stop
         if held:
             close()
         if done:
@@ -273,10 +304,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     return manifest.withColumn("_inner", inner).join(parts, "part").select("part", "seq", "path", "n_docs", "n_tokens", (F.col("_base") + F.col("_inner")).alias("start"), F.lit(folder).alias("folder"))
 
 
-#: Stands for a null doc_id within a file.
-NULL_ID = -(1 << 63)
-
-
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens and the crc32 of its ids as 32-bit integers."""
 
@@ -286,9 +313,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 store, _ = fs.FileSystem.from_uri(row.folder)
                 with store.open_input_file(row.path) as data:
                     shard = Shard(data)
-                    ids, at, doc_ids = memoryview(shard.ids().astype("<u4").tobytes()), shard.offsets(), shard.doc_ids()
+                    ids, at, doc_ids, known = memoryview(shard.ids().astype("<u4").tobytes()), shard.offsets(), shard.doc_ids(), shard.known()
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None if d == NULL_ID else d for d in doc_ids.tolist()], "Int64"),
+                    "doc_id": pd.arrays.IntegerArray(doc_ids.astype(np.int64), ~known),
                     "start": row.start + at[:-1],
                     "n_tokens": np.diff(at),
                     "ids_crc32": [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
