@@ -68,12 +68,32 @@ def test_join_equals_brute_force(spark, monkeypatch):
 def test_adaptive_prefixes():
     import numpy as np
 
-    found = jaccard.shingles(" ".join(f"w{i}" for i in range(103)), 4)
-    flat = np.full((jaccard.SKETCH_ROWS, 1 << jaccard.SKETCH_BITS), 3, np.uint32)
-    token, _ = jaccard.prefix(found, flat, 6.0, 85)
-    assert len(token) == 100 - 85 + 1
-    token, _ = jaccard.prefix(found, flat * 100, 6.0, 85)
-    assert 100 - 85 + 1 < len(token) <= 100 - 85 + jaccard.MOST_MATCHES
+    # 100 shingles, all shared: 16 are the least, and each more asks for one more match.
+    assert jaccard.length(100, np.full(100, 3), 85) == 100 - 85 + jaccard.MOST_MATCHES
+    assert jaccard.length(100, np.array([3] * 16 + [10**6] * 84), 85) == 16
+    assert jaccard.length(10, np.full(10, 3), 85) == 2
+    # Shingles that no other set holds are part of the prefix and not in any list.
+    assert jaccard.length(100, np.array([3] * 4 + [10**6] * 84), 85) == 4
+
+
+def test_shared_shingles_are_counted_exactly(spark, monkeypatch):
+    texts = corpus(random.Random(5))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:40])], "doc_id long, _text string").repartition(6)
+    sets = {jaccard.node_of(s): s for s in jaccard.shingle_sets(texts, 4) if len(s)}
+    holders = {}
+    for node, found in sets.items():
+        for x in found.tolist():
+            holders.setdefault(x, set()).add(node)
+    want = sorted((node, sum(len(holders[x]) > 1 for x in found.tolist())) for node, found in sets.items())
+    _, sketch = jaccard.census(df, 4)
+    for least in (1 << 13, 20):  # with 20 some shingles count as very frequent
+        monkeypatch.setattr(jaccard, "FREQUENT", least)
+        monkeypatch.setattr(jaccard, "ABOVE_NOISE", 0)
+        found = jaccard.shared_shingles(df.select("_text"), sketch, 7, 4)
+        got = {r.node: r["count"] for r in found.groupBy("node").count().collect()}
+        assert sorted((node, got.get(node, 0)) for node in sets) == want
+        exact = {(len(h), node) for h in holders.values() if 1 < len(h) < 20 for node in h}
+        assert exact <= {(r.df, r.node) for r in found.collect()}
 
 
 def test_sets_do_not_depend_on_grouping():

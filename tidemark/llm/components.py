@@ -27,12 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         # Large star: the larger neighbours of a node go to its smallest neighbour or itself.
-        large = save(few(tidy(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))))
+        large = few(tidy(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         # Small star: a node and its smaller neighbours go to the smallest of them.
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = save(few(tidy(small.unionByName(down.select("a", F.col("m").alias("b"))))))
-        drop_saved(large)
         drop_saved(now)
         now, seen = after, look(after)
         if seen == mark:

@@ -2,14 +2,21 @@
 
 Two sets of similarity t and more share, in the first |x| - ceil(t|x|) + l tokens of any global order, at
 least l tokens. Every document picks its own l: its prefix is lengthened while the estimated work (postings
-to read, and candidates to verify, which fall with l) gets less. How many tokens a pair has to share before
-it is verified follows from both prefixes and sizes: the longer the prefixes, the more. The order puts rare shingles first, by a sketch of their counts over all
-documents: a fixed-size array, which is also what the cost estimate reads.
-
-Steps: equal sets become one node. Every posting list is sorted and each node's most frequent
-neighbour in its lists is verified; the components of these links settle groups of copies with one pair
-a node. Only lists that still span several components are then joined, each list's main component
-against the rest, so no pair inside a component is ever made. Sets are compared by 64-bit hashes.
+to read, and candidates to verify, which fall with l) gets less. How many prefix tokens a pair has to share before
+its sets are verified follows from both prefixes and sizes: the longer the prefixes, the more.
+
+The order puts rare shingles first, by their exact document frequencies: all shingles of all sets are dealt
+by hash range as packed runs, and each range gives back the shingles that two sets or more hold. A set's
+other shingles match nothing, so what it shares at most is known before any pair is made: sets with too few
+shared shingles, nearly all of a corpus, leave here, and a pair is only made where the sizes and shared shingles of
+both still allow the similarity. Shingles that a sketch of fixed size finds very frequent have
+no need of counting; they spread over all ranges and come last in the order.
+
+Groups of copies settle in rounds with one pair a set: in every posting list each set is verified against
+the set of the list that has the fewest shingles of its own (in a near-copy group the one nearest to what all have in common)
+and against its neighbour by size; then, until nothing new is linked, one set of each component of
+a list against one of the list's best. Only lists that still span several components are then joined, each list's main
+component against the rest, so no pair inside a component is ever made. Sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,16 +35,20 @@ from pyspark.sql import types as T
 from tidemark.llm.common import drop_saved, save, text_slices
 from tidemark.llm.components import components
 
-#: Count sketch: rows x counters (8 MB as 32-bit numbers, whatever the input), sent in blocks.
+#: Count sketch that finds very frequent shingles: rows x counters (8 MB as 32-bit numbers, whatever the input), sent in blocks.
 SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 2, 20, 1 << 13
+#: A shingle is very frequent from so many sets on, and from so many times the sketch's mean counter.
+FREQUENT, ABOVE_NOISE = 1 << 13, 8
+#: Shingles of a hash range, and the most ranges (larger inputs get larger ranges).
+RANGE_SHINGLES, MOST_RANGES = 1 << 20, 1 << 18
 #: Largest l, and shingles read in verifying that cost as much as one posting.
 MOST_MATCHES, POSTINGS_PER_SHINGLE = 8, 8
-#: Estimated postings of a list from which it is spread over several tasks.
+#: Sets of a list from which it is spread over several tasks.
 HOT_LIST = 1000
-#: Node filter: bits of the array that keeps sets of nodes without a candidate out of the shuffle (4 MB).
-FILTER_BITS, FILTER_BLOCK = 25, 16
 #: Bits of a set's parity, which rules out pairs in the last join before they are made.
 PARITY_BITS = 512
+#: Rounds that join the components of a list by one pair each.
+STAR_ROUNDS = 3
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Text bytes hashed at once, about what a core's cache holds.
@@ -172,104 +183,222 @@ def census(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     return rows.filter("slot is null").select("doc_id", "n", "node", "parity"), sketch.reshape(SKETCH_ROWS, -1)
 
 
-def prefix(found: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a set, lengthened to the l of the least cost, and its tokens' estimated counts.
-
-    A token is the level of its count (8 bits) before its hash (56 bits): tokens sort rarest first.
-    """
+def estimate(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """At least the number of sets that hold each shingle."""
     count = sketch[0][_slots(found, 0)]
     for r in range(1, SKETCH_ROWS):
         count = np.minimum(count, sketch[r][_slots(found, r)])
-    level = (np.log2(np.maximum(count, 1)) * 4).astype(np.uint64)
-    token = np.sort((level << np.uint64(56)) | (found >> np.uint64(8)))
-    need = -(-percent * len(found) // 100)
-    first, most = len(found) - need + 1, min(MOST_MATCHES, need)
-    token = token[: first + most - 1]
-    count = np.exp2((token >> np.uint64(56)).astype(np.float64) / 4)
-    postings = np.cumsum(np.maximum(count - noise, 0.0))[first - 1 :]
-    matches = np.arange(1, most + 1)
-    best = int(np.argmin(postings + postings / matches * len(found) / POSTINGS_PER_SHINGLE)) + 1
-    return token[: first + best - 1], count[: first + best - 1]
-
-
-def postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """token, salt, node, n, rest (n less the length of the prefix): the prefixes of all sets; each task sends
-    an equal set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    return count
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shared_shingles(texts: DataFrame, sketch: np.ndarray, ranges: int, width: int) -> DataFrame:
+    """token, node, df: the shingles of every set that another set holds too, and how many sets hold them.
+
+    Shingles are dealt by hash range; a task packs those of a slice of texts for one range into one row
+    (6 bytes a shingle, the range stands for the first bits). Very frequent shingles are dealt by set as
+    well, so no range gets much more than its share; their df is the sketch's.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    spread = np.uint64(ranges)
+    high = lambda h: (((h >> np.uint64(32)) * spread) >> np.uint64(32)).astype(np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
-        noise = 2.0 * float(counts[0].mean())
-        for _, texts in text_slices(batches, "_text"):
-            out = []
-            for found in shingle_sets(texts, width):
+        least = max(FREQUENT, ABOVE_NOISE * float(counts[0].mean()))
+        for _, some in text_slices(batches, "_text"):
+            sets, names = [], []
+            for found in shingle_sets(some, width):
                 if len(found) and (node := node_of(found)) not in seen:
                     seen.add(node)
-                    token, count = prefix(found, counts, noise, percent)
-                    spread = np.maximum(count // HOT_LIST, 1).astype(np.uint64)
-                    salt = (_mix(token ^ np.uint64(node & 0xFFFFFFFFFFFFFFFF), 3) % spread).astype(np.int32)
-                    salt[spread > 1] += 1  # 0: the list is in one piece
-                    out.append((token.view(np.int64), salt, node, len(found), len(found) - len(token)))
-            if out:
-                sizes = [len(x[0]) for x in out]
-                each = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], kind), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out])), each(2, np.int64), each(3, np.int32), each(4, np.int32)], ["token", "salt", "node", "n", "rest"])
-
-    return docs.mapInArrow(run, "token long, salt int, node long, n int, rest int")
+                    sets.append(found)
+                    names.append(node)
+            if not sets:
+                continue
+            every, names = np.concatenate(sets), np.array(names, np.int64)
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            frequent = estimate(every, counts) >= least
+            place = high(every) * 2
+            place[frequent] = high(_mix(every[frequent] ^ names[owner[frequent]].view(np.uint64), 3)) * 2 + 1
+            order = np.argsort(place, kind="stable")
+            place, every, owner = place[order], every[order], owner[order]
+            cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
+            rows = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                runs = np.concatenate([[a], np.flatnonzero(owner[a + 1 : b] != owner[a : b - 1]) + a + 1, [b]])
+                size = 8 if place[a] & 1 else 6
+                tokens = every[a:b].view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+                rows.append((int(place[a]) >> 1, bool(place[a] & 1), tokens, names[owner[runs[:-1]]].tobytes(), np.diff(runs).astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "frequent", "tokens", "nodes", "runs"])
+
+    def unique(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in order, each once: several tasks may have sent an equal set."""
+        order = np.lexsort((nodes, tokens))
+        tokens, nodes = tokens[order], nodes[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
+        return tokens[new], nodes[new]
+
+    def several(tokens: np.ndarray, nodes: np.ndarray, first: np.uint64) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(tokens, kind="stable")
+        tokens, nodes = tokens[order], nodes[order]
+        again = np.zeros(len(tokens), bool)
+        again[1:] = tokens[1:] == tokens[:-1]
+        again[:-1] |= again[1:]
+        tokens, nodes = unique(tokens[again], nodes[again])
+        _, back, df = np.unique(tokens, return_inverse=True, return_counts=True)
+        df = df[back]
+        tokens = _mix(tokens[df > 1] ^ first, 0).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes[df > 1]), pa.array(df[df > 1].astype(np.int64))], ["token", "node", "df"])
+
+    def frequent_ones(tokens: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tokens, nodes = unique(tokens, nodes)
+        df = estimate(tokens, shared.value).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(_mix(tokens, 1).view(np.int64)), pa.array(nodes), pa.array(df)], ["token", "node", "df"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, often = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from several(*map(np.concatenate, zip(*held, strict=True)), _mix(np.array([now], np.uint64), 2))
+            if often:
+                yield from frequent_ones(*map(np.concatenate, zip(*often, strict=True)))
+            held.clear(), often.clear()
+
+        for batch in batches:
+            for at, frequent, tokens, nodes, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != now:
+                    yield from close()
+                now = at
+                nodes = np.repeat(np.frombuffer(nodes, np.int64), np.frombuffer(runs, np.uint32))
+                if frequent:
+                    often.append((np.frombuffer(tokens, np.uint64), nodes))
+                else:
+                    wide = np.zeros((len(nodes), 8), np.uint8)
+                    wide[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+                    held.append((wide.view(np.uint64).reshape(-1), nodes))
+        yield from close()
+
+    dealt = texts.mapInArrow(deal, "range int, frequent boolean, tokens binary, nodes binary, runs binary")
+    ordered = dealt.repartition("range").sortWithinPartitions("range")
+    return ordered.mapInArrow(count, "token long, node long, df long")
+
+
+def length(n: int, df: np.ndarray, percent: int) -> int:
+    """How many of a set's shared shingles, rarest first, its prefix takes: those of the l of the least cost.
+    n: size of the set; df: in how many sets each shared shingle is."""
+    need = -(-percent * n // 100)
+    first, most = n - need + 1 - (n - len(df)), min(MOST_MATCHES, need)
+    postings = np.cumsum(np.maximum(df[: first + most - 1] - 1.0, 0.0))[first - 1 :]
+    matches = np.arange(1, len(postings) + 1)
+    return first + int(np.argmin(postings + postings / matches * n / POSTINGS_PER_SHINGLE))
+
+
+def able(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The sets that share enough with others to be similar to one of them: node, n, parity, v (shared shingles), tokens and df of the shared
+    shingles, rarest first, and p, the length of the prefix of tokens."""
+    each = found.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    rows = each.join(nodes.select("node", "n", "parity"), "node").filter(100 * F.size("t") >= percent * F.col("n"))
+    rows = rows.select("node", "n", "parity", F.size("t").cast("long").alias("v"), F.col("t.token").alias("tokens"), F.col("t.df").alias("df"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("p", T.IntegerType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("df")
+            ends, df = lists.offsets.to_numpy(), lists.values.to_numpy()
+            p = [length(n, df[a:b], percent) for n, a, b in zip(batch.column("n").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.int32())], [*batch.schema.names, "p"])
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each hash of the nodes, in an array of fixed size; it grows no larger, only less selective."""
+    return rows.mapInArrow(run, schema)
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << FILTER_BLOCK, bool)
-        bits[frame["bit"].to_numpy()] = True
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    place = F.col("node").bitwiseAND((1 << FILTER_BITS) - 1)
-    rows = nodes.select(F.shiftright(place, FILTER_BLOCK).alias("block"), place.bitwiseAND((1 << FILTER_BLOCK) - 1).alias("bit")).distinct()
-    out = np.zeros((1 << FILTER_BITS - FILTER_BLOCK, 1 << FILTER_BLOCK - 3), np.uint8)
-    for block, bits in rows.groupBy("block").applyInPandas(run, "block long, bits binary").toPandas().itertuples(index=False):
-        out[block] = np.frombuffer(bits, np.uint8)
-    return out.reshape(-1)
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that reach the similarity. Pairs whose prefixes share too few tokens are
+    given up before their sets are compared: of an overlap of t, all but n_x - v_x - p_x less come in the prefix of x."""
+    side = lambda c: sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", "v", "p", "tokens")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    start = lambda c: F.slice(f"{c}_tokens", F.lit(1), F.col(f"{c}_p"))
+    need = least_overlap(F.col("a_n"), F.col("b_n"), percent)
+    rest = F.greatest(F.col("a_v") - F.col("a_p"), F.col("b_v") - F.col("b_p"))
+    near = (F.size(F.array_intersect(start("a"), start("b"))) >= need - rest) & (F.size(F.array_intersect("a_tokens", "b_tokens")) >= need)
+    return save(both.filter(near).select("a", "b"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the similarity."""
-    shared = docs.sparkSession.sparkContext.broadcast(node_filter(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+def least_overlap(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that sets of n and m have to share to be similar, in whole numbers."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - 1e-9)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
-        for _, texts in text_slices(batches, "_text"):
-            out = []
-            for found in shingle_sets(texts, width):
-                if len(found) and (node := node_of(found)) not in seen:
-                    at = node & (1 << FILTER_BITS) - 1
-                    if bits[at >> 3] >> (7 - (at & 7)) & 1:
-                        seen.add(node)
-                        out.append((node, found.view(np.int64)))
-            if out:
-                ends = np.cumsum([0, *(len(x) for _, x in out)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x in out])))], ["node", "set"])
 
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.LongType(), False))])
-    sets = save(docs.mapInArrow(run, schema).dropDuplicates(["node"]))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_in", F.size(F.array_intersect("_a", "_b")))
-    links = save(both.filter(100 * F.col("_in") >= percent * (F.size("_a") + F.size("_b") - F.col("_in"))).select("a", "b"))
-    drop_saved(sets)
-    return links
+def possible(percent: int, n: str = "n", v: str = "v", m: str = "q_n", w: str = "q_v") -> Column:
+    """Whether sets of these sizes (n, m), of which others share so much (v, w), can be similar."""
+    return F.least(v, w) >= least_overlap(F.col(n), F.col(m), percent)
 
 
-def least_overlap(percent: int) -> Column:
-    """Tokens that sets of n and q_n have to share to be similar."""
-    return F.ceil(percent * (F.col("n") + F.col("q_n")) / F.lit(100.0 + percent) - 1e-9)
+def links_of(sets: DataFrame, percent: int) -> DataFrame:
+    """node, component for every set of sets that is similar to another."""
+    each = sets.select("node", "n", "v", (F.col("v") - F.col("p")).alias("rest"), F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), F.col("p")).alias("token"), F.slice("df", F.lit(1), F.col("p")).alias("df"))).alias("t"))
+    each = each.select(F.col("t.token").alias("token"), F.col("t.df").alias("df"), "node", "n", "v", "rest")
+    # A list longer than HOT_LIST is cut into pieces by set.
+    pieces = F.greatest(F.floor(F.col("df") / HOT_LIST), F.lit(1))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("node", "token"), pieces).cast("int")).withColumn("pieces", pieces.cast("int")).drop("df")
+    place = Window.partitionBy("token", "salt")
+    before = lambda c: F.lag(c).over(place.orderBy("n", "node"))
+    # Own shingles in a million: the set with the fewest stands for the list.
+    own = (F.col("n") - F.col("v")) * 1_000_000 / F.col("n")
+    each = each.withColumn("key", F.struct(own.cast("long").alias("own"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("v").alias("v")))
+    lists = each.select("*", before("node").alias("p"), before("n").alias("p_n"), before("v").alias("p_v"), F.min("key").over(place).alias("best"), F.count("*").over(place).alias("_in"))
+    lists = save(lists.filter("_in > 1 or pieces > 1").drop("_in"))
+    star = lists.select("node", "n", "v", F.col("best.node").alias("q"), F.col("best.n").alias("q_n"), F.col("best.v").alias("q_v"), F.lit(0).alias("kind"))
+    side = lists.filter("p is not null").select("node", "n", "v", F.col("p").alias("q"), F.col("p_n").alias("q_n"), F.col("p_v").alias("q_v"), F.lit(1).alias("kind"))
+    near = star.unionByName(side).filter((F.col("q") != F.col("node")) & possible(percent)).groupBy("node", "kind", "q").count()
+    near = near.groupBy("node", "kind").agg(F.max_by("q", F.struct("count", "q")).alias("q"))
+    pairs = save(near.select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct())
+    tried, known = pairs, components(verified(sets, pairs, percent))
+
+    for _ in range(STAR_ROUNDS):
+        # One set of each component of a list, against the best of the list's other components.
+        placed = lists.select("token", "node", "key").join(known, "node", "left").select("token", "key", F.coalesce("component", "node").alias("c"))
+        heads = placed.groupBy("token", "c").agg(F.min("key").alias("key"))
+        first = heads.groupBy("token").agg(F.min(F.struct("key", "c")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+        met = heads.join(first, "token").filter("c != m.c")
+        met = met.select(F.col("key.node").alias("node"), F.col("key.n").alias("n"), F.col("key.v").alias("v"), F.col("m.key.node").alias("q"), F.col("m.key.n").alias("q_n"), F.col("m.key.v").alias("q_v"))
+        met = met.filter(possible(percent)).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
+        pairs = save(met.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        more = verified(sets, pairs, percent)
+        if more.isEmpty():
+            break
+        tried, known = tried.unionByName(pairs), joined(known, more)
+
+    own = save(lists.select("token", "pieces", "node", "n", "v", "rest").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
+    spans = own.groupBy("token", "c").agg(F.count("*").alias("count")).groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    open_lists = own.join(spans, "token")
+    open_lists = save(open_lists.join(sets.select("node", "parity"), "node"))
+    piece = F.pmod(F.xxhash64("node", "token"), "pieces")
+    rest = open_lists.filter("c != main").select(F.col("token").alias("q_token"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q_piece"), *(F.col(x).alias(f"q_{x}") for x in ("node", "n", "v", "rest", "c", "parity")))
+    here = open_lists.withColumn("piece", piece.cast("int"))
+    # Sets that can be similar differ in few tokens, and so their parities in few places.
+    apart = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        apart = apart + F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("q_parity")[i]))
+    wanted = (F.col("q_token") == F.col("token")) & (F.col("q_piece") == F.col("piece")) & (F.col("q_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("q_node") < F.col("node")))
+    pairs = rest.join(here, wanted & possible(percent) & (apart <= F.col("n") + F.col("q_n") - 2 * least_overlap(F.col("n"), F.col("q_n"), percent)))
+    pairs = pairs.groupBy(F.least("node", "q_node").alias("a"), F.greatest("node", "q_node").alias("b"), (F.col("n") + F.col("q_n")).alias("sizes"), F.greatest("rest", "q_rest").alias("most")).agg(F.countDistinct("token").alias("count"))
+    # What the prefixes share in all decides whether a pair is worth its verification.
+    pairs = pairs.filter(F.col("count") >= least_overlap(F.col("sizes"), F.lit(0), percent) - F.col("most")).select("a", "b")
+    pairs = save(pairs.join(tried, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        known = joined(known, verified(sets, pairs, percent))
+    drop_saved(lists)
+    drop_saved(own)
+    drop_saved(open_lists)
+    return known
 
 
-def enough(count: Column, percent: int) -> Column:
-    """Whether two sets (n, rest; q_n, q_rest) that share so many tokens in their prefixes can be similar: of an
-    overlap of t, all but rest_x come in the first n_x - rest_x tokens of x, so the prefixes share t less the larger rest."""
-    return count >= least_overlap(percent) - F.greatest("rest", "q_rest")
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of more links; those found before stand in for the links they came from."""
+    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -279,45 +408,11 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFram
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
     rows, sketch = census(docs, width)
-    texts = docs.select("_text")
-    place = Window.partitionBy("token", "salt")
-    before = lambda c: F.lag(c).over(place.orderBy("n", "node"))
-    lists = postings(texts, sketch, width, percent)
-    lists = lists.select("*", before("node").alias("p"), before("n").alias("pn"), F.min("node").over(place).alias("lo"), F.max("node").over(place).alias("hi"))
-    # Lists of one node link nothing; equal sets of several tasks stand side by side.
-    lists = save(lists.filter("(lo != hi or salt > 0) and (p is null or p != node)").select("token", "node", "n", "rest", "p", "pn"))
-    near = lists.filter(F.col("p").isNotNull() & (100 * F.col("pn") >= percent * F.col("n"))).groupBy("node", "p").count()
-    first = save(near.groupBy(F.col("node").alias("a")).agg(F.max_by("p", F.struct("count", "p")).alias("b")))
-    # What the two prefixes share in all decides whether the pair is worth its verification.
-    ours = first.join(lists.select(F.col("node").alias("a"), "token", "n", "rest"), "a")
-    theirs = lists.select(F.col("node").alias("b"), "token", F.col("n").alias("q_n"), F.col("rest").alias("q_rest"))
-    first = ours.join(theirs, ["b", "token"]).groupBy("a", "b", "n", "rest", "q_n", "q_rest").count()
-    links = verified(texts, save(first.filter(enough(F.col("count"), percent)).select("a", "b")), width, percent)
-    known = components(links)
-
-    own = lists.select("token", "node", "n", "rest").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    own = save(own)
-    spans = own.groupBy("token", "c").count().groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    open_lists = save(own.join(spans, "token"))
-    marks = rows.select("node", "parity").join(open_lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    open_lists = save(open_lists.join(marks, "node"))
-    rest = open_lists.filter("c != main").select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("rest").alias("q_rest"), F.col("c").alias("q_c"), F.col("parity").alias("q_parity"))
-    pairs = rest.join(open_lists, "token").filter("q_c != c and (c = main or q < node)")
-    pairs = pairs.filter(100 * F.least("n", "q_n") >= percent * F.greatest("n", "q_n"))
-    # Sets that can be similar differ in few tokens, and so their parities in few places.
-    apart = F.lit(0)
-    for i in range(PARITY_BITS // 64):
-        apart = apart + F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("q_parity")[i]))
-    pairs = pairs.filter(apart <= F.col("n") + F.col("q_n") - 2 * least_overlap(percent))
-    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("q").alias("b"), "n", "rest", "q_n", "q_rest").count()
-    # A pair may come from either side, in lists with different main components.
-    both = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("q_n")).alias("sizes"), F.greatest("rest", "q_rest").alias("rest")).agg(F.sum("count").alias("count"))
-    pairs = save(both.withColumns({"n": F.col("sizes"), "q_n": F.lit(0), "q_rest": F.col("rest")}).filter(enough(F.col("count"), percent)).select("a", "b"))
-    if not pairs.isEmpty():
-        # The components found before stand in for the links they came from.
-        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(texts, pairs, width, percent)))
-
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    nodes = save(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity")))
+    every = nodes.agg(F.sum("n")).first()[0] or 0
+    ranges = min(max(1, every // RANGE_SHINGLES), MOST_RANGES)
+    sets = save(able(shared_shingles(docs.select("_text"), sketch, ranges, width), nodes, percent))
+    known = links_of(sets, percent)
     nodes = save(nodes.join(known, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component")))
     smallest = nodes.join(known.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("doc").alias("_least"))
     return rows, save(nodes.join(smallest, "component", "left").select("node", "doc", F.coalesce("_least", "doc").alias("component_id")))
