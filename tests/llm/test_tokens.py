@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import Row
@@ -20,9 +21,10 @@ def texts(n=300):
     return ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(n)]
 
 
-def test_pieces_equal_library(spark):
+def test_pieces_equal_library(spark, monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    rows = [(i, t) for i, t in enumerate(texts())] + [(-1, None), (None, "a b"), (0, "")]
+    monkeypatch.setattr(pieces, "PAGE_BYTES", 1000)
+    rows = [(i, t) for i, t in enumerate(texts())] + [(-1, None), (None, "a b"), (0, ""), (7, "x  y " * 30_000), (7, "x  y " * 30_000), (8, " ")]
     out = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES), PIECES).collect()
     want = sorted(((d, lib.encode(t or "")) for d, t in rows), key=str)
     assert sorted(((r.doc_id, list(r.ids)) for r in out), key=str) == want
@@ -34,9 +36,10 @@ def test_pieces_equal_library(spark):
 def test_words_equal_library():
     lib = Tokenizer.from_file(WORDS)
     enc = wavelet.WordEncoder(WORDS)
-    got = enc.encode(texts(2000))
-    for t, g in zip(texts(2000), got, strict=True):
-        assert np.frombuffer(g, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    some = [*texts(2000), None, "x y " * 40_000]
+    ids, ends = enc.encode(pa.array(["left out", *some]).slice(1))
+    for t, g in zip(some, np.split(ids, ends[:-1]), strict=True):
+        assert g.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_shard_lookups():
@@ -49,6 +52,7 @@ def test_shard_lookups():
     where = np.flatnonzero(ids == 33)
     assert shard.count(33) == len(where) and shard.count(63) == 0 and shard.count(64) == 0
     assert shard.rank(33, 100_000) == (where < 100_000).sum()
+    assert shard.find(33) == where.tolist() and shard.find(63) == [] and shard.find(64) == []
     assert [shard.select(33, k) for k in (0, 1, len(where) - 1)] == where[[0, 1, -1]].tolist()
     with pytest.raises(IndexError):
         shard.select(33, len(where))
@@ -59,7 +63,7 @@ def test_shard_lookups():
 def test_shards_round_trip(spark, monkeypatch):
     monkeypatch.setattr(wavelet, "SHARD_TOKENS", 100)
     lib = Tokenizer.from_file(WORDS)
-    rows = [Row(doc_id=3 * i, text=t, start="clash") for i, t in enumerate(texts())] + [Row(doc_id=4, text=None, start="")]
+    rows = [Row(doc_id=3 * i, text=t, start="clash") for i, t in enumerate(texts())] + [Row(doc_id=4, text=None, start=""), Row(doc_id=-(1 << 63), text="a b", start="")]
     manifest = wavelet.write_shards(spark.createDataFrame(rows), WORDS, 2)
     assert manifest.count() > 5
     got = {r.doc_id: r for r in wavelet.read_shards(manifest).collect()}
@@ -71,6 +75,9 @@ def test_shards_round_trip(spark, monkeypatch):
         assert got[r.doc_id].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
         every += ids
+    twice = spark.createDataFrame([(None, "a", 1), (None, "b c", 2), (5, "d", 3), (5, "d", 4), (5, "x " * 500, 5)], "doc_id long, text string, n_tokens int")
+    again = wavelet.read_shards(wavelet.write_shards(twice, WORDS, 2)).collect()
+    assert [r.doc_id for r in sorted(again, key=lambda r: r.start)] == [None, None, 5, 5, 5] and sorted(r.n_tokens for r in again)[:4] == [2, 2, 2, 3]
     found = sorted(r.position for r in wavelet.occurrences(manifest, 320).collect())
     assert found == [i for i, x in enumerate(every) if x == 320]
     assert wavelet.read_shards(wavelet.write_shards(spark.createDataFrame([], "doc_id long, text string"), WORDS, 2)).count() == 0

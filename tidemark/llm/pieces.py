@@ -1,110 +1,161 @@
-"""SentencePiece encoding and decoding with distinct-chunk tables.
+"""SentencePiece encoding and decoding with a distinct-chunk table.
 
 No piece of the model holds a white-space marker after another character, so merges never cross from
-one marked word into the next: a text is cut before each run of markers, every distinct marked word is
-segmented once per Python worker, and the ids are joined back by position. The result equals the
-library's encode() of the whole text. Nothing is shuffled; a worker's table is bounded by TABLE_CHUNKS.
-
-A table shared by the whole cluster would need a join of every word occurrence (about 30 bytes of
-shuffle for 6 bytes of text); one table per worker keeps the method and needs no shuffle.
+one marked word into the next: a text is cut before each run of markers, every distinct marked word of the
+whole table is segmented once, and the ids are joined back by position. The result equals the library's encode() of the
+whole text.
+
+Texts become pages: some texts with the list of their distinct chunks, and for every place the number of the chunk
+that stands there. Only the distinct chunks of each page are shuffled, not their occurrences: to the one
+table of all chunks and, with their ids, back to the page, where the ids are gathered by position. A page
+holds at most PAGE_BYTES of text (one text at least), which bounds what a task holds.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import text_slices
+from tidemark.llm.common import batch_slices, gather, save
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Distinct chunks a worker holds before it starts its table anew.
-TABLE_CHUNKS = 600_000
-
-_tables: dict[str, ChunkTable] = {}
-
-
-class ChunkTable:
-    """Marked word -> its ids as little-endian 32-bit integers."""
-
-    def __init__(self, model: str):
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.held: dict[str, bytes] = {}
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
-        #: Whether the method holds for this model. Else whole texts are segmented: a normalizer that rewrites texts or drops spaces would see chunks differently.
-        self.separable = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.encode(" ", out_type=str) == [MARK * 2] and self.model.decode(self.model.encode("ﬁ①")) == "ﬁ①"
-        self.lone = np.array([self.model.piece_to_id(MARK)], "<i4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.held) + len(chunks) > TABLE_CHUNKS:
-            self.held.clear()
-        new = [c for c in chunks if c not in self.held]
-        # The library puts a marker before every text, so each chunk goes in without its first one.
-        for chunk, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
-            self.held[chunk] = np.array(ids, "<i4").tobytes()
-        if MARK in self.held:
-            self.held[MARK] = self.lone
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.separable:
-            return [np.array(self.model.encode(t or ""), "<i4").tobytes() for t in texts]
-        rows = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct: set[str] = set()
-        for row in rows:
-            distinct.update(row)
-        self.learn(distinct)
-        find = self.held.__getitem__
-        return [b"".join(map(find, row)) for row in rows]
-
-
-def chunk_table(model: str) -> ChunkTable:
-    if model not in _tables:
-        _tables[model] = ChunkTable(model)
-    return _tables[model]
+#: Text bytes of a page.
+PAGE_BYTES = 8 << 20
+
+_models: dict[str, sentencepiece.SentencePieceProcessor] = {}
+
+
+def library(model: str) -> sentencepiece.SentencePieceProcessor:
+    if model not in _models:
+        _models[model] = sentencepiece.SentencePieceProcessor(model_file=model)
+    return _models[model]
+
+
+def separable(model: str) -> bool:
+    """Whether the method holds for this model. Else whole texts are segmented: a normalizer that rewrites texts or
+    drops spaces would see chunks differently."""
+    own = library(model)
+    pieces = (own.id_to_piece(i) for i in range(own.get_piece_size()))
+    return not any(MARK in p.lstrip(MARK) for p in pieces) and own.encode(" ", out_type=str) == [MARK * 2] and own.decode(own.encode("ﬁ①")) == "ﬁ①"
+
+
+def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts one after the other, a space for each marker, and how many each text has. The library
+    puts a marker before every text but the empty one."""
+    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), MARK, " ")
+    marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+    _, ends, data = marked.buffers()
+    ends = np.frombuffer(ends, np.int32)[marked.offset : marked.offset + len(marked) + 1]
+    space = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] == 32 if data is not None else np.zeros(0, bool)
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[(ends[:-1] - ends[0])[ends[1:] > ends[:-1]]] = True
+    at = np.flatnonzero(first).astype(np.int32)
+    offsets = np.append(at + ends[0], ends[-1]).astype(np.int32)
+    counts = np.diff(np.searchsorted(at, ends - ends[0]))
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), data if data is not None else pa.py_buffer(b"")), counts
+
+
+def segmented(chunks: list[str], model: str) -> list[bytes]:
+    """The ids of each chunk as little-endian 32-bit integers. Each goes into the library without its first marker,
+    which the library puts there; for a chunk of one marker it does not."""
+    own = library(model)
+    lone = [own.piece_to_id(MARK)]
+    return [np.array(ids if chunk != " " else lone, "<i4").tobytes() for chunk, ids in zip(chunks, own.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+
+
+def _pages(source: DataFrame, rest: list[str]) -> DataFrame:
+    """page (a name), rows (array of structs of rest), words (chunks of each row), codes (the chunk at each place, by the
+    number it has in chunks, as byte planes) and chunks (the distinct ones, commonest first)."""
+    each = T.StructType([source.schema[c] for c in rest])
+    schema = T.StructType([T.StructField("page", T.StringType()), T.StructField("rows", T.ArrayType(each)), *(T.StructField(c, T.BinaryType()) for c in ("words", "codes")), T.StructField("chunks", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for part in batch_slices(batches, "_text", PAGE_BYTES):
+            found, counts = chunks_of(part.column("_text"))
+            numbered = pc.dictionary_encode(found)
+            place = numbered.indices.to_numpy()
+            order = np.argsort(-np.bincount(place, minlength=len(numbered.dictionary)), kind="stable")
+            number = np.empty(len(order), "<u4")
+            number[order] = np.arange(len(order))
+            planes = number[place].view(np.uint8).reshape(-1, 4).T.tobytes()
+            rows = pa.StructArray.from_arrays([part.column(c) for c in rest], fields=[part.schema.field(c) for c in rest])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(rows), pa.array([squeeze(counts.astype("<u4").tobytes())]), pa.array([squeeze(planes)]), one(numbered.dictionary.take(pa.array(order)))], ["page", "rows", "words", "codes", "chunks"])
+
+    return source.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, the columns of keep, and ids array<int>, as the library encodes each whole text without
     begin or end ids.
 
-    Null and empty texts have an empty list. Row order, ties and repeated rows are kept; an empty table
-    gives an empty table. Columns that are not asked for are left out, so none can clash.
+    Null and empty texts have an empty list. Repeated rows are encoded each; rows come in no given order. A very long
+    text is a page of its own. An empty table gives an empty table. Columns that are not asked for are left out, so none can clash.
     """
     rest = [id_col, *(c for c in keep if c != id_col)]
     source = docs.select(*(docs[c] for c in rest), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*(source.schema[c] for c in rest), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(model)
-        for part, texts in text_slices(batches, "_text"):
-            encoded = table.encode(texts)
-            ends = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(ends), values)], [*rest, "ids"])
+    def lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
 
-    return source.mapInArrow(run, schema)
+    if not separable(model):
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batch_slices(batches, "_text"):
+                ids = [np.array(library(model).encode(t or ""), "<i4") for t in part.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists(np.concatenate(ids), np.array([len(x) for x in ids]))], [*rest, "ids"])
+
+        return source.mapInArrow(whole, schema)
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segmented(batch.column(0).to_pylist(), model), pa.binary())], ["chunk", "ids"])
+
+    def fill(page: pa.Table, known: pa.Table) -> pa.Table:
+        opened = lambda c: np.frombuffer(zstandard.ZstdDecompressor().decompress(page.column(c)[0].as_py()), np.uint8)
+        place = np.ascontiguousarray(opened("codes").reshape(4, -1).T).view("<u4").reshape(-1)
+        known = known.sort_by("pos").column("ids").combine_chunks()
+        runs = pc.binary_length(known).to_numpy() // 4
+        flat = np.frombuffer(b"".join(known.to_pylist()), "<i4")
+        sizes = np.concatenate([[0], np.cumsum(runs[place])])
+        words = np.concatenate([[0], np.cumsum(opened("words").view("<u4"), dtype=np.int64)])
+        rows = page.column("rows").combine_chunks().flatten()
+        ids = lists(gather(flat, np.cumsum(runs) - runs, runs, place), np.diff(sizes[words]))
+        return pa.Table.from_arrays([*(rows.field(c) for c in rest), ids], [*rest, "ids"])
+
+    pages = save(_pages(source, rest))
+    chunks = pages.select("page", F.posexplode("chunks").alias("pos", "chunk"))
+    table = chunks.select("chunk").distinct().mapInArrow(segment, "chunk string, ids binary")
+    back = chunks.join(table, "chunk").select(F.col("page").alias("of"), "pos", "ids")
+    return pages.drop("chunks").groupBy("page").cogroup(back.groupBy("of")).applyInArrow(fill, schema)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """The rows with out_col string, the library's decode() of ids_col; null ids give null."""
+    """The rows with out_col string, the library's decode() of ids_col; null ids give null. Repeated rows are decoded
+    each; a list of any length is decoded whole."""
     rest = [c for c in encoded.columns if c != out_col]
     source = encoded.select(*rest)
     schema = T.StructType([*source.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = chunk_table(model).model
+        own = library(model)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 ids = part.column(ids_col).to_pylist()
-                texts = [None if x is None else library.decode(x) if x else "" for x in ids]
+                texts = [None if x is None else own.decode(x) if x else "" for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*rest, out_col])
 
     return source.mapInArrow(run, schema)
