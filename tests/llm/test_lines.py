@@ -20,8 +20,8 @@ def brute(rows):
     lines.sort(key=lambda r: (r[0][0] is not None, r[0]))
     earlier, gone = [], set()
     for at, x in lines:
-        if len(x) >= linededup.MIN_CHARS:
-            if any(near(x, y) for y in earlier):
+        if len(x) >= linededup.MIN_CHARS or x.strip(" \t\n\x0b\x0c\r"):
+            if x in earlier or len(x) >= linededup.MIN_CHARS and any(near(x, y) for y in earlier if len(y) >= linededup.MIN_CHARS):
                 gone.add(at)
             earlier.append(x)
     return [(d, 0, 0, None) if t is None else (d, len(p := t.split("\n")), sum((d, i) in gone for i in range(len(p))), "\n".join(x for i, x in enumerate(p) if (d, i) not in gone)) for d, t in rows]
@@ -50,7 +50,7 @@ def test_equals_brute_force(spark):
     assert len(twice) == 3
 
 
-def test_short_repeats_go_where_asked(spark):
+def test_short_repeats_go(spark):
     rng = random.Random(4)
     base = ["}", "Yes.", "x" * 19, "y" * 20, "", "  ", "Table of contents: 1", "é", "z" * 40]
     rows = [(d, "\n".join(rng.choices(base, k=6))) for d in range(30)]
@@ -63,10 +63,17 @@ def test_short_repeats_go_where_asked(spark):
             seen.add(x)
         want[d] = "\n".join(left)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in linededup.dedup(df, shortest=1).collect()} == want
-    assert {r.doc_id: r.text for r in linededup.clean_documents(df, shortest=1).collect()} == want
+    assert {r.doc_id: r.text for r in linededup.dedup(df).collect()} == want
+    assert {r.doc_id: r.text for r in linededup.clean_documents(df).collect()} == want
     near = spark.createDataFrame([(1, "y" * 20 + "\n" + "w" * 19), (2, "y" * 19 + "v\n" + "w" * 18 + "v")], "doc_id long, text string")
-    assert [r.text for r in linededup.dedup(near, shortest=1).orderBy("doc_id").collect()] == ["y" * 20 + "\n" + "w" * 19, "w" * 18 + "v"]
+    assert [r.text for r in linededup.dedup(near).orderBy("doc_id").collect()] == ["y" * 20 + "\n" + "w" * 19, "w" * 18 + "v"]
+
+
+def test_short_lines_stay_where_asked(spark):
+    df = spark.createDataFrame([(1, "a\n" + "w" * 19), (2, "a\n" + "w" * 19)], "doc_id long, text string")
+    assert sum(r.n_dropped for r in linededup.dedup(df).collect()) == 2
+    assert sum(r.n_dropped for r in linededup.dedup(df, shortest=19).collect()) == 1
+    assert sum(r.n_dropped for r in linededup.dedup(df, shortest=20).collect()) == 0
 
 
 def test_query_equals_sql(spark):

@@ -9,10 +9,9 @@ different line is left out. That test is exact, and it also tells in which half
 variant's key is the exclusive or of the hashes of its BLOCK-sized pieces with their places, so a line
 of n characters costs n hashes of BLOCK characters however long it is.
 
-Lines of under MIN_CHARS characters stay by default, exact repeats too: LINES_SQL, which op10_line_dedup must
-equal, compares no shorter ones. On the documents of sf0.1 that leaves 5,265 of the 18,754 non-blank lines that equal an
-earlier one (28 %). With shortest=1 later exact repeats of all non-blank lines go;
-one-edit variants are still found from MIN_CHARS on only.
+Later exact repeats go at every length, from `shortest` characters on (1 by default: all lines that are not blank;
+blank lines part paragraphs and stay). One-edit variants are looked for from MIN_CHARS on: of shorter lines one
+character is too large a part to call them the same ("Yes." and "Yet.", list numbers, table cells).
 
 Lines are named by 64-bit hashes; a line's place is (doc_id, hash of the document's text, line number).
 """
@@ -22,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm.common import drop_saved, save
 
-#: Shorter lines have no one-edit variants, and unless shortest is given no repeats; production value, as in LINES_SQL.
+#: Shorter lines have no one-edit variants; production value, as in LINES_SQL.
 MIN_CHARS = 20
+#: Tasks that the places of one line are spread over.
+SPREAD = 8
 ANCHOR, BLOCK = 4, 64
 #: Filter of lines whose text is shuffled: bits by hash in bitmaps of 4 KB, 16 MB in all, whatever the input.
 FILTER_BITS, BITMAP_BITS = 27, 15
@@ -39,12 +40,12 @@ def _right(c: Column, n: Column) -> Column:
     return F.substring(c, F.length(c) - n + 1, n)
 
 
-def lines_of(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+def lines_of(docs: DataFrame, shortest: int = 1) -> DataFrame:
     """doc_id, d2 (hash of the text), line_no, line, h: the lines of MIN_CHARS and more of every whole text, and
     those of shortest and more that are not blank."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("d2"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     long = F.length("line") >= MIN_CHARS
-    wanted = long | ((F.length("line") >= shortest) & F.col("line").rlike(r"\S")) if shortest < MIN_CHARS else long
+    wanted = long | ((F.length("line") >= shortest) & F.col("line").rlike(r"[^\x20\x09-\x0D]")) if shortest < MIN_CHARS else long
     return rows.filter(wanted).withColumn("h", F.xxhash64("line"))
 
 
@@ -99,21 +100,21 @@ def variants(rows: DataFrame) -> DataFrame:
     return own.unionByName(block.select("h", F.explode(F.array_distinct(keys)).alias("key")))
 
 
-def near_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The lines (without text), h and place of the first occurrence of every distinct line, and the pairs (a, b)
+def near_lines(docs: DataFrame, shortest: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines (without text), h, place of the first occurrence and number n of occurrences of every distinct line, and the pairs (a, b)
     of different lines within one edit."""
     lines = lines_of(docs, shortest)
     anchors = _anchors(F.col("line"))
     if shortest < MIN_CHARS:
         anchors = F.when(F.length("line") >= MIN_CHARS, anchors)
     place = F.struct("doc_id", "d2", "line_no")
-    seen = lines.groupBy("h").agg(F.min(place).alias("place"), F.first(anchors).alias("anchors"))
-    seen = save(seen.select("h", "place", "anchors"))
+    seen = lines.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first(anchors).alias("anchors"))
+    seen = save(seen.select("h", "place", "n", "anchors"))
     keys = seen.select("h", F.explode("anchors").alias("k")).select("h", "k.key", "k.head")
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("key")
     able = save(keys.join(shared, "key", "left_semi").groupBy("h").agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail")))
     # An equal first half leaves the edit to the blocks behind it, an equal last half to those before it.
-    texts = _in_filter(lines.select("h", "line"), _bit_filter(able)).join(able, "h").dropDuplicates(["h"])
+    texts = _in_filter(lines.select("h", "line"), _bit_filter(able)).dropDuplicates(["h"]).join(able.hint("merge"), "h")
     cell = F.floor(F.length("line") / (2 * ANCHOR)).cast("int") * ANCHOR
     lo = F.when(F.col("tail"), F.lit(0)).otherwise(F.floor(cell / BLOCK).cast("int"))
     hi = F.when(F.col("head"), F.floor((F.length("line") - 1) / BLOCK)).otherwise(F.floor((F.length("line") - cell) / BLOCK)).cast("int")
@@ -121,14 +122,14 @@ def near_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> tuple[DataFrame, D
     made = variants(texts)
     pairs = made.withColumnRenamed("h", "a").join(made.withColumnRenamed("h", "b"), "key").filter("a < b").select("a", "b").distinct()
     text = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"_{c}"))
-    pairs = pairs.join(text("a"), "a").join(text("b"), "b").filter(F.levenshtein("_a", "_b", 1) >= 0)
-    return lines, seen.select("h", "place"), save(pairs.select("a", "b"))
+    pairs = save(pairs.join(text("a"), "a").join(text("b"), "b").filter(F.levenshtein("_a", "_b", 1) >= 0).select("a", "b"))
+    drop_saved(able, texts)
+    return lines, seen.select("h", "place", "n"), pairs
 
 
-def dropped_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, shortest: int = 1) -> DataFrame:
     """doc_id, d2, gone (array of line numbers): of the lines of MIN_CHARS and more, those equal to or within one edit
     of an earlier one; of shorter ones, from shortest on and not blank, those equal to an earlier one.
-    By default shorter lines all stay (28 % of the non-blank repeats in sf0.1).
 
     Earlier goes by doc_id (null first), hash of the text, line number; a line counts as earlier whether
     it stays itself or not.
@@ -137,13 +138,17 @@ def dropped_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     first = lambda c: seen.select(F.col("h").alias(c), F.col("place").alias(f"_{c}"))
     both = pairs.join(first("a"), "a").join(first("b"), "b")
     late = both.select(F.when(F.col("_a") < F.col("_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("late", F.lit(True))
-    known = save(seen.join(late, "h", "left").select("h", F.col("place").alias("first"), F.coalesce("late", F.lit(False)).alias("late")))
-    here = lines.select("h", F.struct("doc_id", "d2", "line_no").alias("place"))
-    gone = here.join(known, "h").filter(F.col("late") | ~F.col("place").eqNullSafe(F.col("first")))
+    known = seen.join(late, "h", "left").select("h", "n", F.col("place").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
+    known = save(known.filter("late or n > 1"))
+    # Only lines of which some place goes are looked up, and a very common one is spread over SPREAD tasks.
+    here = _in_filter(lines.select("h", F.struct("doc_id", "d2", "line_no").alias("place")), _bit_filter(known))
+    here = here.withColumn("_s", F.pmod(F.xxhash64("place"), F.lit(SPREAD)))
+    known = known.drop("n").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    gone = here.join(known.hint("merge"), ["h", "_s"]).filter(F.col("late") | ~F.col("place").eqNullSafe(F.col("first")))
     return gone.groupBy("place.doc_id", "place.d2").agg(F.collect_set("place.line_no").alias("gone"))
 
 
-def without_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+def without_lines(docs: DataFrame, shortest: int = 1) -> DataFrame:
     """All columns of docs with text without the dropped lines, and _lines and _gone, the numbers of its lines
     before and of those dropped.
 
@@ -164,13 +169,13 @@ def without_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     return rows.select(*(F.col("_text").alias(c) if c == "text" else F.col("_in")[c].alias(c) for c in columns), "_lines", "_gone")
 
 
-def dedup(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, shortest: int = 1) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped and text, what is left of it."""
     rows = without_lines(docs.select("doc_id", "text"), shortest)
     return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped"), "text")
 
 
-def clean_documents(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+def clean_documents(docs: DataFrame, shortest: int = 1) -> DataFrame:
     """The documents with all their columns, text without dropped lines and n_chars, where there is one, to match."""
     rows = without_lines(docs, shortest).drop("_lines", "_gone")
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
