@@ -40,6 +40,11 @@ def test_trees_equal_brute_force(spark):
         assert [(t.role, t.text) for t in r.turns] == [(by_id[c, m][4] or "", by_id[c, m][5] or "") for m in path]
         masked = [r.formatted[s.start : s.start + s.length] for s in r.loss]
         assert len(masked) == sum(by_id[c, m][4] == "assistant" for m in path)
+    for r in got.values():
+        starts = [0]
+        for t in r.formatted.split(chat.START)[1:]:
+            starts.append(starts[-1] + len(chat.START) + len(t))
+        assert all(starts[s.turn] + s.skip == s.start for s in r.loss)
     best = chat.format_paths(df, branches=2).collect()
     ranked = {}
     for (c, leaf), (_, score) in want.items():
@@ -59,3 +64,16 @@ def test_chain_digests(spark):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256(flat.encode()).hexdigest()
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_repeated_messages_and_long_conversations(spark):
+    again = [(1, 1, None, 0.0, "user", "a"), (1, 1, None, 0.0, "user", "a"), (1, 1, None, 0.0, "user", "b"), (1, 2, 1, 1.0, "assistant", "c"), (1, 2, 1, 1.0, "assistant", "c")]
+    schema = "conv_id long, msg_id long, parent_id long, score double, role string, text string"
+    (r,) = chat.format_paths(spark.createDataFrame(again, schema), branches=1).collect()
+    assert r.formatted.count(chat.START) == 2 and "a" in r.formatted and r.rank == 1 and r.branch_score == 1.0
+    n = 300
+    rows = [(7, i, "assistant" if i % 2 else "user", f"é{i}" * 200) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = chat.digests(chat.format_paths(chat.as_chain(df), branches=1)).collect()
+    loss = "".join(t for _, i, _, t in rows if i % 2)
+    assert r.n_turns == n and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()

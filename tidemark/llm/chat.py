@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm.common import drop_saved, save
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Role whose texts the loss counts.
@@ -56,12 +56,14 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """conv_id, leaf_id, depth, back (replies between the message and the leaf), branch_score, rank and msg_id: one row
     per message of each chosen root-to-leaf path.
 
-    messages: conv_id, msg_id (unique and ascending with time within a conversation), parent_id, score.
+    messages: conv_id, msg_id (ascending with time within a conversation), parent_id, score. Rows that repeat a
+    msg_id are one message, with the smallest parent and its score (in format_paths: the smallest role and its text).
     A parent that is null, missing or not earlier than its reply makes the reply a root, so there are no
     cycles. Null scores count 0. Of each conversation the `branches` best paths by summed score are
     chosen, all if None (rank is then null); ties go to the smaller leaf.
     """
     own = messages.select("conv_id", "msg_id", F.when(F.col("parent_id") < F.col("msg_id"), F.col("parent_id")).alias("_up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("_score"))
+    own = own.groupBy("conv_id", "msg_id").agg(F.min(F.struct("_up", "_score")).alias("_r")).select("conv_id", "msg_id", "_r._up", "_r._score")
     ids = own.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"))
     own = own.join(ids, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_up") == F.col("_m")), "left").drop("_c", "_up").withColumnRenamed("_m", "_up")
     # Jump table k: the message 2**k replies up, with how many messages and how much score the jump passes.
@@ -92,35 +94,44 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         jump = jumps[k].filter("_up is not null").select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), "_up")
         up = found.join(jump, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("msg_id") == F.col("_m")))
         up = up.withColumn("msg_id", F.col("_up")).withColumn("back", F.col("back") + (1 << k)).select(*found.columns)
-        found = save(found.unionByName(up))
+        before, found = found, save(found.unionByName(up))
+        if hasattr(before, "_saved_at"):
+            drop_saved(before)
+    if hasattr(found, "_saved_at"):
+        drop_saved(*jumps)
     return found
 
 
 def format_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """One row per chosen path: conv_id, leaf_id, rank, branch_score, formatted, and loss, the code-point
-    ranges (start from 0, length) of formatted that the loss counts: the texts of LOSS_ROLE.
+    ranges of formatted that the loss counts, the texts of LOSS_ROLE: start (from 0) and length, and the same start as
+    a turn's number and how far (skip) into the turn it lies.
 
     An empty table gives an empty table; empty texts format as empty turns. A path ends up in one row,
-    so its text must fit one string.
+    so its text must fit one string; work and memory grow in proportion to its length.
     """
     found = paths(messages, branches)
     turns = messages.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), escape_role(F.coalesce("role", F.lit(""))).alias("_role"), escape(F.coalesce("text", F.lit(""))).alias("_text"), (F.col("role") == LOSS_ROLE).alias("_loss"))
+    turns = turns.groupBy("_c", "_m").agg(F.min(F.struct("_role", "_text", "_loss")).alias("_t")).select("_c", "_m", "_t.*")
     rows = found.join(turns, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("msg_id") == F.col("_m")))
     head = F.concat(F.lit(START), "_role", F.lit("\n"))
-    turn = F.struct((-F.col("back")).alias("at"), F.concat(head, "_text", F.lit(f"{END}\n")).alias("turn"), F.length(head).alias("skip"), F.length("_text").alias("size"), F.coalesce("_loss", F.lit(False)).alias("loss"))
-    whole = rows.groupBy("conv_id", "leaf_id", "rank", "branch_score").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    step = lambda acc, t: F.struct(
-        (acc["at"] + F.length(t["turn"])).alias("at"),
-        F.when(t["loss"], F.array_append(acc["spans"], F.struct((acc["at"] + t["skip"]).alias("start"), t["size"].cast("long").alias("length")))).otherwise(acc["spans"]).alias("spans"),
-    )
-    return whole.select("conv_id", "leaf_id", "rank", "branch_score", F.array_join(F.col("_turns.turn"), "").alias("formatted"), F.aggregate("_turns", begin, step)["spans"].alias("loss"))
+    rows = rows.select("conv_id", "leaf_id", "rank", "branch_score", "back", F.concat(head, "_text", F.lit(f"{END}\n")).alias("_turn"), F.length(head).alias("_skip"), F.length("_text").alias("_size"), F.coalesce("_loss", F.lit(False)).alias("_loss"))
+    path = Window.partitionBy("conv_id", "leaf_id").orderBy(F.col("back").desc())
+    rows = rows.withColumn("_at", F.sum(F.length("_turn")).over(path) - F.length("_turn")).withColumn("_no", F.row_number().over(path) - 1)
+    span = F.struct(F.col("_no").alias("turn"), (F.col("_at") + F.col("_skip")).alias("start"), F.col("_skip").alias("skip"), F.col("_size").cast("long").alias("length"))
+    turn = F.struct(F.col("_no").alias("no"), F.col("_turn").alias("turn"))
+    whole = rows.groupBy("conv_id", "leaf_id", "rank", "branch_score").agg(F.array_sort(F.collect_list(turn)).alias("_turns"), F.array_sort(F.collect_list(F.when(F.col("_loss"), span))).alias("loss"))
+    return whole.select("conv_id", "leaf_id", "rank", "branch_score", F.array_join(F.col("_turns.turn"), "").alias("formatted"), "loss")
+
+
+def turns_of(formatted: Column) -> Column:
+    """The turns of a formatted string as they stand there, each without its START."""
+    return F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 1 << 30)
 
 
 def parse(formatted: Column) -> Column:
     """The turns of a formatted string: array of role and text, as they were before escaping."""
-    parts = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 1 << 30)
-    return F.transform(parts, lambda p: F.struct(
+    return F.transform(turns_of(formatted), lambda p: F.struct(
         unescape_role(F.substring_index(p, "\n", 1)).alias("role"),
         unescape(F.substring(p, F.instr(p, "\n") + 1, F.length(p) - F.instr(p, "\n") - len(END) - 1)).alias("text"),
     ))
@@ -128,9 +139,10 @@ def parse(formatted: Column) -> Column:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Per path, read back from formatted and its loss ranges: counts and digests of turns and loss text."""
-    turns = parse(F.col("formatted"))
-    lossy = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))), "")
-    read = formatted.select("conv_id", "leaf_id", "formatted", turns.alias("_turns"), lossy.alias("_loss"))
+    # A range is cut from its own turn: cutting each from the start of the whole string would be quadratic.
+    read = formatted.select("conv_id", "leaf_id", "formatted", "loss", parse(F.col("formatted")).alias("_turns"), turns_of(F.col("formatted")).alias("_parts"))
+    under = lambda s: unescape(F.substring(F.get("_parts", s["turn"]), s["skip"] - len(START) + 1, s["length"].cast("int")))
+    read = read.select("conv_id", "leaf_id", "formatted", "_turns", F.array_join(F.transform("loss", under), "").alias("_loss"))
     flat = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
