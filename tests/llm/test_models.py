@@ -26,12 +26,36 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
 
 
+def brute_more(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    longest = max((len(w.encode()) for w in words), default=0)
+    return lines, len(set(words)), len(re.findall(r"[.,;:!?()'\"-]", text)), len(re.findall("[0-9]", text)), len(re.findall("[A-Z]", text)), longest
+
+
+def brute_features(text):
+    """The features by their names, from the brute-force counts."""
+    words, chars, symbols, dup, repeat = brute_counts(text)
+    lines, distinct, punctuation, digits, upper, longest = brute_more(text)
+    w, c = max(words, 1), max(chars, 1)
+    ratios = {"word_length": chars / w, "symbol_share": symbols / c, "dup_lines_per_word": dup / w, "repeat_share": repeat / w, "words_per_line": words / max(lines, 1)}
+    return {"words": words, **ratios, "distinct_share": distinct / w, "punctuation_share": punctuation / c, "digit_share": digits / c, "upper_share": upper / c, "longest_word": longest}
+
+
+def brute_rule(rules, text):
+    """The number of the first rule whose every condition holds."""
+    x = brute_features(text)
+    return next((i + 1 for i, r in enumerate(rules) if all((x[n] > at) if above else (x[n] <= at) for n, above, at in r.literals)), None)
+
+
 def test_counts_equal_brute_force():
     rng = random.Random(3)
     texts = [None, "", " ", "\n\n", "a b c", "a a a a", "a b c a b c", "x\ny\nx\n \n ", "é日 #\x1c# é日", "a\x0bb\x85c d"]
     texts += ["".join(rng.choice("ab \n#é") for _ in range(rng.randrange(200))) for _ in range(300)]
     for t in texts:
-        assert quality.count(t) == brute_counts(t), t
+        assert quality.count(t)[:5] == brute_counts(t), t
+        assert quality.count(t)[5:] == brute_more(t), t
 
 
 def test_decision_list_learns_and_applies(spark):
@@ -39,12 +63,15 @@ def test_decision_list_learns_and_applies(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     out = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
     assert len(out) == docs.count()
+    rules = quality.learn(quality.statistics(docs), quality.sample_of(labels))
+    assert rules
     for r in docs.collect():
         got = out[r.doc_id]
         want = brute_counts(r.text)
         assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == want
         assert got.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert not (got.base_failed and got.kept)
+        assert got.rule == (None if got.base_failed else brute_rule(rules, r.text))
+        assert got.kept == (not got.base_failed and got.rule is None)
     kept = quality.keep_documents(docs.withColumn("n_words", docs["lang"]), labels)
     assert kept.columns == [*docs.columns, "n_words"]
     assert {r.doc_id for r in kept.collect()} == {k for k, r in out.items() if r.kept}
@@ -59,9 +86,29 @@ def test_sequential_covering():
     rules = quality.cover(x, bad)
     hit = np.logical_or.reduce([r.covers(x) for r in rules])
     assert (hit & bad).sum() > 0.9 * bad.sum() and (hit & ~bad).sum() < 0.03 * hit.sum()
+    assert len(rules) >= 2 and max(len(r.literals) for r in rules) >= 2
     assert quality.cover(x, np.zeros(3000, bool)) == []
 
 
+def test_rules_on_rows_that_taught_nothing(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.filter("doc_id % 3 = 0").collect()}
+    out = [(r.rule is not None, truth[r.doc_id] == 0) for r in quality.judge(docs, labels.filter("doc_id % 3 <> 0")).collect() if r.doc_id in truth and not r.base_failed]
+    right = sum(a and b for a, b in out)
+    assert right >= 0.9 * sum(a for a, _ in out) and right >= 0.7 * sum(b for _, b in out), (right, sum(a for a, _ in out), sum(b for _, b in out))
+
+
+def test_odd_labels_and_texts(spark):
+    docs = spark.createDataFrame([(1, "a b " * 60, "n"), (2, "x# y# " * 9000, "n"), (2, "x# y# " * 9000, "n"), (None, "q w e " * 30, "n"), (4, None, None)], "doc_id long, text string, rule string")
+    labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (2, 0), (None, 0), (77, 0)], "doc_id long, quality int")
+    out = quality.judge(docs, labels).collect()
+    assert len(out) == 5 and sorted(r.n_words for r in out) == [0, 90, 120, 18000, 18000]
+    assert [r.base_failed for r in out if r.doc_id == 4] == [True]
+    assert all(len(quality.judge(docs, t).collect()) == 5 for t in (labels.limit(0), labels.filter("quality is null")))
+    assert quality.keep_documents(docs, labels.limit(0)).columns == docs.columns
+
+
 def test_mixing_equals_sql_and_sort(spark):
     rows = [(i, "w " * (i % 17), f"s{i % 5}" if i % 11 else None) for i in range(400)]
     rows += [(1, "w w", "hot")] * 300 + [(None, None, "s1"), (None, "", None), (7, "x " * 9000, "s2"), (9, "one", "tiny")]

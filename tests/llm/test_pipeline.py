@@ -9,7 +9,7 @@ import sentencepiece
 import corpus_pipeline
 from tests.llm.test_jaccard import brute as near_groups
 from tests.llm.test_lines import brute as without_lines
-from tests.llm.test_models import brute_counts
+from tests.llm.test_models import brute_counts, brute_rule
 from tidemark.llm import quality
 from tidemark.llm.queries import PIECES
 
@@ -21,15 +21,9 @@ def test_pipeline_equals_brute_force(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["quality_rules"](spark, docs, SF).collect()
-    stats = {r.doc_id: brute_counts(r.text) for r in docs.collect()}
-    rules = quality.learn(quality.statistics(docs), labels)
-
-    def rejected(c):
-        words, chars = max(c[0], 1), max(c[1], 1)
-        x = {"words": c[0], "word_length": c[1] / words, "symbol_share": c[2] / chars, "dup_lines_per_word": c[3] / words, "repeat_share": c[4] / words}
-        return any(all((x[n] > at) if above else (x[n] <= at) for n, above, at in r.literals) for r in rules)
-
-    want = {d for d, c in stats.items() if not (c[0] < 50 or 100 * c[4] > 50 * c[0]) and not rejected(c)}
+    stats = {r.doc_id: (brute_counts(r.text), r.text) for r in docs.collect()}
+    rules = quality.learn(quality.statistics(docs), quality.sample_of(labels))
+    want = {d for d, (c, t) in stats.items() if not (c[0] < 50 or 100 * c[4] > 50 * c[0]) and brute_rule(rules, t) is None}
     assert {r.doc_id for r in kept} == want and len(kept) == len(want)
 
     df = spark.createDataFrame(kept, docs.schema)

@@ -2,12 +2,14 @@
 
 Statistics are computed once per document over the whole text. Sequential covering learns, from
 labelled documents, an ordered list of threshold conjunctions that reject: a rule is grown literal by
-literal by information gain on two thirds of the labelled rows, pruned on the last third, kept if it is
-precise enough there, and the rows it covers are taken away. The list becomes Spark conditional
-expressions over the statistics, so applying it needs no Python.
-
-Training reads a sample of at most about MAX_TRAINING labelled rows (the only bound): those with the
-lowest hashes of doc_id, six numbers each.
+literal by information gain on two thirds of the labelled rows, pruned on the last third, and the rows it
+covers are taken away. A rule that is not precise enough, or rejects too few rows, on the last third is not used; its
+rows are taken away too, so that the list goes on. Thresholds lie half-way between neighbouring values, so what
+differs little from clean rows stays. The list becomes one ordered Spark conditional
+expression over the statistics, so applying it needs no Python.
+
+Training reads a sample of at most about MAX_TRAINING labelled rows (the only bound on what is read): those with the
+lowest hashes of doc_id. MAX_RULES and MAX_LITERALS bound how long and how specific the list gets.
 """
 
 from __future__ import annotations
@@ -21,24 +23,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACES, save, text_slices
+from tidemark.llm.common import SPACES, drop_saved, save, text_slices
 
 SYMBOLS = "#*$%&|<>"
+PUNCTUATION = ".,;:!?()'\"-"
 MAX_TRAINING = 50_000
-#: A rule must reject so precisely, and cover so large a share of the rejected rows of the pruning third.
-MIN_PRECISION, MIN_SHARE, MAX_RULES, MAX_LITERALS = 0.97, 0.01, 12, 4
+#: A rule must reject so precisely, and cover so large a share of the rejected rows of the pruning third; tries end after MAX_RULES rules.
+MIN_PRECISION, MIN_SHARE, MAX_RULES, MAX_LITERALS = 0.97, 0.005, 12, 4
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Further counts that only the learned rules read.
+MORE = ("n_lines", "n_distinct_words", "n_punctuation", "n_digits", "n_upper", "longest_word")
+_CLASS = np.zeros(256, np.int64)
+for _k, _chars in enumerate((PUNCTUATION, "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+    _CLASS[np.frombuffer(_chars.encode(), np.uint8)] = _k + 1
 
 
 def count(text: str | None) -> tuple[int, ...]:
-    """The five counts of one whole text; null has none of anything."""
+    """COUNTS and MORE of one whole text; null has none of anything. Digits, punctuation and upper case are the ASCII
+    ones, and the longest word goes by bytes."""
     if not text:
-        return 0, 0, 0, 0, 0
-    words = text.encode().split()
+        return (0,) * (len(COUNTS) + len(MORE))
+    raw = text.encode()
+    words = raw.split()
     chars = len(text) - sum(map(text.count, SPACES))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated(words)
+    classes = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=4)[1:].tolist()
+    own = (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated(words))
+    return (*own, len(lines), len(set(words)), *classes, max(map(len, words), default=0))
 
 
 def repeated(words: list[bytes]) -> int:
@@ -60,14 +72,14 @@ def repeated(words: list[bytes]) -> int:
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep and the five counts as longs."""
+    """The columns of keep, COUNTS and MORE, as longs."""
     source = docs.select(*(docs[c] for c in keep), F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([*source.drop("_text").schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    schema = T.StructType([*source.drop("_text").schema.fields, *(T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "_text"):
             found = zip(*map(count, texts), strict=True)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in found)], [*keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in found)], [*keep, *COUNTS, *MORE])
 
     return source.mapInArrow(run, schema)
 
@@ -85,6 +97,12 @@ def features() -> dict[str, Column]:
         "symbol_share": F.col("n_symbols") / chars,
         "dup_lines_per_word": F.col("n_dup_lines") / words,
         "repeat_share": F.col("n_repeat_words") / words,
+        "words_per_line": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "distinct_share": F.col("n_distinct_words") / words,
+        "punctuation_share": F.col("n_punctuation") / chars,
+        "digit_share": F.col("n_digits") / chars,
+        "upper_share": F.col("n_upper") / chars,
+        "longest_word": F.col("longest_word").cast("double"),
     }
 
 
@@ -107,12 +125,18 @@ class Rule:
         return out
 
 
+def _cuts(v: np.ndarray) -> np.ndarray:
+    """Thresholds half-way between neighbouring values of about 99 quantiles."""
+    values = np.unique(np.quantile(v, np.linspace(0, 1, 101), method="nearest"))
+    return (values[1:] + values[:-1]) / 2
+
+
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     rule, inside = Rule(()), np.ones(len(bad), bool)
     while len(rule.literals) < MAX_LITERALS and (inside & ~bad).any():
         p0, n0, best = (inside & bad).sum(), inside.sum(), (1e-9, None)
         for name, v in x.items():
-            for at in np.unique(np.quantile(v[inside], np.linspace(0.01, 0.99, 99))):
+            for at in _cuts(v[inside]):
                 for above in (True, False):
                     hit = inside & ((v > at) if above else (v <= at))
                     p, n = (hit & bad).sum(), hit.sum()
@@ -138,54 +162,72 @@ def cover(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
     """The decision list for labelled rows; deterministic for rows in a fixed order."""
     rules, third = [], np.arange(len(bad)) % 3 == 2
     goal = max(1, bad[third].sum())
-    while len(rules) < MAX_RULES and bad[~third].any() and bad[third].any():
-        take = lambda m: {k: v[m] for k, v in x.items()}
+    for _ in range(MAX_RULES):
+        if not (bad[~third].any() and bad[third].any()):
+            break
+        take = lambda m: {k: v[m] for k, v in x.items()}  # noqa: B023, E731
         rule = _prune(_grow(take(~third), bad[~third]), take(third), bad[third])
+        if not rule.literals:
+            break
         hit = rule.covers(x)
         p, n = (hit & bad & third).sum(), (hit & third).sum()
-        if not rule.literals or p < MIN_PRECISION * n or p < MIN_SHARE * goal:
+        if n and p >= MIN_PRECISION * n and p >= MIN_SHARE * goal:
+            rules.append(rule)
+            drop = hit
+        else:
+            drop = hit & bad
+        if not drop.any():
             break
-        rules.append(rule)
-        x, bad, third = take(~hit), bad[~hit], third[~hit]
+        x, bad, third = take(~drop), bad[~drop], third[~drop]
     return rules
 
 
-def learn(stats: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> list[Rule]:
-    """Rules from rows of labels (doc_id, quality; 0 is bad) joined with statistics. Rows without a label
-    or without statistics teach nothing; repeated labels count each. No labels or no bad ones: no rules."""
+def sample_of(labels: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
+    """_id and _q (quality) of at most about max_training labelled rows."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).filter("_id is not null and _q is not null")
     share = max_training / max(1, known.count())
     place = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) / 1_000_000
-    sample = known.filter(place < share) if share < 1 else known
+    return known.filter(place < share) if share < 1 else known
+
+
+def learn(stats: DataFrame, sample: DataFrame) -> list[Rule]:
+    """Rules from statistics joined with sample_of the labels (quality 0 is bad). Rows without a label
+    or without statistics teach nothing; repeated labels count each. No labels or no bad ones: no rules."""
     made = features()
-    rows = stats.join(sample, stats["doc_id"] == sample["_id"]).filter(~base_failed()).select("_id", (F.col("_q") == 0).alias("_bad"), *(c.alias(f"_{k}") for k, c in made.items()))
+    # The sample is bounded by max_training, so it is broadcast.
+    rows = stats.join(F.broadcast(sample), stats["doc_id"] == sample["_id"]).filter(~base_failed()).select("_id", (F.col("_q") == 0).alias("_bad"), *(c.alias(f"_{k}") for k, c in made.items()))
     got = rows.toPandas().sort_values(["_id", "_bad"], kind="stable")
     return cover({k: got[f"_{k}"].to_numpy(float) for k in made}, got["_bad"].to_numpy(bool)) if len(got) else []
 
 
-def rejected(rules: list[Rule]) -> Column:
-    """The ordered list as one conditional expression; what no rule covers is not rejected."""
+def rule_of(rules: list[Rule]) -> Column:
+    """The ordered list as one conditional expression: the number (from 1) of the first rule that rejects, or null."""
     out = None
-    for rule in rules:
-        out = F.when(rule.column(), True) if out is None else out.when(rule.column(), True)
-    return F.lit(False) if out is None else out.otherwise(False)
+    for i, rule in enumerate(rules):
+        out = F.when(rule.column(), i + 1) if out is None else out.when(rule.column(), i + 1)
+    return F.lit(None).cast("int") if out is None else out
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, the five counts, base_failed and kept.
+    """Per row of docs: doc_id, COUNTS, base_failed, kept, and rule, the number of the learned rule that rejects it.
 
-    Null and empty texts have no words and fail the base rule. Repeated rows are judged each; an empty
-    table gives an empty table; extra columns are left out.
+    Null and empty texts have no words and fail the base rule. Repeated rows are judged each, texts of any length whole; a row
+    without doc_id is judged too. An empty table gives an empty table; extra columns are left out.
     """
     stats = save(statistics(docs))
-    rules = learn(stats, labels)
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(rules))
+    rules = learn(stats, sample_of(labels))
+    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", F.when(~base_failed(), rule_of(rules)))
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*MORE)
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the base rule and the learned list keep, with all their columns."""
+    """The documents that the base rule and the learned list keep, with all their columns, whatever their names."""
     columns = tuple(docs.columns)
-    rules = learn(save(statistics(docs)), labels)
+    sample = sample_of(labels)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    training = save(statistics(labelled))
+    rules = learn(training, sample)
+    drop_saved(training)
     # Each row travels as one struct beside its counts, so no name clashes and no join by document is needed.
     rows = statistics(docs.select(F.struct(*(docs[c] for c in columns)).alias("_in"), docs["text"]), ("_in",))
-    return rows.filter(~base_failed() & ~rejected(rules)).select(*(F.col(f"_in.{c}").alias(c) for c in columns))
+    return rows.filter(~base_failed() & rule_of(rules).isNull()).select(*(F.col(f"_in.{c}").alias(c) for c in columns))
