@@ -42,22 +42,28 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     near = base[:60] + 0.3 * rng.standard_normal((60, 24))
     x = np.concatenate([base, hot, near, base[:5], base[:1], 3 * base[7:8]])
     rows = [(i, v.tolist(), "clash", 1) for i, v in enumerate(x)]
+    rows += [(2000 + i, (v * 1e200).tolist(), "clash", 1) for i, v in enumerate(base[:3])]
+    rows.append((None, base[9].tolist(), "clash", 1))
     odd = [None, [], [0.0] * 24, [None] + [1.0] * 23, [float("nan")] + [1.0] * 23, [float("inf")] * 24, [1.0, 2.0], [2.0, 4.0]]
     rows += [(1000 + i, v, None, None) for i, v in enumerate(odd)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, copies int")
     got = {r.vec_id: r for r in neardup.near_duplicates(df).collect()}
     assert len(got) == len(rows)
+    # Rows 2000 to 2002 are the first three again, larger.
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = unit @ unit.T >= 0.9
     np.fill_diagonal(hit, False)
     links = [(int(a), int(b)) for a, b in np.argwhere(hit)]
-    degree = hit.sum(1)
+    degree = hit.sum(1) + hit[:, :3].sum(1)
+    degree[:3] += 1
     found = sum(got[i].n_links for i in range(len(x)))
     assert 0.97 * degree.sum() <= found <= degree.sum()
     assert all(got[i].n_links <= degree[i] for i in range(len(x)))
     want = closure(range(len(x)), links)
     assert sum(got[i].component_id == want[i] for i in want) >= 0.97 * len(x)
     assert all(got[1000 + i].n_links == 0 and got[1000 + i].kept for i in range(6))
+    assert all(got[2000 + i].component_id == got[i].component_id and not got[2000 + i].kept for i in range(3))
+    assert got[None].component_id == got[9].component_id
     assert got[1007].component_id == 1006 and not got[1007].kept
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
@@ -81,7 +87,7 @@ def test_embeddings_recall_in_dense_third(spark):
     x, cone = paired(20_000)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
     _, one = neardup.classes(df)
-    found = {(r.a, r.b) for r in getattr(neardup, "leaf_links", getattr(neardup, "window_links", None))(one, 0.9).collect()}
+    found = {(r.a, r.b) for r in neardup.window_links(one, 0.9).collect()}
     group = closure(range(len(x)), found)
     hit = np.array([group[i] == group[i + 1] for i in range(0, len(x), 2)])
     assert hit[: cone // 2].mean() >= 0.99 and hit[cone // 2 :].mean() >= 0.99
@@ -98,7 +104,7 @@ def test_embeddings_do_not_depend_on_partitions(spark, monkeypatch):
         for n in (2, 150):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             _, one = neardup.classes(df.repartition(n))
-            got.append(closure(range(len(x)), [(r.a, r.b) for r in getattr(neardup, "leaf_links", getattr(neardup, "window_links", None))(one, 0.9).collect()]))
+            got.append(closure(range(len(x)), [(r.a, r.b) for r in neardup.window_links(one, 0.9).collect()]))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
