@@ -24,7 +24,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     messages = chat.save(chat.as_chain(rows.unionByName(added)))
-    return chat.digests(chat.format_paths(messages))
+    return chat.digests(chat.format_paths(messages, branches=1))
 
 
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,9 @@ FROM esc GROUP BY conv_id
 LINES_SQL = r"""
 WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM cut),
-long_lines AS (SELECT * FROM lines WHERE length(line) >= 20),
+wanted AS (SELECT * FROM lines WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]')),
+long_lines AS (SELECT * FROM wanted WHERE length(line) >= 20),
+known AS (SELECT line, min(row(doc_id, line_no)) AS place FROM wanted GROUP BY line),
 seen AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS place FROM long_lines GROUP BY line),
 sides AS (SELECT *, unnest([n, n - 1]) AS m FROM seen),
 pairs AS (
@@ -96,7 +98,7 @@ pairs AS (
   SELECT a.line FROM sides a JOIN sides b ON a.m = b.m AND right(a.line, a.m - a.m // 2) = right(b.line, b.m - b.m // 2)
   WHERE b.place < a.place AND a.line <> b.line AND levenshtein(a.line, b.line) <= 1),
 gone AS (
-  SELECT l.doc_id, l.line_no FROM long_lines l JOIN seen s ON l.line = s.line LEFT JOIN pairs p ON l.line = p.line
+  SELECT l.doc_id, l.line_no FROM wanted l JOIN known s ON l.line = s.line LEFT JOIN pairs p ON l.line = p.line
   WHERE p.line IS NOT NULL OR row(l.doc_id, l.line_no) <> s.place),
 left_over AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text, count(*) AS n
