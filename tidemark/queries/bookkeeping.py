@@ -18,9 +18,9 @@ def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels overridden by a second pass over every third document, with some new ones."""
+    """Labels overridden by a second pass over all documents, where its version is not the older one; documents without a label are new."""
     base = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(1).alias("version"))
-    change = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2 + 1).cast("int").alias("version"))
+    change = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"), (F.col("n_chars") % 3).cast("int").alias("version"))
     return b.upserted(base, change, ["doc_id"], "version")
 
 
@@ -70,7 +70,7 @@ QUERIES = {f.__name__: f for f in (latest_revision, label_upsert, paged_listing,
 
 SQL = {
     "latest_revision": f"WITH {E} SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t DESC, event_id DESC) AS rank FROM e QUALIFY rank <= 2",
-    "label_upsert": """WITH b AS (SELECT doc_id, quality, 1 AS version, 0 AS fresh FROM labels UNION ALL SELECT doc_id, (n_chars % 2)::INT, (doc_id % 2 + 1)::INT, 1 FROM documents WHERE doc_id % 3 = 0)
+    "label_upsert": """WITH b AS (SELECT doc_id, quality, 1 AS version, 0 AS fresh FROM labels UNION ALL SELECT doc_id, (n_chars % 2)::INT, (n_chars % 3)::INT, 1 FROM documents)
  SELECT doc_id, quality, version FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC, fresh DESC) = 1""",
     "paged_listing": f"WITH {E} SELECT event_id, user_id, t FROM e ORDER BY t DESC, event_id DESC LIMIT 100 OFFSET 250",
     "systematic_sample": f"""WITH {E}, r AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e)
