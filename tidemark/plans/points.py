@@ -18,7 +18,7 @@ def hypotheses(serves: DataFrame, bouts: DataFrame, keys: list[str], search: flo
 
     A serve (event_id, t, score) takes the bout (start, end) that overlaps t..t+search most, then the
     longer, then the later one; without a bout its live part is empty. Bouts that no serve's live part
-    covers by more than `uncovered` stand alone, but fall when a serve follows within `supersede` of their end.
+    covers by more than `uncovered` stand alone, but fall when the next of them follows within `supersede` of their end.
     """
     a = serves.select(*keys, "event_id", "score", F.col("t").alias("a_start"), (F.col("t") + search).alias("a_end"))
     b = bouts.select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
@@ -31,10 +31,9 @@ def hypotheses(serves: DataFrame, bouts: DataFrame, keys: list[str], search: flo
     covered = overlap_pairs(spans, b, keys, width).filter(size > uncovered).select(*keys, F.col("b_start").alias("start"), F.col("b_end").alias("end")).distinct()
     alone = bouts.join(covered, [*keys, "start", "end"], "left_anti")
     alone = alone.select(*keys, F.lit("live_state").alias("kind"), "start", F.col("end").alias("live_end"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("has_bout"))
-    w = _order(keys, "live_end", "score")
-    rows = served.unionByName(alone).withColumns({"_kind": F.lead("kind").over(w), "_gap": F.lead("start").over(w) - F.col("live_end")})
-    gone = (F.col("kind") == "live_state") & (F.col("_kind") == "serve") & F.col("_gap").between(0, supersede)
-    return rows.filter(~F.coalesce(gone, F.lit(False))).drop("_kind", "_gap")
+    gap = F.lead("start").over(Window.partitionBy(*keys).orderBy("start", "live_end")) - F.col("live_end")
+    alone = alone.withColumn("_gone", F.coalesce(gap.between(0, supersede), F.lit(False))).filter("not _gone").drop("_gone")
+    return served.unionByName(alone)
 
 
 def endpoints(hyp: DataFrame, keys: list[str], duration: float, unreturned: float, tail: float, least: float) -> DataFrame:

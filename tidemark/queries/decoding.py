@@ -101,9 +101,9 @@ hit AS (SELECT v.*, b."start" AS b_start, b."end" AS b_end FROM serves v LEFT JO
 served AS (SELECT user_id, 'serve' AS kind, t AS "start", coalesce(b_end, t) AS live_end, score, b_start IS NOT NULL AS has_bout FROM hit),
 alone AS (SELECT b.user_id, 'live_state' AS kind, b."start", b."end" AS live_end, NULL::DOUBLE AS score, TRUE AS has_bout FROM bouts b
   WHERE NOT EXISTS (SELECT 1 FROM served v WHERE v.user_id = b.user_id AND least(v.live_end, b."end") - greatest(v."start", b."start") > {HOUR // 2})),
-every AS (SELECT * FROM served UNION ALL SELECT * FROM alone),
-marked AS (SELECT *, lead(kind) OVER w AS next_kind, lead("start") OVER w AS next_start FROM every WINDOW w AS (PARTITION BY user_id ORDER BY "start", kind = 'serve' DESC, live_end, score)),
-hyp AS (SELECT user_id, kind, "start", live_end, score, has_bout FROM marked WHERE NOT coalesce(kind = 'live_state' AND next_kind = 'serve' AND next_start - live_end BETWEEN 0 AND {5 * HOUR}, FALSE))"""
+marked AS (SELECT *, lead("start") OVER (PARTITION BY user_id ORDER BY "start", live_end) - live_end AS gap FROM alone),
+hyp AS (SELECT user_id, kind, "start", live_end, score, has_bout FROM served UNION ALL
+  SELECT user_id, kind, "start", live_end, score, has_bout FROM marked WHERE NOT coalesce(gap BETWEEN 0 AND {5 * HOUR}, FALSE))"""
 _END = f"""{_HYP},
 nxt AS (SELECT *, coalesce(lead("start") OVER (PARTITION BY user_id ORDER BY "start", kind = 'serve' DESC, live_end, score), {1 << 62}::DOUBLE) AS limit_end FROM hyp),
 fin AS (SELECT user_id, kind, "start", has_bout, live_end, greatest("start", least(CASE WHEN has_bout THEN live_end ELSE "start" + {3 * HOUR} END, limit_end)) AS "end", CASE WHEN has_bout THEN 'live_end' ELSE 'bounded_window' END AS source FROM nxt),
