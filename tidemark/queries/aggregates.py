@@ -71,10 +71,13 @@ def identity_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of a text by their first pattern, by lines where that finds none."""
-    d = table(spark, sf_dir, "documents")
-    first = F.regexp_count("text", F.lit(r"\. [A-Z]"))
-    return d.select("doc_id", F.when(first == 0, F.regexp_count("text", F.lit("(?m)^[A-Z]"))).otherwise(first).cast("long").alias("points"))
+    """Points of an annotation by its index fields, by its numbered headings where it has none; each document is
+    written as one of the two forms by its language, a point a sentence."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    numbered = F.transform(F.split("text", r"\. "), lambda s, i: F.concat(F.when(F.col("lang") == "en", F.lit('"point_index": ')).otherwise(F.lit("  point ")), i.cast("string"), F.lit(": "), s))
+    note = F.array_join(numbered, "\n")
+    first = F.regexp_count(note, F.lit(r"""(?i)["']?point_index["']?\s*:"""))
+    return d.select("doc_id", F.when(first == 0, F.regexp_count(note, F.lit(r"(?im)^\s*Point\s+[0-9]+\s*:"))).otherwise(first).cast("long").alias("points"))
 
 
 def homography_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +163,9 @@ SQL = {
     "cosine_nearest": f"""{_CENTRES}, v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS y, unnest(range(len(embedding)))::INT AS i FROM embeddings),
  p AS (SELECT vec_id, label, sum(x * y) / sqrt(sum(y * y)) / sqrt(sum(x * x)) AS cos FROM v JOIN c USING (i) GROUP BY 1, 2)
  SELECT vec_id, arg_min(label, (round(1 - least(greatest(cos, -1), 1), 9), label)) AS label, min(round(1 - least(greatest(cos, -1), 1), 9)) AS distance FROM p GROUP BY vec_id""",
-    "annotation_counts": r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\. [A-Z]')) = 0 THEN len(regexp_extract_all(text, '(?m)^[A-Z]')) ELSE len(regexp_extract_all(text, '\. [A-Z]')) END::BIGINT AS points FROM documents""",
+    "annotation_counts": r"""WITH n AS (SELECT doc_id, list_aggregate(list_transform(string_split(text, '. '), lambda s, i: CASE WHEN lang = 'en' THEN '"point_index": ' ELSE '  point ' END || (i - 1)::VARCHAR || ': ' || s), 'string_agg', chr(10)) AS note FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT doc_id, len(regexp_extract_all(note, '(?i)["'']?point_index["'']?\s*:')) AS a, len(regexp_extract_all(note, '(?im)^\s*Point\s+[0-9]+\s*:')) AS b FROM n)
+ SELECT doc_id, CASE WHEN a = 0 THEN b ELSE a END::BIGINT AS points FROM c""",
     "homography_projection": f"""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 400 + 650 AS x, embedding[2]::DOUBLE * 200 + 600 AS y FROM embeddings)
  SELECT vec_id, round(({_H[0]!r} * x + {_H[1]!r} * y + {_H[2]!r}) / ({_H[6]!r}::DOUBLE * x + {_H[7]!r}::DOUBLE * y + {_H[8]!r}), 6)::DOUBLE AS court_x, round(({_H[3]!r}::DOUBLE * x + {_H[4]!r}::DOUBLE * y + {_H[5]!r}) / ({_H[6]!r}::DOUBLE * x + {_H[7]!r}::DOUBLE * y + {_H[8]!r}), 6)::DOUBLE AS court_y FROM p""",
     "joint_angles": f"""WITH v AS (SELECT vec_id, {_V} FROM embeddings), a AS (SELECT vec_id, degrees(acos(least(greatest(((e0 - e2) * (e4 - e2) + (e1 - e3) * (e5 - e3)) / (sqrt((e0 - e2) ** 2 + (e1 - e3) ** 2) * sqrt((e4 - e2) ** 2 + (e5 - e3) ** 2)), -1), 1))) AS g FROM v)
