@@ -25,9 +25,11 @@ def test_pieces_equal_library(spark, monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     monkeypatch.setattr(pieces, "PAGE_BYTES", 1000)
     rows = [(i, t) for i, t in enumerate(texts())] + [(-1, None), (None, "a b"), (0, ""), (7, "x  y " * 30_000), (7, "x  y " * 30_000), (8, " ")]
-    out = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES), PIECES).collect()
+    monkeypatch.setattr(pieces, "TABLE_CHUNKS", 500)
     want = sorted(((d, lib.encode(t or "")) for d, t in rows), key=str)
-    assert sorted(((r.doc_id, list(r.ids)) for r in out), key=str) == want
+    for scope in ("cluster", "worker"):
+        out = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, scope=scope), PIECES).collect()
+        assert sorted(((r.doc_id, list(r.ids)) for r in out), key=str) == want
     for r in out:
         assert r.decoded == (lib.decode(r.ids) if r.ids else "")
     assert pieces.digests(spark.createDataFrame([], "doc_id long, text string, ids int, decoded int"), PIECES).count() == 0

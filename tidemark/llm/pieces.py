@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding with a distinct-chunk table.
 
 No piece of the model holds a white-space marker after another character, so merges never cross from
-one marked word into the next: a text is cut before each run of markers, every distinct marked word of the
-whole table is segmented once, and the ids are joined back by position. The result equals the library's encode() of the
+one marked word into the next: a text is cut before each run of markers, every distinct marked word is
+segmented once, and the ids are joined back by position. The result equals the library's encode() of the
 whole text.
 
-Texts become pages: some texts with the list of their distinct chunks, and for every place the number of the chunk
+The table of distinct chunks has one of two scopes. In "worker" scope each Python worker keeps one, bounded by TABLE_CHUNKS, and
+nothing is shuffled: where most distinct chunks are rare, sending them to a common table and their ids back costs more
+than segmenting some of them again. In "cluster" scope every chunk is segmented once for the whole table. Texts
+then become pages: some texts with the list of their distinct chunks, and for every place the number of the chunk
 that stands there. Only the distinct chunks of each page are shuffled, not their occurrences: to the one
 table of all chunks and, with their ids, back to the page, where the ids are gathered by position. A page
 holds at most PAGE_BYTES of text (one text at least), which bounds what a task holds.
@@ -30,8 +33,11 @@ from tidemark.llm.common import batch_slices, gather, save
 MARK = "▁"
 #: Text bytes of a page.
 PAGE_BYTES = 8 << 20
+#: Distinct chunks a worker's table holds before it starts anew.
+TABLE_CHUNKS = 600_000
 
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
+_tables: dict[str, dict[str, bytes]] = {}
 
 
 def library(model: str) -> sentencepiece.SentencePieceProcessor:
@@ -73,6 +79,16 @@ def segmented(chunks: list[str], model: str) -> list[bytes]:
     return [np.array(ids if chunk != " " else lone, "<i4").tobytes() for chunk, ids in zip(chunks, own.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
 
 
+def looked_up(chunks: list[str], model: str) -> list[bytes]:
+    """The ids of each chunk from the worker's table; those that are new to it are segmented together."""
+    table = _tables.setdefault(model, {})
+    if len(table) + len(chunks) > TABLE_CHUNKS:
+        table.clear()
+    new = [c for c in chunks if c not in table]
+    table.update(zip(new, segmented(new, model), strict=True))
+    return [table[c] for c in chunks]
+
+
 def _pages(source: DataFrame, rest: list[str]) -> DataFrame:
     """page (a name), rows (array of structs of rest), words (chunks of each row), codes (the chunk at each place, by the
     number it has in chunks, as byte planes) and chunks (the distinct ones, commonest first)."""
@@ -96,9 +112,9 @@ def _pages(source: DataFrame, rest: list[str]) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), scope: str = "worker") -> DataFrame:
     """id_col, the columns of keep, and ids array<int>, as the library encodes each whole text without
-    begin or end ids.
+    begin or end ids. scope: worker or cluster, see above; both give the same rows.
 
     Null and empty texts have an empty list. Repeated rows are encoded each; rows come in no given order. A very long
     text is a page of its own. An empty table gives an empty table. Columns that are not asked for are left out, so none can clash.
@@ -119,6 +135,21 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         return source.mapInArrow(whole, schema)
 
+    if scope == "worker":
+
+        def fill_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batch_slices(batches, "_text"):
+                found, counts = chunks_of(part.column("_text"))
+                numbered = pc.dictionary_encode(found)
+                known, place = looked_up(numbered.dictionary.to_pylist(), model), numbered.indices.to_numpy()
+                runs = np.fromiter(map(len, known), np.int64, len(known)) // 4
+                sizes = np.concatenate([[0], np.cumsum(runs[place])])
+                words = np.concatenate([[0], np.cumsum(counts)])
+                ids = gather(np.frombuffer(b"".join(known), "<i4"), np.cumsum(runs) - runs, runs, place)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists(ids, np.diff(sizes[words]))], [*rest, "ids"])
+
+        return source.mapInArrow(fill_here, schema)
+
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segmented(batch.column(0).to_pylist(), model), pa.binary())], ["chunk", "ids"])
