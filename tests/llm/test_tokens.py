@@ -27,7 +27,7 @@ def test_pieces_equal_library(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts())] + [(-1, None), (None, "a b"), (0, ""), (7, "x  y " * 30_000), (7, "x  y " * 30_000), (8, " ")]
     monkeypatch.setattr(pieces, "TABLE_CHUNKS", 500)
     want = sorted(((d, lib.encode(t or "")) for d, t in rows), key=str)
-    for scope in ("cluster", "worker"):
+    for scope in ("cluster", "task"):
         out = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, scope=scope), PIECES).collect()
         assert sorted(((r.doc_id, list(r.ids)) for r in out), key=str) == want
     for r in out:

@@ -5,8 +5,8 @@ one marked word into the next: a text is cut before each run of markers, every d
 segmented once, and the ids are joined back by position. The result equals the library's encode() of the
 whole text.
 
-The table of distinct chunks has one of two scopes. In "worker" scope each Python worker keeps one, bounded by TABLE_CHUNKS, and
-nothing is shuffled: where most distinct chunks are rare, sending them to a common table and their ids back costs more
+The table of distinct chunks has one of two scopes. In "task" scope each task has one, bounded by TABLE_CHUNKS, that
+ends with it, so that later stages in the same Python worker have its memory; nothing is shuffled: where most distinct chunks are rare, sending them to a common table and their ids back costs more
 than segmenting some of them again. In "cluster" scope every chunk is segmented once for the whole table. Texts
 then become pages: some texts with the list of their distinct chunks, and for every place the number of the chunk
 that stands there. Only the distinct chunks of each page are shuffled, not their occurrences: to the one
@@ -33,11 +33,10 @@ from tidemark.llm.common import batch_slices, gather, save
 MARK = "▁"
 #: Text bytes of a page.
 PAGE_BYTES = 8 << 20
-#: Distinct chunks a worker's table holds before it starts anew.
+#: Distinct chunks a task's table holds before it starts anew.
 TABLE_CHUNKS = 600_000
 
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
-_tables: dict[str, dict[str, bytes]] = {}
 
 
 def library(model: str) -> sentencepiece.SentencePieceProcessor:
@@ -79,9 +78,8 @@ def segmented(chunks: list[str], model: str) -> list[bytes]:
     return [np.array(ids if chunk != " " else lone, "<i4").tobytes() for chunk, ids in zip(chunks, own.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
 
 
-def looked_up(chunks: list[str], model: str) -> list[bytes]:
-    """The ids of each chunk from the worker's table; those that are new to it are segmented together."""
-    table = _tables.setdefault(model, {})
+def looked_up(chunks: list[str], model: str, table: dict[str, bytes]) -> list[bytes]:
+    """The ids of each chunk from the table; those that are new to it are segmented together and put there."""
     if len(table) + len(chunks) > TABLE_CHUNKS:
         table.clear()
     new = [c for c in chunks if c not in table]
@@ -112,9 +110,9 @@ def _pages(source: DataFrame, rest: list[str]) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), scope: str = "worker") -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), scope: str = "task") -> DataFrame:
     """id_col, the columns of keep, and ids array<int>, as the library encodes each whole text without
-    begin or end ids. scope: worker or cluster, see above; both give the same rows.
+    begin or end ids. scope: task or cluster, see above; both give the same rows.
 
     Null and empty texts have an empty list. Repeated rows are encoded each; rows come in no given order. A very long
     text is a page of its own. An empty table gives an empty table. Columns that are not asked for are left out, so none can clash.
@@ -135,13 +133,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         return source.mapInArrow(whole, schema)
 
-    if scope == "worker":
+    if scope == "task":
 
         def fill_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table: dict[str, bytes] = {}
             for part in batch_slices(batches, "_text"):
                 found, counts = chunks_of(part.column("_text"))
                 numbered = pc.dictionary_encode(found)
-                known, place = looked_up(numbered.dictionary.to_pylist(), model), numbered.indices.to_numpy()
+                known, place = looked_up(numbered.dictionary.to_pylist(), model, table), numbered.indices.to_numpy()
                 runs = np.fromiter(map(len, known), np.int64, len(known)) // 4
                 sizes = np.concatenate([[0], np.cumsum(runs[place])])
                 words = np.concatenate([[0], np.cumsum(counts)])
