@@ -73,3 +73,26 @@ def event_timeline(serves: DataFrame, keys: list[str], value: str, scale: int =
     w = Window.partitionBy(*keys)
     whole = F.round(v * scale).cast("long")
     return kept.withColumn("_v", whole).withColumn("_n", F.count("*").over(w)).groupBy(*keys).agg(F.max("_n").alias("n"), F.array_sort(F.collect_list("_v")).alias("serves"))
+
+
+def usage(files: DataFrame, keys: list[str], job: str, size: Column) -> DataFrame:
+    """keys, jobs, used: how many jobs have files and how many bytes these take; a file without size takes none."""
+    return files.groupBy(*keys).agg(F.count_distinct(job).alias("jobs"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("used"))
+
+
+def admission(stores: DataFrame, max_jobs: int, max_bytes: int, max_upload: int, max_pending: int) -> DataFrame:
+    """stores (with jobs, used, reserved and pending) with verdict, the first limit that is reached or accepted, and
+    reservation, the bytes that an accepted upload may take."""
+    free = F.lit(max_bytes) - F.col("used") - F.col("reserved")
+    verdict = F.when(F.col("jobs") >= max_jobs, "jobs").when(free <= 0, "bytes").when(F.col("pending") >= max_pending, "queue").otherwise("accepted")
+    return stores.withColumn("verdict", verdict).withColumn("reservation", F.when(F.col("verdict") == "accepted", F.least(F.lit(max_upload), free)))
+
+
+def actions(episodes: Column, decisions: Column) -> Column:
+    """A job's actions: its episodes; where it has no list of them, for each decision its stroke_episodes or, without
+    these, its actions that are no serves. Null elements are left out; a job with neither has none."""
+    present = lambda a: F.filter(a, lambda x: x.isNotNull())
+    rallied = lambda a: F.filter(a, lambda x: x.isNotNull() & ~x["action"].eqNullSafe("serve"))
+    of_decision = lambda d: F.coalesce(present(d["stroke_episodes"]), rallied(d["actions"]))
+    nested = F.flatten(F.filter(F.transform(present(decisions), of_decision), lambda a: a.isNotNull()))
+    return F.coalesce(present(episodes), nested, F.slice(episodes, 1, 0), F.array())

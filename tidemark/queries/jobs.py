@@ -71,7 +71,33 @@ def serve_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "n", F.array_join(F.col("serves").cast("array<string>"), ",").alias("serves"))
 
 
-QUERIES = {f.__name__: f for f in (job_status, segment_versions, stripped_paths, public_jobs, stage_list, queue_occupancy, stage_timers, stale_uploads, serve_timeline)}
+def storage_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, sources as jobs, by language."""
+    return jobs.usage(table(spark, sf_dir, "documents"), ["lang"], "source", F.octet_length("text"))
+
+
+def storage_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's days with events as jobs and the values as bytes; views take reservations and errors wait."""
+    e = events(spark, sf_dir).withColumn("day", F.floor(F.col("t") / DAY))
+    used = jobs.usage(e, ["user_id"], "day", F.floor("value"))
+    busy = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("reserved"), F.count_if(F.col("event_type") == "error").alias("pending"))
+    return jobs.admission(used.join(busy, "user_id"), 28, 3600, 1000, 15)
+
+
+def racket_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third user has a list of episodes, the clicks; the others a decision a day, every other one with stroke episodes,
+    the rest with actions, of which signups are the serves."""
+    e = events(spark, sf_dir).withColumn("day", F.floor(F.col("t") / DAY))
+    item = F.struct(F.col("event_id").alias("id"), F.when(F.col("event_type") == "signup", "serve").otherwise(F.col("event_type")).alias("action"))
+    days = e.groupBy("user_id", "day").agg(F.sort_array(F.collect_list(item)).alias("all"), F.sort_array(F.collect_list(F.when(F.col("event_type") == "click", item))).alias("clicks"))
+    even = F.col("day") % 2 == 0
+    decision = F.struct("day", F.when(even, F.col("all")).alias("stroke_episodes"), F.when(~even, F.col("all")).alias("actions"))
+    users = days.groupBy("user_id").agg(F.when(F.col("user_id") % 3 == 0, F.flatten(F.collect_list("clicks"))).alias("episodes"), F.sort_array(F.collect_list(decision)).alias("decisions"))
+    found = jobs.actions(F.col("episodes"), F.col("decisions"))
+    return users.select("user_id", F.array_join(F.array_sort(F.transform(found, lambda x: x["id"])), ",").alias("actions"))
+
+
+QUERIES = {f.__name__: f for f in (job_status, segment_versions, stripped_paths, public_jobs, stage_list, queue_occupancy, stage_timers, stale_uploads, serve_timeline, storage_usage, storage_admission, racket_actions)}
 
 _CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items()) + " ELSE CASE WHEN value < 20 THEN 'failed' ELSE 'cancelled' END END"
 _PATH = r"regexp_replace(url, '^[a-z]+://[^/?#]*|[?#].*$', '', 'g')"
@@ -92,4 +118,10 @@ SQL = {
     "stale_uploads": f"""WITH {E}, d AS (SELECT *, t // {DAY} AS day FROM e), u AS (SELECT event_id, user_id, day, t, max(t) OVER () AS newest FROM d WHERE event_type = 'signup')
  SELECT event_id, user_id, day, t FROM u WHERE newest - t > {60 * MINUTE} AND NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = u.user_id AND d.day = u.day AND d.event_type <> 'signup')""",
     "serve_timeline": f"WITH {E} SELECT user_id, count(*) AS n, string_agg(round(value * 1000)::BIGINT::VARCHAR, ',' ORDER BY round(value * 1000)) AS serves FROM e WHERE event_type = 'signup' AND isfinite(value) GROUP BY 1",
+    "storage_usage": "SELECT lang, count(DISTINCT source) AS jobs, coalesce(sum(strlen(text)), 0)::BIGINT AS used FROM documents GROUP BY 1",
+    "storage_admission": f"""WITH {E}, u AS (SELECT user_id, count(DISTINCT t // {DAY}) AS jobs, coalesce(sum(floor(value)), 0)::BIGINT AS used, count(*) FILTER (event_type = 'view') AS reserved, count(*) FILTER (event_type = 'error') AS pending FROM e GROUP BY 1),
+ v AS (SELECT *, CASE WHEN jobs >= 28 THEN 'jobs' WHEN 3600 - used - reserved <= 0 THEN 'bytes' WHEN pending >= 15 THEN 'queue' ELSE 'accepted' END AS verdict FROM u)
+ SELECT *, CASE WHEN verdict = 'accepted' THEN least(1000, 3600 - used - reserved) END::BIGINT AS reservation FROM v""",
+    "racket_actions": f"""WITH {E}, d AS (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN event_type = 'click' ELSE t // {DAY} % 2 = 0 OR event_type <> 'signup' END AS kept FROM e)
+ SELECT user_id, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (kept), '') AS actions FROM d GROUP BY 1""",
 }
