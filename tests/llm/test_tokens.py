@@ -1,4 +1,5 @@
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import pieces, wavelet
@@ -25,16 +27,38 @@ def test_pieces_equal_library(spark, monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     monkeypatch.setattr(pieces, "PAGE_BYTES", 1000)
     rows = [(i, t) for i, t in enumerate(texts())] + [(-1, None), (None, "a b"), (0, ""), (7, "x  y " * 30_000), (7, "x  y " * 30_000), (8, " ")]
-    monkeypatch.setattr(pieces, "TABLE_CHUNKS", 500)
+    monkeypatch.setattr(pieces, "BUCKET_BYTES", 20_000)
     want = sorted(((d, lib.encode(t or "")) for d, t in rows), key=str)
-    for scope in ("cluster", "task"):
-        out = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, scope=scope), PIECES).collect()
-        assert sorted(((r.doc_id, list(r.ids)) for r in out), key=str) == want
+    out = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES), PIECES).collect()
+    assert sorted(((r.doc_id, list(r.ids)) for r in out), key=str) == want
     for r in out:
         assert r.decoded == (lib.decode(r.ids) if r.ids else "")
     assert pieces.digests(spark.createDataFrame([], "doc_id long, text string, ids int, decoded int"), PIECES).count() == 0
 
 
+def test_pieces_segment_each_chunk_once(spark, monkeypatch, tmp_path):
+    def logged(chunks, model):
+        with open(tmp_path / uuid.uuid4().hex, "w") as f:
+            f.write("".join(c + "\n" for c in chunks))
+        return own(chunks, model)
+
+    own = pieces.segmented
+    monkeypatch.setattr(pieces, "segmented", logged)
+    monkeypatch.setattr(pieces, "PAGE_BYTES", 200)
+    monkeypatch.setattr(pieces, "BUCKET_BYTES", 2000)
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(20))) for i in range(400)]
+    assert pieces.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id"), PIECES).count() == 400
+    seen = [c for f in tmp_path.iterdir() for c in f.read_text().splitlines()]
+    assert sorted(seen) == sorted({" " + w for _, t in rows for w in t.split()})
+
+
+def test_pieces_refuse_rows_that_change(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.uuid().alias("text"))
+    docs = docs.withColumn("text", F.udf(lambda x: uuid.uuid4().hex)("text"))
+    with pytest.raises(Exception, match="read again"):
+        pieces.encode(docs, PIECES).collect()
+
+
 def test_words_equal_library():
     lib = Tokenizer.from_file(WORDS)
     enc = wavelet.WordEncoder(WORDS)

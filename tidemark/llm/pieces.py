@@ -5,36 +5,41 @@ one marked word into the next: a text is cut before each run of markers, every d
 segmented once, and the ids are joined back by position. The result equals the library's encode() of the
 whole text.
 
-The table of distinct chunks has one of two scopes. In "task" scope each task has one, bounded by TABLE_CHUNKS, that
-ends with it, so that later stages in the same Python worker have its memory; nothing is shuffled: where most distinct chunks are rare, sending them to a common table and their ids back costs more
-than segmenting some of them again. In "cluster" scope every chunk is segmented once for the whole table. Texts
-then become pages: some texts with the list of their distinct chunks, and for every place the number of the chunk
-that stands there. Only the distinct chunks of each page are shuffled, not their occurrences: to the one
-table of all chunks and, with their ids, back to the page, where the ids are gathered by position. A page
-holds at most PAGE_BYTES of text (one text at least), which bounds what a task holds.
+Texts become pages: some texts with the list of their distinct chunks, and for every place the number of the chunk
+that stands there. Only the distinct chunks of each page are shuffled, never their occurrences, and packed: those of
+one page that fall into one bucket of the table (a hash of the chunk) are one row. A bucket segments each of its chunks
+once, whatever pages it is on, and sends every page its ids; the page, a row itself, takes them by number and then by
+position. A page holds at most PAGE_BYTES of text (one text at least), and the number of buckets follows from the bytes
+of all texts, so what a task holds does not grow with the table. Pages times buckets grow with its square until rows
+hold one chunk each; there are never more rows than distinct chunks of pages.
+
+Pages are made twice, once for their chunks and once for their codes, instead of being written; the rows of docs must
+come in the same order both times, as those of files do. A page that is not the same is an error, never a wrong row.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batch_slices, gather, save
+from tidemark.llm.common import batch_slices, gather
 
 MARK = "▁"
 #: Text bytes of a page.
-PAGE_BYTES = 8 << 20
-#: Distinct chunks a task's table holds before it starts anew.
-TABLE_CHUNKS = 600_000
+PAGE_BYTES = 16 << 20
+#: Text bytes to a bucket of the table of distinct chunks; the chunks themselves are a part of that.
+BUCKET_BYTES = 8 << 20
 
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
 
@@ -78,41 +83,34 @@ def segmented(chunks: list[str], model: str) -> list[bytes]:
     return [np.array(ids if chunk != " " else lone, "<i4").tobytes() for chunk, ids in zip(chunks, own.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
 
 
-def looked_up(chunks: list[str], model: str, table: dict[str, bytes]) -> list[bytes]:
-    """The ids of each chunk from the table; those that are new to it are segmented together and put there."""
-    if len(table) + len(chunks) > TABLE_CHUNKS:
-        table.clear()
-    new = [c for c in chunks if c not in table]
-    table.update(zip(new, segmented(new, model), strict=True))
-    return [table[c] for c in chunks]
+def to_planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers as four planes of bytes, which compress better."""
+    return np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _pages(source: DataFrame, rest: list[str]) -> DataFrame:
-    """page (a name), rows (array of structs of rest), words (chunks of each row), codes (the chunk at each place, by the
-    number it has in chunks, as byte planes) and chunks (the distinct ones, commonest first)."""
-    each = T.StructType([source.schema[c] for c in rest])
-    schema = T.StructType([T.StructField("page", T.StringType()), T.StructField("rows", T.ArrayType(each)), *(T.StructField(c, T.BinaryType()) for c in ("words", "codes")), T.StructField("chunks", T.ArrayType(T.StringType()))])
+def of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for part in batch_slices(batches, "_text", PAGE_BYTES):
-            found, counts = chunks_of(part.column("_text"))
-            numbered = pc.dictionary_encode(found)
-            place = numbered.indices.to_numpy()
-            order = np.argsort(-np.bincount(place, minlength=len(numbered.dictionary)), kind="stable")
-            number = np.empty(len(order), "<u4")
-            number[order] = np.arange(len(order))
-            planes = number[place].view(np.uint8).reshape(-1, 4).T.tobytes()
-            rows = pa.StructArray.from_arrays([part.column(c) for c in rest], fields=[part.schema.field(c) for c in rest])
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(rows), pa.array([squeeze(counts.astype("<u4").tobytes())]), pa.array([squeeze(planes)]), one(numbered.dictionary.take(pa.array(order)))], ["page", "rows", "words", "codes", "chunks"])
 
-    return source.mapInArrow(run, schema)
+def _numbered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
+    """Per page: its name (task and place in the task), a digest of its text, the rows, the chunks of each row, the number
+    of the chunk at each place, the distinct chunks by number (commonest first) and the bucket of each."""
+    task = TaskContext.get().partitionId() << 32
+    for at, part in enumerate(batch_slices(batches, "_text", PAGE_BYTES)):
+        found, counts = chunks_of(part.column("_text"))
+        coded = pc.dictionary_encode(found)
+        place = coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
+        number = np.empty(len(order), "<u4")
+        number[order] = np.arange(len(order))
+        chunks = coded.dictionary.take(pa.array(order))
+        bucket = (pd.util.hash_array(chunks.to_numpy(zero_copy_only=False), categorize=False) % buckets).astype("<u4")
+        yield task + at, xxhash.xxh64_intdigest(found.buffers()[2]) - 2**63, part, counts, number[place], chunks, bucket
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), scope: str = "task") -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, the columns of keep, and ids array<int>, as the library encodes each whole text without
-    begin or end ids. scope: task or cluster, see above; both give the same rows.
+    begin or end ids. docs is read three times (its bytes, its chunks, its codes) and must give its rows in one order.
 
     Null and empty texts have an empty list. Repeated rows are encoded each; rows come in no given order. A very long
     text is a page of its own. An empty table gives an empty table. Columns that are not asked for are left out, so none can clash.
@@ -133,43 +131,71 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         return source.mapInArrow(whole, schema)
 
-    if scope == "task":
+    size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = 1 + size // BUCKET_BYTES
+    each = T.StructType([source.schema[c] for c in rest])
+    page = T.StructType([T.StructField("page", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("rows", T.ArrayType(each)), *(T.StructField(c, T.BinaryType()) for c in ("words", "codes", "buckets"))])
 
-        def fill_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table: dict[str, bytes] = {}
-            for part in batch_slices(batches, "_text"):
-                found, counts = chunks_of(part.column("_text"))
-                numbered = pc.dictionary_encode(found)
-                known, place = looked_up(numbered.dictionary.to_pylist(), model, table), numbered.indices.to_numpy()
-                runs = np.fromiter(map(len, known), np.int64, len(known)) // 4
-                sizes = np.concatenate([[0], np.cumsum(runs[place])])
-                words = np.concatenate([[0], np.cumsum(counts)])
-                ids = gather(np.frombuffer(b"".join(known), "<i4"), np.cumsum(runs) - runs, runs, place)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists(ids, np.diff(sizes[words]))], [*rest, "ids"])
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for name, digest, part, counts, codes, _, bucket in _numbered(batches, buckets):
+            rows = pa.StructArray.from_arrays([part.column(c) for c in rest], fields=[part.schema.field(c) for c in rest])
+            rows = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            squeezed = [pa.array([squeeze(to_planes(x))], pa.binary()) for x in (counts, codes, bucket)]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([digest]), rows, *squeezed], ["page", "digest", "rows", "words", "codes", "buckets"])
 
-        return source.mapInArrow(fill_here, schema)
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for name, digest, _, _, _, chunks, bucket in _numbered(batches, buckets):
+            order = np.argsort(bucket, kind="stable")
+            chunks = pa.concat_arrays([chunks.take(pa.array(order))])
+            ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1] if len(chunks) else np.zeros(1, np.int32)
+            data = memoryview(chunks.buffers()[2] or b"")
+            present, first = np.unique(bucket[order], return_index=True)
+            last = np.append(first[1:], len(order))
+            packed = [squeeze(to_planes(np.diff(ends[a : b + 1])) + data[ends[a] : ends[b]]) for a, b in zip(first, last, strict=True)]
+            columns = [pa.array(present.astype(np.int64)), pa.array(np.full(len(present), name)), pa.array(np.full(len(present), digest)), pa.array((last - first).astype(np.int64)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "page", "digest", "n", "chunks"])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, opened = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        table: dict[str, bytes] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segmented(batch.column(0).to_pylist(), model), pa.binary())], ["chunk", "ids"])
+            packed = []
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("chunks"), strict=True):
+                blob = opened(blob.as_py())
+                offsets = np.concatenate([[0], np.cumsum(of_planes(blob[: 4 * n]))]).astype(np.int32)
+                chunks = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(blob[4 * n :])).to_pylist()
+                new = [c for c in chunks if c not in table]
+                table.update(zip(new, segmented(new, model), strict=True))
+                known = [table[c] for c in chunks]
+                packed.append(squeeze(to_planes(np.fromiter(map(len, known), np.int64, n) // 4) + to_planes(np.frombuffer(b"".join(known), "<u4"))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "page", "digest", "n")), pa.array(packed, pa.binary())], ["bucket", "of", "digest", "n", "ids"])
 
     def fill(page: pa.Table, known: pa.Table) -> pa.Table:
-        opened = lambda c: np.frombuffer(zstandard.ZstdDecompressor().decompress(page.column(c)[0].as_py()), np.uint8)
-        place = np.ascontiguousarray(opened("codes").reshape(4, -1).T).view("<u4").reshape(-1)
-        known = known.sort_by("pos").column("ids").combine_chunks()
-        runs = pc.binary_length(known).to_numpy() // 4
-        flat = np.frombuffer(b"".join(known.to_pylist()), "<i4")
+        opened = zstandard.ZstdDecompressor().decompress
+        bucket = of_planes(opened(page.column("buckets")[0].as_py())) if page.num_rows else []
+        if page.num_rows != 1 or sum(known.column("n").to_pylist()) != len(bucket) or set(known.column("digest").to_pylist()) - {page.column("digest")[0].as_py()}:
+            raise ValueError("docs gave other rows, or another order of them, when it was read again: write it to a table first")
+        known = known.sort_by("bucket")
+        runs, flat = np.zeros(len(bucket), np.int64), [np.zeros(0, "<u4")]
+        order, done = np.argsort(bucket, kind="stable"), 0
+        for n, blob in zip(known.column("n").to_pylist(), known.column("ids"), strict=True):
+            blob = opened(blob.as_py())
+            runs[order[done : done + n]] = of_planes(blob[: 4 * n])
+            flat.append(of_planes(blob[4 * n :]))
+            done += n
+        start = np.zeros(len(bucket), np.int64)
+        start[order] = np.cumsum(runs[order]) - runs[order]
+        place = of_planes(opened(page.column("codes")[0].as_py()))
         sizes = np.concatenate([[0], np.cumsum(runs[place])])
-        words = np.concatenate([[0], np.cumsum(opened("words").view("<u4"), dtype=np.int64)])
+        words = np.concatenate([[0], np.cumsum(of_planes(opened(page.column("words")[0].as_py())), dtype=np.int64)])
         rows = page.column("rows").combine_chunks().flatten()
-        ids = lists(gather(flat, np.cumsum(runs) - runs, runs, place), np.diff(sizes[words]))
+        ids = lists(gather(np.concatenate(flat).view("<i4"), start, runs, place), np.diff(sizes[words]))
         return pa.Table.from_arrays([*(rows.field(c) for c in rest), ids], [*rest, "ids"])
 
-    pages = save(_pages(source, rest))
-    chunks = pages.select("page", F.posexplode("chunks").alias("pos", "chunk"))
-    table = chunks.select("chunk").distinct().mapInArrow(segment, "chunk string, ids binary")
-    back = chunks.join(table, "chunk").select(F.col("page").alias("of"), "pos", "ids")
-    return pages.drop("chunks").groupBy("page").cogroup(back.groupBy("of")).applyInArrow(fill, schema)
+    back = source.mapInArrow(shares, "bucket long, page long, digest long, n long, chunks binary").groupBy("bucket").applyInArrow(segment, "bucket long, of long, digest long, n long, ids binary")
+    return source.mapInArrow(pages, page).groupBy("page").cogroup(back.groupBy("of")).applyInArrow(fill, schema)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
