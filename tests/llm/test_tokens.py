@@ -28,6 +28,7 @@ def test_pieces_equal_library(spark, monkeypatch):
     monkeypatch.setattr(pieces, "PAGE_BYTES", 1000)
     rows = [(i, t) for i, t in enumerate(texts())] + [(-1, None), (None, "a b"), (0, ""), (7, "x  y " * 30_000), (7, "x  y " * 30_000), (8, " ")]
     monkeypatch.setattr(pieces, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(pieces, "GATHERED", 40)
     want = sorted(((d, lib.encode(t or "")) for d, t in rows), key=str)
     out = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES), PIECES).collect()
     assert sorted(((r.doc_id, list(r.ids)) for r in out), key=str) == want

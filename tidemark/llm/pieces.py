@@ -37,9 +37,11 @@ from tidemark.llm.common import batch_slices, gather
 
 MARK = "▁"
 #: Text bytes of a page.
-PAGE_BYTES = 16 << 20
+PAGE_BYTES = 8 << 20
 #: Text bytes to a bucket of the table of distinct chunks; the chunks themselves are a part of that.
 BUCKET_BYTES = 8 << 20
+#: Places of a page whose ids are gathered at once (one text at least).
+GATHERED = 1 << 18
 
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
 
@@ -188,11 +190,17 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         start = np.zeros(len(bucket), np.int64)
         start[order] = np.cumsum(runs[order]) - runs[order]
         place = of_planes(opened(page.column("codes")[0].as_py()))
-        sizes = np.concatenate([[0], np.cumsum(runs[place])])
         words = np.concatenate([[0], np.cumsum(of_planes(opened(page.column("words")[0].as_py())), dtype=np.int64)])
-        rows = page.column("rows").combine_chunks().flatten()
-        ids = lists(gather(np.concatenate(flat).view("<i4"), start, runs, place), np.diff(sizes[words]))
-        return pa.Table.from_arrays([*(rows.field(c) for c in rest), ids], [*rest, "ids"])
+        rows, flat = page.column("rows").combine_chunks().flatten(), np.concatenate(flat).view("<i4")
+        parts, at = [], 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(words, words[at] + GATHERED, "right")) - 1)
+            here = place[words[at] : words[to]]
+            sizes = np.concatenate([[0], np.cumsum(runs[here])])
+            ids = lists(gather(flat, start, runs, here), np.diff(sizes[words[at : to + 1] - words[at]]))
+            parts.append(pa.RecordBatch.from_arrays([*(rows.field(c).slice(at, to - at) for c in rest), ids], [*rest, "ids"]))
+            at = to
+        return pa.Table.from_batches(parts)
 
     back = source.mapInArrow(shares, "bucket long, page long, digest long, n long, chunks binary").groupBy("bucket").applyInArrow(segment, "bucket long, of long, digest long, n long, ids binary")
     return source.mapInArrow(pages, page).groupBy("page").cogroup(back.groupBy("of")).applyInArrow(fill, schema)
