@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, langid, linededup, mixing, neardup, pieces, quality, urlrules, wavelet
+from tidemark.llm import chat, jaccard, langid, linededup, mixing, neardup, pieces, quality, sharding, urlrules, wavelet
 from tidemark.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -63,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"), shards=40)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
