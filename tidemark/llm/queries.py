@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, langid, linededup, mixing, neardup, pieces, quality, sharding, urlrules, wavelet
+from tidemark.llm import chat, jaccard, langid, linededup, mixing, neardup, pieces, quality, search, sharding, trie, urlrules, wavelet
 from tidemark.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -63,6 +63,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt_sequences(table(spark, sf_dir, "conversations"))).drop("node", "parent")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(table(spark, sf_dir, "documents"), shards=40)
 
@@ -143,5 +151,66 @@ FROM rows JOIN cuts ON rows.source IS NOT DISTINCT FROM cuts.source
 """
 
 
+TRIE_SQL = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rn,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base FROM turns),
+crc(conv_id, base, s, k, v) AS (
+  SELECT conv_id, base, conv_id::VARCHAR, 0, 4294967295::BIGINT FROM convs
+  UNION ALL
+  SELECT conv_id, base, s, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(s, k // 8 + 1, 1))::BIGINT) ELSE v END AS x FROM crc WHERE k < 8 * length(s))),
+heads AS (SELECT conv_id, base, xor(v, 4294967295::BIGINT) % 4 AS h FROM crc WHERE k = 8 * length(s)),
+rebuilt AS (
+  SELECT heads.conv_id, 0 AS own, rn, role, text FROM heads JOIN turns ON turns.conv_id = heads.base AND rn <= h
+  UNION ALL SELECT heads.conv_id, 1, rn, role, text FROM heads JOIN turns ON turns.conv_id = heads.conv_id AND rn > h),
+steps AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, rn) AS depth FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM steps
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM paths GROUP BY path, depth),
+ends AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM paths GROUP BY conv_id) GROUP BY path),
+ups AS (
+  SELECT n.*, a.path AS up, p.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN paths a ON a.conv_id = n.conv_id AND a.depth = n.depth - 1 LEFT JOIN nodes p ON p.path = a.path AND p.depth = n.depth - 1),
+kids AS (SELECT up, count(*) AS n_children FROM ups WHERE up IS NOT NULL GROUP BY up),
+full_nodes AS (SELECT ups.*, coalesce(n_children, 0) AS n_children FROM ups LEFT JOIN kids ON kids.up = ups.path),
+below AS (
+  SELECT a.path, sum((u.n_children = 0)::BIGINT) AS n_leaves, sum((u.n - 1) * u.words) AS saved
+  FROM full_nodes u JOIN paths a ON a.conv_id = u.conv_id AND a.depth <= u.depth GROUP BY a.path)
+SELECT f.conv_id, f.depth::BIGINT AS depth, f.parent_conv_id, f.n AS n_convs, f.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes f JOIN below ON below.path = f.path LEFT JOIN ends ON ends.path = f.path
+"""
+
+SEARCH_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+totals AS (SELECT count(*) FILTER (len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM words),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY item_id, term),
+tf AS (
+  SELECT row_no, doc_id, n_terms, term, count(*) AS tf
+  FROM (SELECT row_no, doc_id, len(terms) AS n_terms, unnest(terms) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * (SELECT n FROM totals) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY term),
+part AS (
+  SELECT row_no, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n_terms * (SELECT n FROM totals)) // (SELECT l FROM totals))) AS impact FROM tf),
+scored AS (
+  SELECT item_id, row_no, doc_id, sum(times * w * impact)::BIGINT AS score
+  FROM asked JOIN part USING (term) JOIN df USING (term) GROUP BY item_id, row_no, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT_SQL, "op9_source_mixing": MIXING_SQL, "op10_line_dedup": LINES_SQL}
+    return {"op1_chat_format": CHAT_SQL, "op9_source_mixing": MIXING_SQL, "op10_line_dedup": LINES_SQL, "op11_prefix_trie": TRIE_SQL, "op12_ranked_search": SEARCH_SQL}
