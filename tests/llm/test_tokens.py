@@ -1,3 +1,4 @@
+import hashlib
 import random
 import uuid
 import zlib
@@ -37,6 +38,16 @@ def test_pieces_equal_library(spark, monkeypatch):
     assert pieces.digests(spark.createDataFrame([], "doc_id long, text string, ids int, decoded int"), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, None), (2, "")], [(1, None)], [(i, "a b" if i == 9 else ("" if i % 2 else None)) for i in range(12)]])
+def test_pieces_of_pages_without_a_chunk(spark, rows):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    nothing = hashlib.sha256(b"").hexdigest()
+    for parts in (1, 4):
+        got = {r.doc_id: r for r in pieces.digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(parts), PIECES).collect()}
+        assert {d: r.n_tokens for d, r in got.items()} == {d: len(lib.encode(t or "")) for d, t in rows}
+        assert all(r.ids_sha256 == r.decoded_sha256 == nothing for r in got.values() if not r.n_tokens)
+
+
 def test_pieces_segment_each_chunk_once(spark, monkeypatch, tmp_path):
     def logged(chunks, model):
         with open(tmp_path / uuid.uuid4().hex, "w") as f:

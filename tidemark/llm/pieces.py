@@ -114,7 +114,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """id_col, the columns of keep, and ids array<int>, as the library encodes each whole text without
     begin or end ids. docs is read three times (its bytes, its chunks, its codes) and must give its rows in one order.
 
-    Null and empty texts have an empty list. Repeated rows are encoded each; rows come in no given order. A very long
+    Null and empty texts have an empty list, also where a page or a partition holds no other. Repeated rows are encoded each; rows come in no given order. A very long
     text is a page of its own. An empty table gives an empty table. Columns that are not asked for are left out, so none can clash.
     """
     rest = [id_col, *(c for c in keep if c != id_col)]
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1] if len(chunks) else np.zeros(1, np.int32)
             data = memoryview(chunks.buffers()[2] or b"")
             present, first = np.unique(bucket[order], return_index=True)
-            last = np.append(first[1:], len(order))
+            last = np.append(first, len(order))[1:]  # none where no text of the page has a chunk
             packed = [squeeze(to_planes(np.diff(ends[a : b + 1])) + data[ends[a] : ends[b]]) for a, b in zip(first, last, strict=True)]
             columns = [pa.array(present.astype(np.int64)), pa.array(np.full(len(present), name)), pa.array(np.full(len(present), digest)), pa.array((last - first).astype(np.int64)), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "page", "digest", "n", "chunks"])
@@ -226,7 +226,8 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str =
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """Per document: n_tokens, and hex digests of the ids and of the text decoded from them."""
+    """Per document: n_tokens, and hex digests of the ids and of the text decoded from them. Null and empty texts have no ids
+    and the digests of nothing."""
     done = decode(encode(docs, model), model)
     return done.select(
         "doc_id",
