@@ -87,7 +87,8 @@ def test_embeddings_recall_in_dense_third(spark):
     x, cone = paired(20_000)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
     _, one = neardup.classes(df)
-    found = {(r.a, r.b) for r in neardup.window_links(one, 0.9).collect()}
+    vec = {r.node: r.least for r in one.select("node", "least").collect()}
+    found = {(vec[r.a], vec[r.b]) for r in neardup.window_links(one, 0.9).collect()}
     group = closure(range(len(x)), found)
     hit = np.array([group[i] == group[i + 1] for i in range(0, len(x), 2)])
     assert hit[: cone // 2].mean() >= 0.99 and hit[cone // 2 :].mean() >= 0.99
@@ -104,7 +105,8 @@ def test_embeddings_do_not_depend_on_partitions(spark, monkeypatch):
         for n in (2, 150):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             _, one = neardup.classes(df.repartition(n))
-            got.append(closure(range(len(x)), [(r.a, r.b) for r in neardup.window_links(one, 0.9).collect()]))
+            vec = {r.node: r.least for r in one.select("node", "least").collect()}
+            got.append(closure(range(len(x)), [(vec[r.a], vec[r.b]) for r in neardup.window_links(one, 0.9).collect()]))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
@@ -168,3 +170,10 @@ def test_chat_query_equals_sql(spark):
     want = con.execute(CHAT_SQL.strip()).fetchall()
     got = [tuple(r) for r in op1_chat_format(spark, "/root/testdata/sf0.01").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_vectors_that_share_an_id(spark):
+    near = lambda *x: [float(v) for v in x]
+    rows = [(1, near(1, 0)), (1, near(0, 1)), (2, near(1, 0.1)), (3, near(0.1, 1)), (4, near(0.05, 1))]
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
