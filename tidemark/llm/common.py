@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +83,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tupl
         yield part, part.column(column).to_pylist()
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker lives on after its task, and would hold what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The runs values[start[p] : start[p] + size[p]] of all p of place, one after the other."""
     sizes = size[place]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import drop_saved, save, text_slices
+from tidemark.llm.common import drop_saved, give_back, save, text_slices
 from tidemark.llm.components import components
 
 #: Count sketch that finds very frequent shingles: rows x counters (8 MB as 32-bit numbers, whatever the input), sent in blocks.
@@ -40,7 +40,7 @@ SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 2, 20, 1 << 13
 #: A shingle is very frequent from so many sets on, and from so many times the sketch's mean counter.
 FREQUENT, ABOVE_NOISE = 1 << 13, 8
 #: Shingles of a hash range, and the most ranges (larger inputs get larger ranges).
-RANGE_SHINGLES, MOST_RANGES = 1 << 20, 1 << 18
+RANGE_SHINGLES, MOST_RANGES = 1 << 18, 1 << 18
 #: Largest l, and shingles read in verifying that cost as much as one posting.
 MOST_MATCHES, POSTINGS_PER_SHINGLE = 8, 8
 #: Sets of a list from which it is spread over several tasks.
@@ -168,6 +168,8 @@ def census(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         blocks = [(i, b) for i, b in enumerate(sums.reshape(-1, SKETCH_BLOCK)) if b.any()]
         none = pa.nulls(len(blocks)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(blocks), pa.list_(pa.int64())), pa.array([i for i, _ in blocks], pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for _, b in blocks], pa.binary())], names)
+        del sums, blocks
+        give_back()
 
     rows = save(docs.mapInArrow(run, "doc_id long, n long, node long, parity array<long>, slot int, counts binary"))
 
@@ -229,6 +231,7 @@ def shared_shingles(texts: DataFrame, sketch: np.ndarray, ranges: int, width: in
                 tokens = every[a:b].view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
                 rows.append((int(place[a]) >> 1, bool(place[a] & 1), tokens, names[owner[runs[:-1]]].tobytes(), np.diff(runs).astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "frequent", "tokens", "nodes", "runs"])
+        give_back()
 
     def unique(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs in order, each once: several tasks may have sent an equal set."""
@@ -240,11 +243,11 @@ def shared_shingles(texts: DataFrame, sketch: np.ndarray, ranges: int, width: in
 
     def several(tokens: np.ndarray, nodes: np.ndarray, first: np.uint64) -> Iterator[pa.RecordBatch]:
         order = np.argsort(tokens, kind="stable")
-        tokens, nodes = tokens[order], nodes[order]
+        tokens = tokens[order]
         again = np.zeros(len(tokens), bool)
         again[1:] = tokens[1:] == tokens[:-1]
         again[:-1] |= again[1:]
-        tokens, nodes = unique(tokens[again], nodes[again])
+        tokens, nodes = unique(tokens[again], nodes[order[again]])
         _, back, df = np.unique(tokens, return_inverse=True, return_counts=True)
         df = df[back]
         tokens = _mix(tokens[df > 1] ^ first, 0).view(np.int64)
@@ -278,6 +281,7 @@ def shared_shingles(texts: DataFrame, sketch: np.ndarray, ranges: int, width: in
                     wide[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
                     held.append((wide.view(np.uint64).reshape(-1), nodes))
         yield from close()
+        give_back()
 
     dealt = texts.mapInArrow(deal, "range int, frequent boolean, tokens binary, nodes binary, runs binary")
     ordered = dealt.repartition("range").sortWithinPartitions("range")

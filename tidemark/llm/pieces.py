@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batch_slices, gather
+from tidemark.llm.common import batch_slices, gather, give_back
 
 MARK = "▁"
 #: Text bytes of a page.
@@ -108,6 +108,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple
         chunks = coded.dictionary.take(pa.array(order))
         bucket = (pd.util.hash_array(chunks.to_numpy(zero_copy_only=False), categorize=False) % buckets).astype("<u4")
         yield task + at, xxhash.xxh64_intdigest(found.buffers()[2]) - 2**63, part, counts, number[place], chunks, bucket
+    give_back()
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -173,6 +174,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 known = [table[c] for c in chunks]
                 packed.append(squeeze(to_planes(np.fromiter(map(len, known), np.int64, n) // 4) + to_planes(np.frombuffer(b"".join(known), "<u4"))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "page", "digest", "n")), pa.array(packed, pa.binary())], ["bucket", "of", "digest", "n", "ids"])
+        table.clear()
+        give_back()
 
     def fill(page: pa.Table, known: pa.Table) -> pa.Table:
         opened = zstandard.ZstdDecompressor().decompress
