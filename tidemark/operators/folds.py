@@ -1,5 +1,7 @@
-"""Operators whose next decision depends on the last: greedy suppression, automata and scans, as folds over
-sorted arrays. Input is first cut where a decision cannot reach (a time gap), so arrays stay short."""
+"""Operators whose next decision depends on the last: greedy suppression, automata and scans.
+
+Suppression folds short chains, cut where a decision cannot reach. The automaton and the scan need no fold: what closes a bout, and
+which row is next in turn, follow from running values alone, which prefix.carried computes bucket by bucket."""
 
 from __future__ import annotations
 
@@ -7,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.islands import _running
+from tidemark.operators.prefix import carried
 
 
 def suppressed(df: DataFrame, keys: list[str], time: str, score: str, tie: str, radius: float, limit: int | None = None) -> DataFrame:
@@ -30,66 +33,80 @@ def suppressed(df: DataFrame, keys: list[str], time: str, score: str, tie: str,
     return kept.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def bouts(df: DataFrame, keys: list[str], time: str, tie: str, state: str, between: float, bridge: float) -> DataFrame:
+#: Live rows extend a bout; the first kind also opens one.
+LIVE = ("LIVE_SEED", "LIVE_SUPPORT")
+
+
+def bouts(df: DataFrame, keys: list[str], time: str, tie: str, state: str, between: float, bridge: float, first: str | None = None, last: str | None = None, calm: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Live intervals by automaton over LIVE_SEED, LIVE_SUPPORT, BETWEEN_POINTS and UNKNOWN rows: keys, start, end,
     live_rows, end_source.
 
-    A seed opens; seed and support extend. BETWEEN rows for `between` close, at the first of them (or the
-    last live row if that is later is kept as the end before). An UNKNOWN row clears a pending BETWEEN, and
-    closes at the last live row once that is more than `bridge` ago. Intervals without length are dropped.
+    A seed opens; seed and support extend. BETWEEN rows for `between` close, at the first of them, not before the start. An UNKNOWN
+    row ends the wait, and closes at the last live row once that is more than `bridge` ago. Intervals without length are dropped.
+    first, last: columns with the times at which a live row's evidence begins and ends; calm: the column with the time that a BETWEEN row
+    stands for; all of them the row's own time where they are null or not given.
+
+    Whether a row closes what is open depends on the rows of its BETWEEN run and on the last live row only, not on what is
+    open. So rows are numbered by the closing rows before them, and of each number the rows from the first seed on are a bout. bucket: parts of the
+    time that one task sorts, all of a key in one if None.
+    """
+    t = F.col(time).cast("double")
+    own = lambda c: F.coalesce(F.col(c).cast("double"), t) if c else t
+    part = [] if bucket is None else [bucket.alias("part")]
+    at = None if bucket is None else F.col("part")
+    rows = df.select(*keys, t.alias("t"), F.col(tie).alias("k"), F.col(state).alias("s"), own(first).alias("from"), own(last).alias("to"), own(calm).alias("calm"), *part)
+    live, idle, order = F.col("s").isin(*LIVE), F.col("s") == "BETWEEN_POINTS", ["t", "k"]
+    rows = carried(rows, keys, at, order, lasts={"live_t": F.when(live, F.col("t"))}, befores={"before": F.col("s")})
+    fresh = idle & ~F.coalesce(F.col("before") == "BETWEEN_POINTS", F.lit(False))
+    rows = carried(rows, keys, at, order, lasts={"run": F.when(fresh, F.struct("t", "calm"))})
+    shut = F.when(idle, F.col("t") - F.col("run.t") >= between).when(~live, F.col("t") - F.col("live_t") > bridge)
+    rows = rows.withColumn("shut", F.coalesce(shut, F.lit(False)).cast("long"))
+    rows = carried(rows, keys, at, order, before_sums={"number": F.col("shut")})
+    seed = F.when(F.col("s") == "LIVE_SEED", F.struct("t", "k"))
+    opened = rows.groupBy(*keys, "number").agg(F.min(seed).alias("seed")).filter("seed is not null")
+    place = F.struct("t", "k")
+    rows = rows.join(opened, [*keys, "number"]).filter(place >= F.col("seed"))
+    ended = F.max(F.when(F.col("shut") == 1, F.struct(idle.alias("calmed"), F.col("run.calm").alias("calm"))))
+    found = rows.groupBy(*keys, "number").agg(F.min_by("from", F.when(live, place)).alias("start"), F.max(F.when(live, F.col("to"))).alias("to"), F.count_if(live).alias("live_rows"), ended.alias("shut"))
+    end = F.when(F.col("shut.calmed"), F.greatest("start", "shut.calm")).otherwise(F.col("to"))
+    source = F.when(F.col("shut.calmed"), "between").when(F.col("shut").isNotNull(), "unknown").otherwise("timeline")
+    return found.select(*keys, "start", end.alias("end"), "live_rows", source.alias("end_source")).filter("end > start")
+
+
+def turns(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expected: Column, after: Column, mask: float, first_gap: float, gap: float, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of df that come in turn, and per key how the scan went: accepted, skipped (long), stopped (boolean).
+
+    The first in turn is later than `after` + mask and on the expected side (any if null), at most first_gap behind `after`. The next is the first row on the
+    other side; rows before it are skipped. A row more than gap behind the last in turn stops the scan, and is not looked at. Rows with a null side take no part.
+
+    After the first row in turn, the next ones are the rows at which the side changes, up to the first such step that is
+    too long: nothing else has to be remembered, whatever the number of rows. after and expected are the same in all rows of a key.
     """
-    item = F.struct(F.col(time).cast("double").alias("t"), F.col(tie).alias("k"), F.col(state).alias("s"))
-    whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    shape = "struct<open:boolean,start:double,last:double,n:bigint,pend:double,out:array<struct<start:double,end:double,live_rows:bigint,end_source:string>>>"
-    begin = F.from_json(F.lit('{"open":false,"n":0,"out":[]}'), shape)
-
-    def acc(open_: Column, start: Column, last: Column, n: Column, pend: Column, out: Column) -> Column:
-        return F.struct(open_.alias("open"), start.alias("start"), last.alias("last"), n.alias("n"), pend.alias("pend"), out.alias("out")).cast(shape)
-
-    none, closed = F.lit(None).cast("double"), F.lit(False)
-
-    def close(a: Column, end: Column, source: str) -> Column:
-        row = F.struct(a["start"].alias("start"), end.alias("end"), a["n"].alias("live_rows"), F.lit(source).alias("end_source"))
-        return F.array_append(a["out"], row)
-
-    def step(a: Column, x: Column) -> Column:
-        t, live = x["t"], x["s"].isin("LIVE_SEED", "LIVE_SUPPORT")
-        pend = F.coalesce(a["pend"], t)
-        return (
-            F.when(~a["open"], F.when(x["s"] == "LIVE_SEED", acc(F.lit(True), t, t, F.lit(1), none, a["out"])).otherwise(a))
-            .when(live, acc(F.lit(True), a["start"], t, a["n"] + 1, none, a["out"]))
-            .when((x["s"] == "BETWEEN_POINTS") & (t - pend >= between), acc(closed, none, none, F.lit(0), none, close(a, pend, "between")))
-            .when(x["s"] == "BETWEEN_POINTS", acc(F.lit(True), a["start"], a["last"], a["n"], pend, a["out"]))
-            .when(t - a["last"] > bridge, acc(closed, none, none, F.lit(0), none, close(a, a["last"], "unknown")))
-            .otherwise(acc(F.lit(True), a["start"], a["last"], a["n"], none, a["out"]))
-        )
-
-    finish = lambda a: F.when(a["open"], close(a, a["last"], "timeline")).otherwise(a["out"])
-    found = whole.select(*keys, F.explode(F.aggregate("_all", begin, step, finish)).alias("_b"))
-    return found.select(*keys, "_b.*").filter("end > start")
-
-
-def alternating_scan(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expected: Column, after: Column, first_gap: float, gap: float) -> DataFrame:
-    """Per key, the rows accepted in turn: later than `after` + first_gap, each on the expected side, which then
-    changes; a row out of turn is skipped; a step of more than gap from the last accepted row stops the
-    scan. Returns keys, accepted (array of tie), skipped and stopped."""
-    item = F.struct(F.col(time).cast("double").alias("t"), F.col(tie).cast("long").alias("k"), F.col(side).cast("int").alias("s"))
-    whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"), F.first(expected.cast("int")).alias("_e"), F.min(after.cast("double")).alias("_a"))
-    shape = "struct<last:double,want:int,stop:boolean,skip:bigint,out:array<bigint>>"
-
-    def acc(last: Column, want: Column, stop: Column, skip: Column, out: Column) -> Column:
-        return F.struct(last.alias("last"), want.alias("want"), stop.alias("stop"), skip.alias("skip"), out.alias("out")).cast(shape)
-
-    begin = acc(F.col("_a"), F.col("_e"), F.lit(False), F.lit(0), F.array().cast("array<bigint>"))
-
-    def step(a: Column, x: Column) -> Column:
-        early = (F.size(a["out"]) == 0) & (x["t"] <= a["last"] + first_gap)
-        return (
-            F.when(a["stop"] | early, a)
-            .when(x["t"] - a["last"] > gap, acc(a["last"], a["want"], F.lit(True), a["skip"], a["out"]))
-            .when(x["s"] != a["want"], acc(a["last"], a["want"], F.lit(False), a["skip"] + 1, a["out"]))
-            .otherwise(acc(x["t"], 1 - a["want"], F.lit(False), a["skip"], F.array_append(a["out"], x["k"])))
-        )
-
-    done = whole.select(*keys, F.aggregate("_all", begin, step).alias("_r"))
-    return done.select(*keys, F.col("_r.out").alias("accepted"), F.col("_r.skip").alias("skipped"), F.col("_r.stop").alias("stopped"))
+    t = F.col(time).cast("double")
+    rows = df.filter(F.col(side).isNotNull()).withColumns({"_t": t, "_after": after.cast("double"), "_want": expected, **({} if bucket is None else {"_part": bucket})})
+    rows = rows.filter(F.col("_t") > F.col("_after") + mask)
+    place = F.struct("_t", tie)
+    right = F.col("_want").isNull() | (F.col(side) == F.col("_want"))
+    starts = rows.groupBy(*keys).agg(F.min(F.when(right, place)).alias("_first"))
+    rows = rows.join(starts, keys)
+    # From the first row on, a row's side differs from that of the row before it or not.
+    inside = place >= F.col("_first")
+    order, at = ["_t", tie], None if bucket is None else F.col("_part")
+    rows = carried(rows, keys, at, order, befores={"_before": F.when(inside, F.col(side))})
+    head = F.coalesce(inside & (F.col("_before").isNull() | (F.col("_before") != F.col(side))), F.lit(False))
+    rows = carried(rows.withColumn("_head", head), keys, at, order, befores={"_last": F.when(F.col("_head"), F.col("_t"))})
+    late = F.coalesce(F.col("_t") - F.col("_last") > gap, F.col("_t") - F.col("_after") > first_gap)
+    stops = rows.groupBy(*keys).agg(F.min(F.when(late, place)).alias("_stop"))
+    rows = rows.join(stops, keys).filter(F.col("_stop").isNull() | (place < F.col("_stop")))
+    ended = stops.select(*keys, F.col("_stop").isNotNull().alias("stopped"))
+    counts = rows.groupBy(*keys).agg(F.count_if("_head").alias("accepted"), F.count_if(~F.col("_head")).alias("skipped"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.filter("_head").select(*df.columns), ended.join(counts, keys, "left").select(*keys, zero("accepted"), zero("skipped"), "stopped")
+
+
+def alternating_scan(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expected: Column, after: Column, first_gap: float, gap: float, bucket: Column | None = None) -> DataFrame:
+    """Per key of df: accepted (the tie of the rows in turn, in order), skipped and stopped; see turns, with the mask first_gap and one gap for all steps."""
+    found, went = turns(df, keys, time, tie, side, expected, after, first_gap, gap, gap, bucket)
+    lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(tie).cast("long").alias("k")))).alias("_l"))
+    every = df.select(*keys).distinct().join(went, keys, "left").join(lists, keys, "left")
+    return every.select(*keys, F.coalesce("_l.k", F.array().cast("array<bigint>")).alias("accepted"), F.coalesce("skipped", F.lit(0)).cast("long").alias("skipped"), F.coalesce("stopped", F.lit(False)).alias("stopped"))
