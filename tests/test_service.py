@@ -1,99 +1,100 @@
-"""Point hypotheses against loops over each match."""
+"""Point hypotheses and decisions on random matches, against SQL that states which rows belong to the result."""
 
 import random
-from itertools import pairwise
-
-from tidemark.plans import service
-from tidemark.plans.service import Limits
-
-
-def brute(serves, strokes, bouts, duration, lim):
-    other = {"near": "far", "far": "near"}
-
-    def returned(s):
-        return s["end"] in other and any(s["strike"] + lim.mask < t <= s["strike"] + lim.first_return and e == other[s["end"]] for _, t, e in strokes)
-
-    def lap(a, b):
-        return max(0.0, min(a[1], b[1]) - max(a[0], b[0]))
-
-    groups = []
-    for s in sorted(serves, key=lambda s: (s["strike"], s["id"])):
-        if groups:
-            p = groups[-1][-1]
-            gap = s["strike"] - p["strike"]
-            same = p["end"] == s["end"] and p["half"] == s["half"] and not (p["team"] and s["team"] and p["team"] != s["team"])
-            switch = p["end"] in other and s["end"] in other and p["end"] != s["end"] and gap <= lim.end_switch
-            if gap <= lim.retry and not returned(p) and (same or switch):
-                groups[-1].append(s)
-                continue
-        groups.append([s])
-    out, cover = [], []
-    for g in groups:
-        back = next((s for s in g if returned(s)), None)
-        s = back or g[-1]
-        lo, hi = s["strike"] - lim.reset, min(duration, s["strike"] + lim.search)
-        near = [b for b in bouts if b[1] >= lo and b[0] <= hi]
-        bout = max(near, key=lambda b: (min(b[1], hi) - max(b[0], lo), b[1] - b[0], -b[0])) if near else None
-        if back is None and bout is None and (s["score"] or 0) < lim.unreturned_score:
-            continue
-        end = bout[1] if bout else s["strike"]
-        name = "confirmed_rally" if back else "serve_led_player_activity" if bout else "unreturned_service_point"
-        out.append({"kind": "serve", "start": s["setup"], "ls": s["strike"], "le": end, "server": s["end"] if s["end"] in other else None, "n": len(g), "class": name})
-        cover.append((min(x["setup"] for x in g), max(end, s["strike"] + 1)))
-    runs, cur = [], []
-    for i, t, e in sorted(strokes, key=lambda x: (x[1], x[0])):
-        if e not in other:
-            continue
-        if cur and (t - cur[-1][0] > lim.exchange_gap or e == cur[-1][1]):
-            runs.append(cur)
-            cur = []
-        cur.append((t, e))
-    runs = [r for r in [*runs, cur] if len(r) >= lim.exchange_actions]
-    alone = []
-    for b in bouts:
-        if b[1] - b[0] < lim.candidate or any(lap(b, c) > 0.5 for c in cover):
-            continue
-        inside = [r for r in runs if b[0] - 0.5 <= r[0][0] and r[-1][0] <= b[1] + 0.5]
-        seed = max(inside, key=len) if inside else None
-        start = max(b[0], seed[0][0] - lim.lookback) if seed else b[0]
-        name = "exchange_without_observed_serve" if seed else "two_sided_live_state_without_observed_serve"
-        alone.append({"kind": "exchange" if seed else "live_state", "start": max(0.0, start), "ls": seed[0][0] if seed else b[0], "le": b[1], "server": None, "n": 0, "class": name})
-    alone.sort(key=lambda h: (h["start"], h["le"]))
-    gone = {id(a) for a, b in pairwise(alone) if a["kind"] == "live_state" and 0 <= b["start"] - a["le"] <= lim.state_gap}
-    every = sorted(out + [h for h in alone if id(h) not in gone], key=lambda h: (h["start"], h["kind"] != "serve", h["ls"], h["le"]))
-    kept = []
-    for h in every:
-        i = next((i for i, k in enumerate(kept) if lap((h["ls"], h["le"]), (k["ls"], k["le"])) > 0.5), None)
-        if i is None:
-            kept.append(h)
-        elif h["kind"] == "serve" and kept[i]["kind"] != "serve":
-            kept[i] = h
-    return [tuple(h.values()) for h in kept]
-
-
-def test_hypotheses_equal_loops(spark):
-    rng, lim = random.Random(8), Limits()
-    matches = {}
-    for m in range(60):
-        tick = lambda hi: rng.randrange(hi * 4) / 4
-        serves = []
-        for i in range(rng.choice([0, 2, 6, 12])):
-            t = tick(200)
-            serves.append({"id": i, "strike": t, "setup": t - rng.choice([0.5, 2.0]), "end": rng.choice(["near", "far", None]), "half": rng.choice(["left", "left", None]), "team": rng.choice(["", "a", "b", None]), "score": rng.choice([None, 0.5, 0.8])})
-        strokes = [(i, tick(200), rng.choice(["near", "far", "far", None])) for i in range(rng.choice([0, 20, 60]))]
-        bouts, at = [], 0.0
+
+import duckdb
+
+from tidemark.plans import decode, service
+from tidemark.queries.points import DECODED_SQL, HYPOTHESES_SQL
+
+SCHEMAS = {
+    "serves": "m int, serve_id long, strike double, setup double, end string, half string, team string, score double",
+    "strokes": "m int, stroke_id long, t double, end string",
+    "bouts": "m int, start double, end double, transition double",
+    "durations": "m int, duration double",
+}
+
+
+def random_matches(rng, n):
+    """Rows of all tables; times on a grid of a quarter second, so limits are met exactly, but not two serves or strokes at one time."""
+    rows = {name: [] for name in SCHEMAS}
+    for m in range(n):
+        times = lambda k: sorted(rng.sample(range(800), k))
+        for i, t in enumerate(times(rng.choice([0, 2, 6, 12]))):
+            rows["serves"].append((m, i, t / 4, t / 4 - rng.choice([0.5, 2.0]), rng.choice(["near", "far", None]), rng.choice(["left", "left", None]), rng.choice(["", "a", "b", None]), rng.choice([None, 0.5, 0.8])))
+        for i, t in enumerate(times(rng.choice([0, 20, 60]))):
+            rows["strokes"].append((m, i, t / 4 + 0.05, rng.choice(["near", "far", "far", None, "x"])))
+        at = 0.0
         while at < 180:
-            at += rng.choice([0.5, 1.0, 3.0, 12.0])
-            bouts.append((at, at + rng.choice([1.0, 5.5, 6.0, 14.0])))
-            at = bouts[-1][1]
-        matches[m] = (serves, strokes, bouts)
-    make = lambda rows, schema: spark.createDataFrame(rows, schema)
-    serves = make([(m, *(s[c] for c in ("id", "strike", "setup", "end", "half", "team", "score"))) for m, x in matches.items() for s in x[0]], "m int, serve_id int, strike double, setup double, end string, half string, team string, score double")
-    strokes = make([(m, *s) for m, x in matches.items() for s in x[1]], "m int, stroke_id int, t double, end string")
-    bouts = make([(m, *b) for m, x in matches.items() for b in x[2]], "m int, start double, end double")
-    got = service.point_hypotheses(serves, strokes, bouts, ["m"], 200.0, lim).collect()
-    assert {r.kind for r in got} == {"serve", "exchange", "live_state"}
-    for m, x in matches.items():
-        mine = sorted((r.kind, r.start, r.live_start, r.live_end, r.server_end, r.attempts, r.classification) for r in got if r.m == m)
-        assert mine == sorted(brute(*x, 200.0, lim)), m
-    assert service.point_hypotheses(serves.limit(0), strokes.limit(0), bouts.limit(0), ["m"], 200.0).count() == 0
+            start = at + rng.choice([0.5, 1.0, 3.0, 12.0])
+            at = start + rng.choice([1.0, 5.5, 6.0, 14.0])
+            rows["bouts"].append((m, start, at, rng.choice([None, None, at - 0.25, at + 6.0])))
+        rows["durations"].append((m, 190.0))
+    return rows
+
+
+def ask(rows, sql):
+    con = duckdb.connect()
+    for name, schema in SCHEMAS.items():
+        kinds = {c.split()[0]: {"int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}[c.split()[1]] for c in schema.split(", ")}
+        con.execute(f"CREATE TABLE {name} ({', '.join(f'"{c}" {k}' for c, k in kinds.items())})")
+        if rows[name]:
+            con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(kinds))})", rows[name])
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    return names, found.fetchall()
+
+
+def same(df, names, want):
+    got = sorted(str(tuple(r[n] for n in names)) for r in df.collect())
+    assert got == sorted(map(str, want))
+    return len(got)
+
+
+def test_hypotheses_and_decisions_equal_sql(spark):
+    rows = random_matches(random.Random(8), 40)
+    tables = {name: spark.createDataFrame(rows[name], schema) for name, schema in SCHEMAS.items()}
+    hyp = service.point_hypotheses(tables["serves"], tables["strokes"], tables["bouts"], ["m"], float(1 << 20)).cache()
+    names, want = ask(rows, f"WITH RECURSIVE {HYPOTHESES_SQL} SELECT * FROM hyp")
+    assert same(hyp, names, want) > 200
+    kinds = {r[names.index("kind")] for r in want} | {r[names.index("classification")] for r in want}
+    assert kinds == {"serve", "exchange", "live_state", "returned_serve", "serve_with_play", "unreturned_serve", "exchange_only", "play_only"}
+    decisions, turns = decode.decoded(hyp, tables["strokes"], ["m"], 190.0)
+    names, want = ask(rows, f"WITH RECURSIVE {HYPOTHESES_SQL},{DECODED_SQL} SELECT * EXCLUDE (duration) FROM fin")
+    same(decisions, names, want)
+    assert {r[names.index("dropped")] for r in want} == {None, "too_short", "unexplained_tail"}
+    assert {r[names.index("source")] for r in want} == {"calm_stretch", "live_end", "bounded_window"}
+    taken = turns.groupBy("m", "no").count().collect()
+    served = {(r.m, r.no): r.accepted_actions for r in decisions.filter("kind = 'serve'").collect()}
+    assert {(r.m, r.no): r["count"] for r in taken} == {k: n for k, n in served.items() if n}
+    hyp.unpersist()
+
+
+def test_no_rows_and_null_times(spark):
+    empty = {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
+    assert service.point_hypotheses(empty["serves"], empty["strokes"], empty["bouts"], ["m"], 200.0).count() == 0
+    serves = spark.createDataFrame([(1, 0, None, None, "near", None, None, 0.9), (1, 1, 20.0, None, "near", None, None, 0.9)], SCHEMAS["serves"])
+    strokes = spark.createDataFrame([(1, 0, None, "far"), (1, 1, 21.0, "far")], SCHEMAS["strokes"])
+    hyp = service.point_hypotheses(serves, strokes, empty["bouts"].drop("transition"), ["m"], 200.0)
+    (row,) = decode.decoded(hyp, strokes, ["m"], 200.0)[0].collect()
+    assert (row.classification, row.start, row.last_action, row.end, row.source, row.accepted_actions, row.dropped) == ("returned_serve", 20.0, 21.0, 26.0, "bounded_window", 1, "unexplained_tail")
+    (told,) = decode.quality(decode.decoded(hyp, strokes, ["m"], 200.0)[0], ["m"], 200.0).collect()
+    assert (told.n, told.violations, told.rejected, told.median_gap) == (0, 0, False, None)
+    assert decode.decoded(hyp.limit(0), strokes, ["m"], 200.0)[0].count() == 0
+
+
+def test_promotion(spark):
+    schema = SCHEMAS["serves"] + ", evidence boolean, accepted boolean"
+    row = lambda i, score, evidence, accepted, end="near": (1, i, 10.0 * i, 10.0 * i, end, None, None, score, evidence, accepted)
+    serves = spark.createDataFrame([row(0, 0.1, False, True), row(1, 0.52, True, False), row(2, 0.51, True, False), row(3, 0.9, None, None), row(4, 0.9, True, False, "far"), row(5, None, True, False)], schema)
+    strokes = spark.createDataFrame([(1, i, 10.0 * i + 2, "far") for i in range(6)], SCHEMAS["strokes"])
+    assert {r.serve_id for r in decode.promoted(serves, strokes, ["m"]).filter("accepted").collect()} == {0, 1}
+
+
+def test_quality_rejects_tiles(spark):
+    schema = "m int, no int, kind string, start double, end double, tail double, accepted_actions long, dropped string"
+    tiles = [(1, i, "serve", i * 10.0, i * 10.0 + 9.8, 0.0, 2, None) for i in range(3)]
+    apart = [(2, i, "serve", i * 10.0, i * 10.0 + 5, 0.0, 0, None) for i in range(3)] + [(2, 3, "serve", 30.0, 31.0, 9.0, 0, "too_short")]
+    told = {r.m: r for r in decode.quality(spark.createDataFrame(tiles + apart, schema), ["m"], 30.0).collect()}
+    assert told[1].rejected and told[1].reason == "tiled_source" and not told[1].warned
+    assert not told[2].rejected and told[2].warned and told[2].n == 3 and told[2].median_gap == 5.0

@@ -74,7 +74,7 @@ def bouts(df: DataFrame, keys: list[str], time: str, tie: str, state: str, betwe
 
 
 def turns(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expected: Column, after: Column, mask: float, first_gap: float, gap: float, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows of df that come in turn, and per key how the scan went: accepted, skipped (long), stopped (boolean).
+    """The rows of df that come in turn, and per key how the scan went: accepted, skipped (long), stopped (boolean) and stop_at.
 
     The first in turn is later than `after` + mask and on the expected side (any if null), at most first_gap behind `after`. The next is the first row on the
     other side; rows before it are skipped. A row more than gap behind the last in turn stops the scan, and is not looked at. Rows with a null side take no part.
@@ -98,10 +98,10 @@ def turns(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expect
     late = F.coalesce(F.col("_t") - F.col("_last") > gap, F.col("_t") - F.col("_after") > first_gap)
     stops = rows.groupBy(*keys).agg(F.min(F.when(late, place)).alias("_stop"))
     rows = rows.join(stops, keys).filter(F.col("_stop").isNull() | (place < F.col("_stop")))
-    ended = stops.select(*keys, F.col("_stop").isNotNull().alias("stopped"))
+    ended = stops.select(*keys, F.col("_stop").isNotNull().alias("stopped"), F.col("_stop._t").alias("stop_at"))
     counts = rows.groupBy(*keys).agg(F.count_if("_head").alias("accepted"), F.count_if(~F.col("_head")).alias("skipped"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.filter("_head").select(*df.columns), ended.join(counts, keys, "left").select(*keys, zero("accepted"), zero("skipped"), "stopped")
+    return rows.filter("_head").select(*df.columns), ended.join(counts, keys, "left").select(*keys, zero("accepted"), zero("skipped"), "stopped", "stop_at")
 
 
 def alternating_scan(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expected: Column, after: Column, first_gap: float, gap: float, bucket: Column | None = None) -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import overlap
 from tidemark.operators.ranges import band_pairs, overlap_pairs
+from tidemark.sources.scratch import written
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Seconds, but for score and actions. Fixed values of the production decoder."""
+    """Seconds, but for scores, shares and actions. Fixed values of the production decoder."""
 
     mask: float = 0.7
     first_return: float = 4.5
@@ -31,6 +32,13 @@ class Limits:
     exchange_actions: int = 3
     lookback: float = 6.0
     state_gap: float = 5.0
+    promote: float = 0.52
+    rest: float = 5.0
+    tail: float = 4.0
+    least: float = 2.0
+    retention: float = 0.90
+    pause: float = 0.75
+    bare: float = 0.65
     slack: float = 0.5
     same: float = 0.5
 
@@ -89,38 +97,39 @@ def _served(serves: DataFrame, bouts: DataFrame, keys: list[str], duration: floa
     chosen = groups.select(*keys, "group", "cover", "attempts", F.coalesce("back", "last").alias("s"))
     chosen = chosen.select(*keys, "group", "cover", "attempts", "s.*")
     a = chosen.select(*keys, "group", (F.col("strike") - lim.reset).alias("a_start"), F.least(F.col("strike") + lim.search, F.lit(duration)).alias("a_end"))
-    b = bouts.select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    b = bouts.select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"), "transition")
     size = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
     # The bout that overlaps most, then the longer, then the earlier one.
-    best = F.max(F.struct(size.alias("o"), (F.col("b_end") - F.col("b_start")).alias("d"), (-F.col("b_start")).alias("s"), F.col("b_end").alias("e")))
+    best = F.max(F.struct(size.alias("o"), (F.col("b_end") - F.col("b_start")).alias("d"), (-F.col("b_start")).alias("s"), F.col("b_end").alias("e"), F.col("transition").alias("t")))
     found = overlap_pairs(a, b, keys, width).groupBy(*keys, "group").agg(best.alias("best"))
     rows = chosen.join(found, [*keys, "group"], "left").filter(F.col("returned") | F.col("best").isNotNull() | (F.coalesce("score", F.lit(0.0)) >= lim.unreturned_score))
-    rows = rows.withColumn("live_end", F.coalesce("best.e", "strike"))
-    kind = F.when(F.col("returned"), "confirmed_rally").when(F.col("best").isNotNull(), "serve_led_player_activity").otherwise("unreturned_service_point")
-    out = rows.select(*keys, F.lit("serve").alias("kind"), F.col("setup").alias("start"), F.col("strike").alias("live_start"), "live_end", known_end(F.col("end")).alias("server_end"), "attempts", kind.alias("classification"))
+    rows = written(rows.withColumn("live_end", F.coalesce("best.e", "strike")))
+    kind = F.when(F.col("returned"), "returned_serve").when(F.col("best").isNotNull(), "serve_with_play").otherwise("unreturned_serve")
+    out = rows.select(*keys, F.lit("serve").alias("kind"), F.col("setup").alias("start"), F.col("strike").alias("live_start"), "live_end", known_end(F.col("end")).alias("server_end"), "attempts", kind.alias("classification"), "serve_id", F.col("best").isNotNull().alias("has_bout"), F.col("best.t").alias("transition"), F.lit(0).cast("long").alias("seed_n"), F.lit(None).cast("double").alias("seed_last"))
     return out, rows.select(*keys, F.col("cover").alias("a_start"), F.greatest("live_end", F.col("strike") + 1.0).alias("a_end"))
 
 
 def _unserved(bouts: DataFrame, covered: DataFrame, sequences: DataFrame, keys: list[str], lim: Limits, width: float) -> DataFrame:
     """The hypothesis of each long bout that no service covers, from its longest exchange where it has one."""
-    long = bouts.filter(F.col("end") - F.col("start") >= lim.candidate).select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    long = bouts.filter(F.col("end") - F.col("start") >= lim.candidate).select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"), "transition")
     gone = overlap_pairs(covered, long, keys, width).filter(overlap(*map(F.col, ("a_start", "a_end", "b_start", "b_end"))) > lim.same).select(*keys, "b_start", "b_end").distinct()
     alone = long.join(gone, [*keys, "b_start", "b_end"], "left_anti")
     inside = overlap_pairs(sequences.select(*keys, F.col("first").alias("a_start"), F.col("last").alias("a_end"), "n"), alone.select(*keys, (F.col("b_start") - lim.slack).alias("b_start"), (F.col("b_end") + lim.slack).alias("b_end"), F.col("b_start").alias("s"), F.col("b_end").alias("e")), keys, width)
     inside = inside.filter((F.col("a_start") >= F.col("b_start")) & (F.col("a_end") <= F.col("b_end")))
-    seed = inside.groupBy(*keys, F.col("s").alias("b_start"), F.col("e").alias("b_end")).agg(F.max(F.struct("n", (-F.col("a_start")).alias("f"))).alias("seed"))
+    seed = inside.groupBy(*keys, F.col("s").alias("b_start"), F.col("e").alias("b_end")).agg(F.max(F.struct("n", (-F.col("a_start")).alias("f"), F.col("a_end").alias("l"))).alias("seed"))
     rows = alone.join(seed, [*keys, "b_start", "b_end"], "left").withColumn("first", -F.col("seed.f"))
     begin = F.when(F.col("first").isNotNull(), F.greatest("b_start", F.col("first") - lim.lookback)).otherwise(F.col("b_start"))
     seeded = lambda yes, no: F.when(F.col("first").isNotNull(), yes).otherwise(no)
     return rows.select(
         *keys, seeded("exchange", "live_state").alias("kind"), F.greatest(begin, F.lit(0.0)).alias("start"), F.coalesce("first", "b_start").alias("live_start"), F.col("b_end").alias("live_end"),
-        F.lit(None).cast("string").alias("server_end"), F.lit(0).cast("long").alias("attempts"), seeded("exchange_without_observed_serve", "two_sided_live_state_without_observed_serve").alias("classification"),
+        F.lit(None).cast("string").alias("server_end"), F.lit(0).cast("long").alias("attempts"), seeded("exchange_only", "play_only").alias("classification"),
+        F.lit(None).alias("serve_id"), F.lit(True).alias("has_bout"), "transition", F.coalesce("seed.n", F.lit(0)).cast("long").alias("seed_n"), F.col("seed.l").cast("double").alias("seed_last"),
     )
 
 
 def _once(rows: DataFrame, keys: list[str], lim: Limits) -> DataFrame:
     """Of hypotheses whose live parts share more than `same`, the first by start stays, or in its place a serve that comes later."""
-    fields = ("start", "late", "live_start", "live_end", "kind", "server_end", "attempts", "classification")
+    fields = ("start", "late", "live_start", "live_end", "kind", "server_end", "attempts", "classification", "serve_id", "has_bout", "transition", "seed_n", "seed_last")
     rows = rows.withColumn("late", (F.col("kind") != "serve").cast("int"))
     w = Window.partitionBy(*keys).orderBy("live_start", "live_end")
     before = F.max("live_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -139,20 +148,25 @@ def _once(rows: DataFrame, keys: list[str], lim: Limits) -> DataFrame:
 
 
 def point_hypotheses(serves: DataFrame, strokes: DataFrame, bouts: DataFrame, keys: list[str], duration: float, lim: Limits | None = None, width: float = 60.0) -> DataFrame:
-    """keys, kind (serve, exchange or live_state), start, live_start, live_end, server_end, attempts, classification.
+    """keys, kind (serve, exchange or live_state), start, live_start, live_end, server_end, attempts, classification, serve_id (of the attempt
+    that counts), has_bout, transition, and of an exchange's strokes seed_n and seed_last.
 
     serves: keys, serve_id, strike, setup, end, half, team, score (accepted ones); strokes: keys, stroke_id, t, end;
-    bouts: keys, start, end. Rows with a null time are left out; an empty table gives none.
+    bouts: keys, start, end, and transition where the bout was closed by a calm stretch (a column of that name, if there is one). Rows with a
+    null time are left out; an empty table gives none.
 
     Serves that retry form a group, of which the first returned one counts, else the last. An unserved live_state falls
     when the next unserved hypothesis begins within state_gap of its end.
     """
     lim = lim or Limits()
-    serves, strokes, bouts = serves.filter("strike is not null"), strokes.filter("t is not null"), bouts.filter("start <= end")
+    if "transition" not in bouts.columns:
+        bouts = bouts.withColumn("transition", F.lit(None).cast("double"))
+    serves, strokes, bouts = serves.filter("strike is not null"), strokes.filter("t is not null"), written(bouts.filter("start <= end"))
     grouped = service_groups(with_return(serves.withColumn("setup", F.coalesce("setup", "strike")), strokes, keys, lim, width), keys, lim)
     served, covered = _served(grouped, bouts, keys, duration, lim, width)
     alone = _unserved(bouts, covered, exchange_sequences(strokes, keys, lim), keys, lim, width)
     w = Window.partitionBy(*keys).orderBy("start", "live_end")
     gap = F.lead("start").over(w) - F.col("live_end")
     alone = alone.withColumn("_gone", (F.col("kind") == "live_state") & F.coalesce(gap.between(0.0, lim.state_gap), F.lit(False))).filter(~F.col("_gone")).drop("_gone")
+    alone = alone.withColumn("serve_id", F.col("serve_id").cast(served.schema["serve_id"].dataType))
     return _once(served.unionByName(alone), keys, lim)

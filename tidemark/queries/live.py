@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.queries.base import E, sessions_sql
+from tidemark.sources.scratch import folder as new_folder
 from tidemark.streaming import live
 
 HALF_DAY = 12 * 3_600_000_000
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user from a stream; all of them, as at the end of the stream."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     found = live.sessions(live.event_stream(spark, sf_dir), ["user_id"], "12 hours", "1 day")
     live.run_available(found, live.fenced_sink(f"{folder}/out", "a", lambda: "a"), f"{folder}/state", mode="complete")
     us = lambda c: F.unix_micros(c).alias(c)
