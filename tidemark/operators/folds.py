@@ -39,7 +39,7 @@ LIVE = ("LIVE_SEED", "LIVE_SUPPORT")
 
 def bouts(df: DataFrame, keys: list[str], time: str, tie: str, state: str, between: float, bridge: float, first: str | None = None, last: str | None = None, calm: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Live intervals by automaton over LIVE_SEED, LIVE_SUPPORT, BETWEEN_POINTS and UNKNOWN rows: keys, start, end,
-    live_rows, end_source.
+    live_rows, end_source, and transition, the time a calm close stands for.
 
     A seed opens; seed and support extend. BETWEEN rows for `between` close, at the first of them, not before the start. An UNKNOWN
     row ends the wait, and closes at the last live row once that is more than `bridge` ago. Intervals without length are dropped.
@@ -70,7 +70,7 @@ def bouts(df: DataFrame, keys: list[str], time: str, tie: str, state: str, betwe
     found = rows.groupBy(*keys, "number").agg(F.min_by("from", F.when(live, place)).alias("start"), F.max(F.when(live, F.col("to"))).alias("to"), F.count_if(live).alias("live_rows"), ended.alias("shut"))
     end = F.when(F.col("shut.calmed"), F.greatest("start", "shut.calm")).otherwise(F.col("to"))
     source = F.when(F.col("shut.calmed"), "between").when(F.col("shut").isNotNull(), "unknown").otherwise("timeline")
-    return found.select(*keys, "start", end.alias("end"), "live_rows", source.alias("end_source")).filter("end > start")
+    return found.select(*keys, "start", end.alias("end"), "live_rows", source.alias("end_source"), F.when(F.col("shut.calmed"), F.col("shut.calm")).alias("transition")).filter("end > start")
 
 
 def turns(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expected: Column, after: Column, mask: float, first_gap: float, gap: float, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:

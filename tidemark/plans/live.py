@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import folds
 from tidemark.operators.prefix import carried
 from tidemark.operators.ranges import band_pairs
 from tidemark.plans.service import opposite
@@ -168,6 +169,14 @@ def windows(seen: DataFrame, events: DataFrame, keys: list[str], c: Evidence = E
     )
 
 
+def bouts(states: DataFrame, keys: list[str], between: int = 1000, bridge: int = 1000, bucket: int = 600_000) -> DataFrame:
+    """Live bouts (start, end, live_rows, end_source, transition, in seconds) from windows: evidence, not the frames' own times, begins and ends them. Evidence that
+    begins at 0 counts as none."""
+    rows = states.withColumn("_from", F.when(F.col("evidence_start") != 0, F.col("evidence_start")))
+    found = folds.bouts(rows, keys, "ms", "state", "state", float(between), float(bridge), "_from", "evidence_end", "between_start", bucket=F.floor(F.col("ms") / bucket))
+    return found.withColumns({c: F.col(c) / 1000.0 for c in ("start", "end", "transition")})
+
+
 def actor_evidence(players: DataFrame, some: DataFrame, keys: list[str], c: Evidence = Evidence(), width: int = 60_000) -> DataFrame:
     """For each window of some (keys, ms) and each player in it: end, frames observed, ready, arm_active and feet_active, and their shares."""
     rows = players.filter("ms is not null").groupBy(*keys, "ms", "actor_id").agg(F.max(F.struct("end", "ready", "wrist_speed", "court_speed")).alias("_p")).select(*keys, F.col("ms").alias("_at"), "actor_id", "_p.*").withColumns(flags(c))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, roster, timeline
-from tidemark.plans import motions, points, service
+from tidemark.operators import roster
+from tidemark.plans import decode, live, motions, service
 from tidemark.queries.base import events, table
+from tidemark.sources.scratch import written
 
 
 def _poses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,28 +43,29 @@ def corner_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.consensus(x, ["scene"], "vec_id", "points", "score", 0.25)
 
 
-def point_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From poses to points in one plan: serves, strokes, live windows, bouts, hypotheses and where each point ends."""
-    pose = _poses(spark, sf_dir)
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pose = written(_poses(spark, sf_dir))
+    keys = ["match"]
     opposed = pose.groupBy("match", "ms").agg(F.countDistinct("actor_end").alias("ends")).filter("ends = 2").select("match", "ms")
-    found = motions.serves(pose, opposed, ["match"]).filter("accepted")
-    strokes = motions.strokes(pose, found.select("match", "ms"), ["match"])
-    side = F.floor(F.col("actor_id") % 2).cast("int")
-    evidence = found.select("match", "ms", F.lit("serve").alias("kind"), side.alias("side"), "actor_id")
-    evidence = evidence.unionByName(strokes.select("match", F.col("top").alias("ms"), F.lit("stroke").alias("kind"), side.alias("side"), "actor_id"))
-    calm = pose.groupBy("match", "ms").agg(F.min(F.col("ready").cast("int")).alias("calm"), F.min("actor_id").alias("actor_id"))
-    evidence = evidence.unionByName(calm.select("match", "ms", F.when(F.col("calm") == 1, "ready").otherwise("other").alias("kind"), F.lit(0).alias("side"), "actor_id"))
-    states = timeline.window_states(evidence, ["match"], "ms", "kind", "side", 2000, ("serve", "stroke"), "stroke", "ready")
-    tie = F.struct("kind", "actor_id")
-    bouts = folds.bouts(states.withColumn("tie", tie), ["match"], "ms", "tie", "state", 2000.0, 6000.0)
+    tried = written(motions.serves(pose, opposed, keys))
+    end = F.when(F.col("actor_id") % 2 == 0, "near").otherwise("far").alias("end")
+    hits = written(motions.strokes(pose, tried.filter("accepted").select("match", "ms"), keys).select("match", F.col("top").alias("ms"), "actor_id", "session", end))
     seconds = lambda c: (F.col(c) / 1000).cast("double")
-    end = lambda c: F.when(F.col(c) % 2 == 0, "near").otherwise("far")
-    serves = found.select("match", F.struct("ms", "actor_id", "hand").alias("serve_id"), seconds("ms").alias("strike"), seconds("setup_ms").alias("setup"), end("actor_id").alias("end"), F.lit(None).cast("string").alias("half"), F.lit(None).cast("string").alias("team"), "score")
-    hits = strokes.select("match", F.struct("actor_id", "session").alias("stroke_id"), seconds("top").alias("t"), end("actor_id").alias("end"))
-    live = bouts.select("match", seconds("start").alias("start"), seconds("end").alias("end"))
-    hyp = service.point_hypotheses(serves, hits, live, ["match"], float(1 << 40))
-    hyp = hyp.withColumns({"score": F.lit(None).cast("double"), "has_bout": F.col("classification") != "unreturned_service_point"})
-    return points.endpoints(hyp, ["match"], float(1 << 40), unreturned=3.0, tail=8.0, least=1.0)
+    strokes = hits.select("match", F.struct("actor_id", "session").alias("stroke_id"), seconds("ms").alias("t"), "end")
+    serves = tried.select("match", "actor_id", "ms", F.struct("ms", "actor_id", "hand").alias("serve_id"), seconds("ms").alias("strike"), seconds("setup_ms").alias("setup"), end, "half", F.lit(None).cast("string").alias("team"), "score", F.lit(True).alias("evidence"), "accepted")
+    serves = written(decode.promoted(serves, strokes, keys).filter("accepted"))
+    players = pose.select("match", "ms", "actor_id", F.col("actor_end").alias("end"), "ready", F.greatest("left_speed", "right_speed").alias("wrist_speed"), F.col("left_speed").alias("court_speed"))
+    seen = written(live.frames(players, keys))
+    events = live.answers(live.numbered(serves, hits, keys), seen, keys)
+    bouts = live.bouts(live.windows(seen, events, keys), keys)
+    hyp = service.point_hypotheses(serves, strokes, bouts, keys, float(1 << 20))
+    ends = pose.groupBy("match").agg((F.max("ms") / 1000 + 1).alias("duration"))
+    return decode.decoded(hyp.join(ends, "match"), strokes, keys, F.col("duration"))[0]
+
+
+def point_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From poses to points: serves, strokes, per-end windows, bouts, hypotheses, strokes in turn, and where each point ends and why."""
+    return _decoded(spark, sf_dir).drop("serve_id", "duration")
 
 
 QUERIES = {f.__name__: f for f in (serve_detection, stroke_episodes, corner_consensus, point_decoding)}
