@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import l2_normalised
+from tidemark.functions.vectors import cosine_distance, l2_normalised
+from tidemark.operators.folds import suppressed
 
 
 def median_vector(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -27,41 +28,98 @@ def dominant_side(df: DataFrame, keys: list[str], side: Column) -> DataFrame:
     return out.select(*keys, "n", F.when(zero >= F.col("_ones"), 0).otherwise(1).alias("side"), F.when(F.col("n") > 0, F.greatest(zero, F.col("_ones")) / F.col("n")).otherwise(0.0).alias("purity"))
 
 
-def assign_identities(tracklets: DataFrame, match: str, tracklet: str, times: str, vector: str, identities: int, most: float) -> DataFrame:
-    """match, tracklet, identity (null: unassigned) and distance.
+def profiles(seen: DataFrame, match: str) -> DataFrame:
+    """Per track of seen (match, ms, track, end, ...): n, first (its earliest ms), end (the one it is on more often, near on ties) and purity (that share)."""
+    rows = seen.filter("track is not null").groupBy(match, "track").agg(F.count("*").alias("n"), F.min("ms").alias("first"), F.count_if(F.col("end") == "near").alias("_near"))
+    far = F.col("n") - F.col("_near")
+    return rows.select(match, "track", "n", "first", F.when(F.col("_near") >= far, "near").otherwise("far").alias("end"), (F.greatest("_near", far) / F.col("n")).alias("purity"))
 
-    The anchors of a match are its `identities` longest tracklets. The others are taken greedily by their
-    distance to the nearest centroid, at most `most`, if they share no time with the identity; each one taken
-    moves the centroid, so the order matters and a match is one group. Its tracklets are few: they are summaries of tracks.
-    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_n=frame[times].map(len)).sort_values(["_n", tracklet], ascending=[False, True], kind="stable")
-        x = np.stack(frame[vector].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        k = min(identities, len(x))
-        member = np.full(len(x), -1)
-        member[:k] = np.arange(k)
-        away = np.zeros(len(x))
-        busy, sums = [set(t) for t in frame[times].iloc[:k]], x[:k].copy()
-        spans = [set(t) for t in frame[times]]
-        left = set(range(k, len(x)))
-        while left:
-            rest = np.array(sorted(left))
-            centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-            far = 1 - np.clip(x[rest] @ centre.T, -1, 1)
-            far[[[bool(spans[r] & b) for b in busy] for r in rest]] = np.inf
-            row, col = np.unravel_index(int(far.argmin()), far.shape)
-            if far[row, col] > most:
-                break
-            pick = int(rest[row])
-            member[pick], away[pick] = col, far[row, col]
-            busy[col] |= spans[pick]
-            sums[col] += x[pick]
-            left.remove(pick)
-        return pd.DataFrame({match: frame[match], tracklet: frame[tracklet], "identity": pd.array([m if m >= 0 else None for m in member.tolist()], "Int64"), "distance": away})
-
-    return tracklets.select(match, tracklet, times, vector).groupBy(match).applyInPandas(run, f"{match} long, {tracklet} long, identity long, distance double")
+def anchors(seen: DataFrame, tracks: DataFrame, formats: DataFrame, match: str, pure: float = 0.80) -> DataFrame:
+    """match, slot (from 0: near by court_x, then far), track and end of the players that stand for the identities.
+
+    They are the largest per_end rows (formats: match, per_end) of each end in the frame where these are largest in sum, the earliest of equals, counting
+    only tracks that keep to that end. A match without a frame that fills both ends takes, for each end, the tracks seen there most often (then
+    with the larger area, then the greater number), each where its area is largest. Matches that cannot fill both ends have none.
+    """
+    steady = tracks.filter(F.col("purity") >= pure).select(match, "track", "end")
+    rows = seen.filter("track is not null").join(steady, [match, "track", "end"]).join(formats, match)
+    fills = lambda df, keys: df.groupBy(*keys).agg(F.sum("area").alias("_area"), F.count("*").alias("_k"), F.first("per_end").alias("_need")).filter("_k = 2 * _need")
+    largest = Window.partitionBy(match, "ms", "end").orderBy(F.col("area").desc(), "track")
+    top = rows.withColumn("_r", F.row_number().over(largest)).filter("_r <= per_end")
+    best = fills(top, [match, "ms"]).groupBy(match).agg(F.max_by("ms", F.struct("_area", -F.col("ms"))).alias("ms"))
+    framed = top.join(best, [match, "ms"]).select(match, "track", "end", "court_x")
+    one = rows.groupBy(match, "track", "end", "per_end").agg(F.count("*").alias("_on"), F.max_by(F.struct("area", "court_x"), F.struct("area", -F.col("ms"))).alias("_o"))
+    often = Window.partitionBy(match, "end").orderBy(F.col("_on").desc(), F.col("_o.area").desc(), F.col("track").desc())
+    strong = one.join(best.select(match), match, "left_anti").withColumn("_r", F.row_number().over(often)).filter("_r <= per_end").withColumn("area", F.col("_o.area"))
+    strong = strong.join(fills(strong, [match]).select(match), match, "left_semi").select(match, "track", "end", F.col("_o.court_x").alias("court_x"))
+    place = Window.partitionBy(match).orderBy(F.when(F.col("end") == "near", 0).otherwise(1), "court_x", "track")
+    return framed.unionByName(strong).select(match, (F.row_number().over(place) - 1).alias("slot"), "track", "end")
+
+
+def _centre(vectors: list[np.ndarray]) -> np.ndarray | None:
+    if not vectors:
+        return None
+    middle = np.median(np.stack(vectors), axis=0)
+    return middle / max(float(np.linalg.norm(middle)), 1e-9)
+
+
+def assign_identities(seen: DataFrame, formats: DataFrame, match: str, most: float = 0.22, pure: float = 0.80) -> DataFrame:
+    """match, track, end, purity, slot (null: a fragment of nobody known) and distance, for every track that keeps to one end.
+
+    seen: match, ms, track, end, area, court_x, appearance (array, null if unknown); formats: match, per_end. Rows without a track take no
+    part. The tracks of `anchors` are the identities. The others go longest first (the earlier, then the smaller number of equals): each joins the identity of its end
+    whose appearance is nearest, at most `most` away (1 - cosine, the smaller slot of equals), if the two are never seen at one time. The
+    identity's appearance is the element-wise median over all its rows on its end, taken anew after each track. That order is the
+    method, so a match is one group; a match is as long as its video. Matches without anchors have no identities.
+    """
+    tracks = profiles(seen, match)
+    found = anchors(seen, tracks, formats, match, pure)
+    rows = seen.filter("track is not null").join(tracks.select(match, "track", "n", "first", F.col("end").alias("_end"), "purity"), [match, "track"])
+    rows = rows.select(F.col(match).alias("match"), "track", "ms", F.col("end").alias("side"), "appearance", "n", "first", "_end", "purity")
+
+    def run(own: pd.DataFrame, anchor: pd.DataFrame) -> pd.DataFrame:
+        groups = {t: g for t, g in own.groupby("track")}
+        looks = lambda g: [np.asarray(v, float) for v in g["appearance"] if v is not None and len(v)]
+        anchor = anchor.sort_values("slot")
+        slot_of = dict(zip(anchor["anchor"], anchor["slot"], strict=True))
+        ends = list(anchor["at"])
+        mine = [groups[t][groups[t]["side"] == e] for t, e in zip(anchor["anchor"], ends, strict=True)]
+        vectors, busy = [looks(g) for g in mine], [set(g["ms"]) for g in mine]
+        centres, away = [_centre(v) for v in vectors], {t: 0.0 for t in slot_of}
+        heads = own.drop_duplicates("track").sort_values(["n", "first", "track"], ascending=[False, True, True])
+        for t, end, purity in zip(heads["track"], heads["_end"], heads["purity"], strict=True):
+            look = None if t in slot_of or purity < pure else _centre(looks(groups[t]))
+            if look is None:
+                continue
+            times = set(groups[t]["ms"])
+            near = [(1.0 - float(np.clip(c @ look, -1.0, 1.0)), i) for i, c in enumerate(centres) if c is not None and ends[i] == end and not times & busy[i]]
+            if near and min(near)[0] <= most:
+                away[t], i = min(near)
+                slot_of[t] = i
+                vectors[i] += looks(groups[t][groups[t]["side"] == ends[i]])
+                busy[i] |= times
+                centres[i] = _centre(vectors[i])
+        kept = heads[heads["purity"] >= pure]
+        return pd.DataFrame({match: kept["match"], "track": kept["track"], "end": kept["_end"], "purity": kept["purity"], "slot": pd.array([slot_of.get(t) for t in kept["track"]], "Int64"), "distance": pd.array([away.get(t) for t in kept["track"]], "Float64")})
+
+    schema = f"{match} {seen.schema[match].dataType.simpleString()}, track {seen.schema['track'].dataType.simpleString()}, end string, purity double, slot long, distance double"
+    anchor = found.select(F.col(match).alias("_m"), F.col("slot").alias("slot"), F.col("track").alias("anchor"), F.col("end").alias("at"))
+    return rows.groupBy("match").cogroup(anchor.groupBy("_m")).applyInPandas(run, schema)
+
+
+def inspection_rows(seen: DataFrame, assigned: DataFrame, match: str, most: float = 0.28, apart: float = 750.0, limit: int = 40) -> DataFrame:
+    """match, slot, ms, area, rank (by area): rows that show a player, at most `limit`, largest first, no two less than `apart` milliseconds from
+    each other, none further than `most` from the player's median appearance. Rows without an appearance may stand. The first three are thumbnails."""
+    rows = seen.join(assigned.filter("slot is not null").select(match, "track", "end", "slot"), [match, "track", "end"])
+    flat = F.transform("appearance", lambda v: v.cast("double"))
+    middle = median_vector(rows.filter("appearance is not null").withColumn("appearance", flat), [match, "slot"], "appearance")
+    rows = rows.join(middle, [match, "slot"], "left")
+    far = F.when(F.col("appearance").isNotNull() & F.col("centre").isNotNull(), cosine_distance(flat, F.col("centre")))
+    fit = rows.filter(far.isNull() | (far <= most)).groupBy(match, "slot", "ms").agg(F.max("area").alias("area"))
+    kept = suppressed(fit.withColumn("_tie", F.col("ms")), [match, "slot"], "ms", "area", "_tie", apart, limit)
+    order = Window.partitionBy(match, "slot").orderBy(F.col("area").desc(), "ms")
+    return kept.select(match, "slot", "ms", "area").withColumn("rank", F.row_number().over(order))
 
 
 def detections(frames: DataFrame, detector, schema: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry, vectors
 from tidemark.operators import evaluation, identity, islands
 from tidemark.queries.base import HOUR, MINUTE, E, events, sessions_sql, table
+from tidemark.sources.scratch import written
 
 
 def frame_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +63,38 @@ def cosine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", F.col("best.l").alias("label"), F.col("best.d").alias("distance"))
 
 
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as rows of tracks: eighty a match, four a track, four a frame; five people, told apart by a long part of the appearance."""
+    v, x = F.col("vec_id"), F.transform("embedding", lambda e: e.cast("double"))
+    own = v % 80
+    track = F.floor(own / 4)
+    person = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i == track % 5, 3.0).otherwise(0.0))
+    end = F.when((track % 2 == 0) != ((F.col("label") == 0) & (own % 4 == 0)), "near").otherwise("far")
+    return table(spark, sf_dir, "embeddings").select(F.floor(v / 80).alias("match_id"), ((own % 20) * 500).alias("ms"), track.alias("track"), end.alias("end"), F.abs(x[0]).alias("area"), x[1].alias("court_x"), F.concat(person, F.slice(x, 3, 20)).alias("appearance"))
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seen = written(_observations(spark, sf_dir))
+    formats = seen.select("match_id").distinct().withColumn("per_end", F.when(F.col("match_id") % 2 == 0, 1).otherwise(2))
+    return seen, identity.assign_identities(seen, formats, "match_id")
+
+
 def identity_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten vectors a match as tracklets with a few times each, assigned to four identities."""
-    x = table(spark, sf_dir, "embeddings")
-    start = F.pmod(F.xxhash64("vec_id"), F.lit(40))
-    rows = x.select(F.floor(F.col("vec_id") / 10).alias("match_id"), F.col("vec_id").alias("tracklet"), F.sequence(start, start + F.pmod(F.col("vec_id"), F.lit(6)) + 1).alias("times"), F.col("embedding").alias("vector"))
-    return identity.assign_identities(rows, "match_id", "tracklet", "times", "vector", 4, 1.0)
+    """Tracks assigned to the two or four players of each match."""
+    return _assigned(spark, sf_dir)[1]
+
+
+def inspection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that show each player best."""
+    seen, found = _assigned(spark, sf_dir)
+    return identity.inspection_rows(seen, written(found), "match_id")
+
+
+def anchor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks that stand for the players of each match."""
+    seen = _observations(spark, sf_dir)
+    formats = seen.select("match_id").distinct().withColumn("per_end", F.when(F.col("match_id") % 2 == 0, 1).otherwise(2))
+    return identity.anchors(seen, identity.profiles(seen, "match_id"), formats, "match_id")
 
 
 def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +163,7 @@ def label_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(evaluation.scores(F.col("n_match"), F.col("n_pred"), F.col("n_gold")))
 
 
-QUERIES = {f.__name__: f for f in (frame_profile, state_histogram, format_inference, dominant_end, appearance_centroid, cosine_nearest, identity_assignment, annotation_counts, homography_projection, joint_angles, quads, region_percentiles, interval_eval, interval_coverage, label_eval)}
+QUERIES = {f.__name__: f for f in (frame_profile, state_histogram, format_inference, dominant_end, appearance_centroid, cosine_nearest, identity_assignment, inspection_rows, anchor_rows, annotation_counts, homography_projection, joint_angles, quads, region_percentiles, interval_eval, interval_coverage, label_eval)}
 
 _H = geometry.solve_homography([(250, 850), (1050, 850), (900, 320), (400, 320)], [(0, 0), (10.97, 0), (10.97, 23.77), (0, 23.77)])
 _V = ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8))
@@ -149,6 +176,18 @@ _COVER = """{n}_new AS (SELECT *, coalesce(("start" > max("end") OVER (PARTITION
 _K = "event_type IN ('click', 'view')"
 
 SQL = {
+    "anchor_rows": """WITH seen AS (SELECT vec_id // 80 AS match_id, (vec_id % 20) * 500 AS ms, vec_id % 80 // 4 AS track, abs(embedding[1]::DOUBLE) AS area, embedding[2]::DOUBLE AS court_x,
+   CASE WHEN (vec_id % 80 // 4 % 2 = 0) <> (label = 0 AND vec_id % 4 = 0) THEN 'near' ELSE 'far' END AS "end", CASE WHEN vec_id // 80 % 2 = 0 THEN 1 ELSE 2 END AS need FROM embeddings),
+ prof AS (SELECT match_id, track, count(*) FILTER ("end" = 'near') AS n_near, count(*) AS n FROM seen GROUP BY ALL),
+ steady AS (SELECT s.* FROM seen s JOIN prof p USING (match_id, track) WHERE s."end" = CASE WHEN 2 * n_near >= n THEN 'near' ELSE 'far' END AND greatest(n_near, n - n_near) / n >= 0.8),
+ large AS (SELECT * FROM steady QUALIFY row_number() OVER (PARTITION BY match_id, ms, "end" ORDER BY area DESC, track) <= need),
+ full_frames AS (SELECT match_id, ms, sum(area) AS total FROM large GROUP BY match_id, ms HAVING count(*) = 2 * any_value(need)),
+ best AS (SELECT * FROM full_frames QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY total DESC, ms) = 1),
+ often AS (SELECT match_id, track, "end", any_value(need) AS need, count(*) AS n, max(area) AS area, arg_max(court_x, area) AS court_x FROM steady WHERE match_id NOT IN (SELECT match_id FROM best) GROUP BY match_id, track, "end"),
+ strong AS (SELECT * FROM often QUALIFY row_number() OVER (PARTITION BY match_id, "end" ORDER BY n DESC, area DESC, track DESC) <= need),
+ chosen AS (SELECT l.match_id, l.track, l."end", l.court_x FROM large l JOIN best USING (match_id, ms)
+  UNION ALL SELECT match_id, track, "end", court_x FROM strong WHERE match_id IN (SELECT match_id FROM strong GROUP BY match_id HAVING count(*) = 2 * any_value(need)))
+ SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY "end" <> 'near', court_x, track) - 1 AS slot, track, "end" FROM chosen""",
     "frame_profile": f"""WITH {E}, f AS (SELECT *, t // {6 * HOUR} AS frame FROM e), l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY frame, user_id ORDER BY t DESC, event_id DESC) = 1),
  g AS (SELECT frame, count(*) AS users, count(*) FILTER (event_type = 'view') AS ready, max(value) AS top, median(value) AS median, quantile_cont(value, 0.75) AS q75, list_sort(list(DISTINCT side)) AS sides FROM l GROUP BY frame),
  grid AS (SELECT unnest(range((SELECT min(frame) FROM g), (SELECT max(frame) FROM g) + 1)) AS frame)
