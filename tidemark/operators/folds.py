@@ -52,25 +52,25 @@ def bouts(df: DataFrame, keys: list[str], time: str, tie: str, state: str, betwe
     """
     t = F.col(time).cast("double")
     own = lambda c: F.coalesce(F.col(c).cast("double"), t) if c else t
-    part = [] if bucket is None else [bucket.alias("part")]
-    at = None if bucket is None else F.col("part")
-    rows = df.select(*keys, t.alias("t"), F.col(tie).alias("k"), F.col(state).alias("s"), own(first).alias("from"), own(last).alias("to"), own(calm).alias("calm"), *part)
-    live, idle, order = F.col("s").isin(*LIVE), F.col("s") == "BETWEEN_POINTS", ["t", "k"]
-    rows = carried(rows, keys, at, order, lasts={"live_t": F.when(live, F.col("t"))}, befores={"before": F.col("s")})
-    fresh = idle & ~F.coalesce(F.col("before") == "BETWEEN_POINTS", F.lit(False))
-    rows = carried(rows, keys, at, order, lasts={"run": F.when(fresh, F.struct("t", "calm"))})
-    shut = F.when(idle, F.col("t") - F.col("run.t") >= between).when(~live, F.col("t") - F.col("live_t") > bridge)
-    rows = rows.withColumn("shut", F.coalesce(shut, F.lit(False)).cast("long"))
-    rows = carried(rows, keys, at, order, before_sums={"number": F.col("shut")})
-    seed = F.when(F.col("s") == "LIVE_SEED", F.struct("t", "k"))
-    opened = rows.groupBy(*keys, "number").agg(F.min(seed).alias("seed")).filter("seed is not null")
-    place = F.struct("t", "k")
-    rows = rows.join(opened, [*keys, "number"]).filter(place >= F.col("seed"))
-    ended = F.max(F.when(F.col("shut") == 1, F.struct(idle.alias("calmed"), F.col("run.calm").alias("calm"))))
-    found = rows.groupBy(*keys, "number").agg(F.min_by("from", F.when(live, place)).alias("start"), F.max(F.when(live, F.col("to"))).alias("to"), F.count_if(live).alias("live_rows"), ended.alias("shut"))
-    end = F.when(F.col("shut.calmed"), F.greatest("start", "shut.calm")).otherwise(F.col("to"))
-    source = F.when(F.col("shut.calmed"), "between").when(F.col("shut").isNotNull(), "unknown").otherwise("timeline")
-    return found.select(*keys, "start", end.alias("end"), "live_rows", source.alias("end_source"), F.when(F.col("shut.calmed"), F.col("shut.calm")).alias("transition")).filter("end > start")
+    part = [] if bucket is None else [bucket.alias("_part")]
+    at = None if bucket is None else F.col("_part")
+    rows = df.select(*keys, t.alias("_t"), F.col(tie).alias("_k"), F.col(state).alias("_s"), own(first).alias("_from"), own(last).alias("_to"), own(calm).alias("_calm"), *part)
+    live, idle, order = F.col("_s").isin(*LIVE), F.col("_s") == "BETWEEN_POINTS", ["_t", "_k"]
+    rows = carried(rows, keys, at, order, lasts={"_live_t": F.when(live, F.col("_t"))}, befores={"_before": F.col("_s")})
+    fresh = idle & ~F.coalesce(F.col("_before") == "BETWEEN_POINTS", F.lit(False))
+    rows = carried(rows, keys, at, order, lasts={"_run": F.when(fresh, F.struct("_t", "_calm"))})
+    shut = F.when(idle, F.col("_t") - F.col("_run._t") >= between).when(~live, F.col("_t") - F.col("_live_t") > bridge)
+    rows = rows.withColumn("_shut", F.coalesce(shut, F.lit(False)).cast("long"))
+    rows = carried(rows, keys, at, order, before_sums={"_number": F.col("_shut")})
+    seed = F.when(F.col("_s") == "LIVE_SEED", F.struct("_t", "_k"))
+    opened = rows.groupBy(*keys, "_number").agg(F.min(seed).alias("_seed")).filter("_seed is not null")
+    place = F.struct("_t", "_k")
+    rows = rows.join(opened, [*keys, "_number"]).filter(place >= F.col("_seed"))
+    ended = F.max(F.when(F.col("_shut") == 1, F.struct(idle.alias("calmed"), F.col("_run._calm").alias("calm"))))
+    found = rows.groupBy(*keys, "_number").agg(F.min_by("_from", F.when(live, place)).alias("start"), F.max(F.when(live, F.col("_to"))).alias("_to"), F.count_if(live).alias("live_rows"), ended.alias("_shut"))
+    end = F.when(F.col("_shut.calmed"), F.greatest("start", "_shut.calm")).otherwise(F.col("_to"))
+    source = F.when(F.col("_shut.calmed"), "between").when(F.col("_shut").isNotNull(), "unknown").otherwise("timeline")
+    return found.select(*keys, "start", end.alias("end"), "live_rows", source.alias("end_source"), F.when(F.col("_shut.calmed"), F.col("_shut.calm")).alias("transition")).filter("end > start")
 
 
 def turns(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expected: Column, after: Column, mask: float, first_gap: float, gap: float, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,37 +9,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def carried(df: DataFrame, keys: list[str], bucket: Column | None, order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before_sums: dict[str, Column] | None = None, befores: dict[str, Column] | None = None) -> DataFrame:
-    """df with running columns over keys in the order of `order`: sums, and lasts, the latest value that is not null; before_sums and
-    befores are the same without the row itself.
+#: Buckets that one carrying task sees of a key of unbounded extent: with more, buckets of buckets are carried first.
+FAN = 1024
 
-    bucket must not fall as order rises (a part of the time, say); without one, a task sorts a whole key. Rows
-    equal in order may come either way round: give an order without ties. Null sums count 0.
+
+def carried(df: DataFrame, keys: list[str], bucket: Column | None, order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, before_sums: dict[str, Column] | None = None, befores: dict[str, Column] | None = None, before_maxes: dict[str, Column] | None = None, afters: dict[str, Column] | None = None) -> DataFrame:
+    """df with running columns over keys in the order of `order`: sums, maxes, and lasts, the latest value that is not null;
+    before_sums, before_maxes and befores are the same without the row itself; afters are the values (none of them null) of the next row.
+
+    bucket, whole numbers, must not fall as order rises (a part of the time, say); without one, a task sorts a whole key. Without keys, buckets are
+    carried by FAN. Rows equal in order may come either way round: give an order without ties. Null sums count 0.
     """
-    adds, latest = {**(sums or {}), **(before_sums or {})}, {**(lasts or {}), **(befores or {})}
-    late = {*(before_sums or {}), *(befores or {})}
+    adds, latest, most, nexts = {**(sums or {}), **(before_sums or {})}, {**(lasts or {}), **(befores or {})}, {**(maxes or {}), **(before_maxes or {})}, afters or {}
+    late = {*(before_sums or {}), *(befores or {}), *(before_maxes or {})}
     within = [] if bucket is None else ["_bucket"]
     rows = df if bucket is None else df.withColumn("_bucket", bucket)
     span = Window.partitionBy(*keys, *within).orderBy(*order)
     over = lambda n: span.rowsBetween(Window.unboundedPreceding, -1 if n in late else 0)
     own = {n: F.coalesce(F.sum(c).over(over(n)), F.lit(0)) for n, c in adds.items()} | {n: F.last(c, ignorenulls=True).over(over(n)) for n, c in latest.items()}
+    own |= {n: F.max(c).over(over(n)) for n, c in most.items()} | {n: F.lead(c).over(span) for n, c in nexts.items()}
     if bucket is None:
         return rows.withColumns(own)
     place = F.struct(*order)
     totals = rows.groupBy(*keys, "_bucket").agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(f"_sum_{n}") for n, c in adds.items()),
-        *(F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_last_{n}") for n, c in latest.items()),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(f"_c_{n}") for n, c in adds.items()),
+        *(F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_c_{n}") for n, c in latest.items()),
+        *(F.max(c).alias(f"_c_{n}") for n, c in most.items()),
+        *(F.min_by(c, place).alias(f"_c_{n}") for n, c in nexts.items()),
     )
-    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        *(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)),
-        F.col("_bucket").alias("_at"),
-        *(F.sum(f"_sum_{n}").over(upto).alias(f"_sum_{n}") for n in adds),
-        *(F.last(f"_last_{n}", ignorenulls=True).over(upto).alias(f"_last_{n}") for n in latest),
-    )
-    same = F.col("_bucket").eqNullSafe(F.col("_at"))
+    held = lambda names: {f"_b_{n}": F.col(f"_c_{n}") for n in names}
+    totals, up = totals.withColumnRenamed("_bucket", "_at"), None
+    if not keys:
+        totals, up = totals.withColumn("_whole", F.lit(0)), F.floor(F.col("_at") / FAN)
+    before = carried(totals, keys or ["_whole"], up, ["_at"], before_sums=held(adds), befores=held(latest), before_maxes=held(most), afters=held(nexts))
+    before = before.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), F.col("_at").alias("_same"), *(f"_b_{n}" for n in own))
+    same = F.col("_bucket").eqNullSafe(F.col("_same"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
     out = rows.withColumns({f"_own_{n}": c for n, c in own.items()}).join(before, same)
-    found = {n: F.col(f"_own_{n}") + F.coalesce(f"_sum_{n}", F.lit(0)) for n in adds} | {n: F.coalesce(f"_own_{n}", f"_last_{n}") for n in latest}
+    found = {n: F.col(f"_own_{n}") + F.coalesce(f"_b_{n}", F.lit(0)) for n in adds} | {n: F.coalesce(f"_own_{n}", f"_b_{n}") for n in (*latest, *nexts)}
+    found |= {n: F.greatest(f"_own_{n}", f"_b_{n}") for n in most}
     return out.withColumns(found).select(*df.columns, *(n for n in found if n not in df.columns))
+

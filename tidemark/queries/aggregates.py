@@ -138,7 +138,7 @@ def region_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, sf_dir: str, gap: int) -> DataFrame:
-    own = islands.sessions(events(spark, sf_dir).filter("event_type in ('click', 'view')"), ["side"], "t", gap, "event_id")
+    own = islands.sessions(events(spark, sf_dir).filter("event_type in ('click', 'view')"), ["side"], "t", gap, "event_id", bucket=F.floor(F.col("t") / (24 * HOUR)))
     return own.filter("end > start").select("side", F.col("session").alias("id"), "start", "end")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
+DAY = 24 * HOUR
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,14 +40,14 @@ def alternating_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by side widened by 30 and 20 minutes, gaps that are too short split between neighbours."""
-    own = islands.sessions(events(spark, sf_dir).filter("event_type = 'click'"), ["side"], "t", 30 * MINUTE, "event_id").filter("end > start")
+    own = islands.sessions(events(spark, sf_dir).filter("event_type = 'click'"), ["side"], "t", 30 * MINUTE, "event_id", bucket=F.floor(F.col("t") / DAY)).filter("end > start")
     rows = own.select("side", (F.col("start") / MINUTE).alias("start"), (F.col("end") / MINUTE).alias("end")).withColumn("limit", F.lit(1e12))
-    return islands.padded(rows, ["side"], 30.0, 20.0, "limit").drop("limit")
+    return islands.padded(rows, ["side"], 30.0, 20.0, "limit", width=30 * 24 * 60.0).drop("limit")
 
 
 def output_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = islands.sessions(events(spark, sf_dir).filter("event_type = 'click'"), ["side"], "t", 30 * MINUTE, "event_id").filter("end > start")
-    return islands.layout(own.select("side", "start", "end"), ["side"], MINUTE)
+    own = islands.sessions(events(spark, sf_dir).filter("event_type = 'click'"), ["side"], "t", 30 * MINUTE, "event_id", bucket=F.floor(F.col("t") / DAY)).filter("end > start")
+    return islands.layout(own.select("side", "start", "end"), ["side"], MINUTE, width=30.0 * DAY)
 
 
 def point_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:

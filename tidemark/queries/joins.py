@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import box_iou
 from tidemark.functions.intervals import overlap
-from tidemark.operators import islands, ranges
-from tidemark.queries.base import HOUR, MINUTE, E, events, sessions_sql, table
+from tidemark.operators import islands, ranges, spatial
+from tidemark.queries.base import DAY, HOUR, MINUTE, E, events, sessions_sql, table
 
 
 def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def first_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _intervals(spark: SparkSession, sf_dir: str, kind: str, p: str) -> DataFrame:
-    own = islands.sessions(events(spark, sf_dir).filter(F.col("event_type") == kind), ["event_type"], "t", HOUR, "event_id")
+    own = islands.sessions(events(spark, sf_dir).filter(F.col("event_type") == kind), ["event_type"], "t", HOUR, "event_id", bucket=F.floor(F.col("t") / DAY))
     return own.select(F.lit(1).alias("all"), F.col("session").alias(f"{p}_id"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"))
 
 
@@ -104,11 +104,13 @@ def interval_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spatial_iou_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of parts against boxes of suppliers in one grid cell: the best of at least 0.12 overlap over union."""
+    """Boxes of parts against boxes of suppliers of one frame: the best of at least 0.12 overlap over union."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % 97).alias("frame"), (F.col("p_size") % 13).cast("double").alias("x"), (F.col("p_partkey") % 7).cast("double").alias("y"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"), (F.col("s_suppkey") % 97).alias("frame"), (F.col("s_suppkey") % 11).cast("double").alias("u"), (F.col("s_suppkey") % 5).cast("double").alias("v"))
-    iou = box_iou([F.col("x"), F.col("y"), F.col("x") + 5, F.col("y") + 4], [F.col("u"), F.col("v"), F.col("u") + 6, F.col("v") + 5])
-    both = p.join(s, "frame").withColumn("iou", iou).filter("iou >= 0.12")
+    p = p.select("part", "frame", "x", "y", (F.col("x") + 5).alias("x2"), (F.col("y") + 4).alias("y2"))
+    s = s.select("supp", "frame", "u", "v", (F.col("u") + 6).alias("u2"), (F.col("v") + 5).alias("v2"))
+    both = spatial.box_pairs(p, s, ["frame"], ("x", "y", "x2", "y2"), ("u", "v", "u2", "v2"))
+    both = both.withColumn("iou", box_iou([F.col(c) for c in ("x", "y", "x2", "y2")], [F.col(c) for c in ("u", "v", "u2", "v2")])).filter("iou >= 0.12")
     return both.groupBy("part").agg(F.max_by("supp", F.struct("iou", -F.col("supp"))).alias("supp"), F.max("iou").alias("iou"))
 
 

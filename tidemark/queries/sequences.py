@@ -25,7 +25,7 @@ def live_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = islands.sessions(events(spark, sf_dir), ["event_type", "user_id"], "t", 12 * HOUR, "event_id")
-    return islands.union_length(own, ["event_type"])
+    return islands.union_length(own, ["event_type"], width=24.0 * HOUR)
 
 
 def shipment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
