@@ -105,3 +105,9 @@ def quality(decisions: DataFrame, keys: list[str], duration: float | Column, lim
     tiled = F.coalesce((F.col("n") >= fewest) & (F.col("retention") >= lim.retention) & (F.col("median_gap") <= lim.pause), F.lit(False))
     reason = F.when(F.col("violations") > 0, "unbounded_tails").when(tiled, "tiled_source")
     return out.withColumns({"warned": F.col("bare_share") > lim.bare, "rejected": (F.col("violations") > 0) | tiled, "reason": reason})
+
+
+def after_intro(decisions: DataFrame, seconds: float) -> DataFrame:
+    """The kept points that begin `seconds` after the start of the source or later; with 0 or less, all kept ones."""
+    kept = decisions.filter("dropped is null")
+    return kept.filter(F.col("start") >= seconds) if seconds > 0 else kept
