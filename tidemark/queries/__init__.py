@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import aggregates, bookkeeping, decoding, jobs, joins, labelling, live, motions, points, sequences
+from tidemark.queries import aggregates, bookkeeping, courts, decoding, jobs, joins, labelling, live, motions, points, sequences
 
-_MODULES = (sequences, joins, aggregates, decoding, bookkeeping, jobs, live, motions, points, labelling)
+_MODULES = (sequences, joins, aggregates, decoding, bookkeeping, jobs, live, motions, points, labelling, courts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
