@@ -152,3 +152,17 @@ def test_matching_of_a_long_chain(spark):
         best = {False: (-1, 0.0), True: (-1, 0.0), **after}
     count, total = max(best.values())
     assert len(got) == count and abs(sum(r.iou for r in got) - total) < 1e-6
+
+
+def test_leaders(spark):
+    rng = random.Random(3)
+    rows = [(k, i, float(rng.randrange(20)), float(rng.randrange(20)), rng.choice([1.0, 2.0, 3.0])) for k in range(5) for i in range(25)] + [(0, 99, None, 1.0, 9.0)]
+    got = sorted(map(tuple, folds.leaders(spark.createDataFrame(rows, "k int, i int, x double, y double, s double"), ["k"], ["x", "y"], "s", "i", 6.0, 4).collect()))
+    want = []
+    for k in range(5):
+        kept = []
+        for _, i, x, y, _ in sorted((r for r in rows if r[0] == k and r[2] is not None), key=lambda r: (-r[4], r[1])):
+            if len(kept) < 4 and all((x - a) ** 2 + (y - b) ** 2 > 36 for _, a, b in kept):
+                kept.append((i, x, y))
+        want += [(k, i, n + 1) for n, (i, _, _) in enumerate(kept)]
+    assert got == sorted(want)

@@ -110,3 +110,17 @@ def alternating_scan(df: DataFrame, keys: list[str], time: str, tie: str, side:
     lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(tie).cast("long").alias("k")))).alias("_l"))
     every = df.select(*keys).distinct().join(went, keys, "left").join(lists, keys, "left")
     return every.select(*keys, F.coalesce("_l.k", F.array().cast("array<bigint>")).alias("accepted"), F.coalesce("skipped", F.lit(0)).cast("long").alias("skipped"), F.coalesce("stopped", F.lit(False)).alias("stopped"))
+
+
+def leaders(df: DataFrame, keys: list[str], place: list[str], score: str, tie: str, radius: float, limit: int) -> DataFrame:
+    """keys, tie, rank (from 1): rows that lead a cluster. By score (then the smaller tie), a row leads if every leader so far is more than radius away in the
+    plane or space of `place`; at most `limit` of a key do. Rows with a null take no part.
+
+    A leader can be any distance along the order from what it stands for, so a key is folded whole: it is one frame, with a few dozen rows.
+    """
+    rows = df.dropna(subset=[*place, score])
+    item = F.struct((-F.col(score)).alias("s"), F.col(tie).alias("k"), F.array(*(F.col(c).cast("double") for c in place)).alias("p"))
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    step = lambda kept, x: F.when((F.size(kept) >= limit) | F.exists(kept, lambda y: apart(y["p"], x["p"]) <= radius), kept).otherwise(F.concat(kept, F.array(x)))
+    return whole.select(*keys, F.posexplode(F.aggregate("_all", F.slice("_all", 1, 0), step)).alias("rank", "_x")).select(*keys, F.col("_x.k").alias(tie), (F.col("rank") + 1).alias("rank"))

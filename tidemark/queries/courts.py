@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import folds
 from tidemark.plans import court_lines
 from tidemark.queries.base import table
 
@@ -31,7 +32,13 @@ def line_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return court_lines.supported(rows.filter("vec_id % 20 < 10"), seen, ["frame"], "vec_id", **NEAR).select("frame", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (court_corners, line_support)}
+def line_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest lines of each frame, no two with left ends within 250 pixels, six at most."""
+    rows = _lines(spark, sf_dir).withColumn("long", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    return folds.leaders(rows, ["frame"], ["x1", "y1"], "long", "vec_id", 250.0, 6)
+
+
+QUERIES = {f.__name__: f for f in (court_corners, line_support, line_leaders)}
 
 _LINES = """l0 AS (SELECT vec_id // 20 AS frame, vec_id, (embedding[1]::DOUBLE + 0.5::DOUBLE) * 1280 AS x1, (embedding[2]::DOUBLE + 0.5::DOUBLE) * 720 AS y1, embedding[3]::DOUBLE * 900 AS dx, embedding[4]::DOUBLE * 400 AS dy FROM embeddings),
 l AS (SELECT *, x1 + dx AS x2, y1 + dy AS y2 FROM l0)"""
@@ -51,6 +58,13 @@ SQL = {
  SELECT frame, {", ".join(f"round({p}_{q}_{a}, 4) AS {p}_{q}_{a}" for p, q in _PAIRS for a in "xy")},
   {" AND ".join(f"{p}_{q}_x BETWEEN -0.03 * 1280 AND 1279 + 0.03 * 1280" for p, q in _PAIRS)} AND ((near_left_y + near_right_y) / 2 >= 0.78 * 720 OR abs((near_left_x + near_right_x) / 2 - (far_left_x + far_right_x) / 2) <= 0.08 * 1280) AS plausible
  FROM c WHERE {" AND ".join(f"{p}_{q}_x IS NOT NULL" for p, q in _PAIRS)}""",
+    "line_leaders": f"""WITH RECURSIVE {_LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY sqrt(dx * dx + dy * dy) DESC, vec_id) AS rn FROM l),
+ r AS (SELECT DISTINCT frame, 0::BIGINT AS rn, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS kept FROM o
+  UNION ALL
+  SELECT o.frame, o.rn, CASE WHEN len(kept) >= 6 OR len(list_filter(kept, lambda k: sqrt((k.x - o.x1) * (k.x - o.x1) + (k.y - o.y1) * (k.y - o.y1)) <= 250)) > 0 THEN kept ELSE list_append(kept, {{'id': o.vec_id, 'x': o.x1, 'y': o.y1}}) END
+  FROM r JOIN o ON o.frame = r.frame AND o.rn = r.rn + 1),
+ z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY frame ORDER BY rn DESC) = 1)
+ SELECT frame, unnest(kept).id AS vec_id, unnest(range(1, len(kept) + 1))::INT AS rank FROM z""",
     "line_support": f"""WITH {_LINES}, p AS (SELECT a.frame, a.vec_id, sqrt(a.dx * a.dx + a.dy * a.dy) AS n, sqrt(b.dx * b.dx + b.dy * b.dy) AS m, abs(a.dx * b.dx + a.dy * b.dy) AS dot, (b.x1 + b.dx / 2 - a.x1) * -a.dy + (b.y1 + b.dy / 2 - a.y1) * a.dx AS side,
    (b.x1 - a.x1) * a.dx + (b.y1 - a.y1) * a.dy AS s, (b.x2 - a.x1) * a.dx + (b.y2 - a.y1) * a.dy AS t FROM l a JOIN l b ON a.frame = b.frame AND a.vec_id % 20 < 10 AND b.vec_id % 20 >= 10)
  SELECT DISTINCT frame, vec_id FROM p WHERE n >= 1 AND m >= 40 AND degrees(acos(least(dot / (n * m), 1))) <= 20 AND abs(side) / n <= 60 AND greatest(least(n, greatest(s, t) / n) - greatest(least(s, t) / n, 0), 0) / n >= 0.3""",
