@@ -28,3 +28,35 @@ def test_lines_support_by_direction_place_and_extent(spark):
     found = court_lines.supported(expected, spark.createDataFrame(seen, "k int, u1 double, v1 double, u2 double, v2 double"), ["k"], "no", 10.0, 5.0, 0.5, 20.0)
     assert sorted(r.no for r in found.collect()) == [0, 4]
     assert court_lines.model_lines(spark).filter("y1 = y2").count() == 5
+
+
+def test_labels_are_checked_and_exported(spark):
+    import json
+
+    from tidemark.operators import labelling
+
+    rows = [(1, "a", "player_identity", "player", "P1"), (1, "a", "player_identity", "player", "P9"), (1, "a", "player_identity", "quality", "clear"), (1, "a", "player_identity", "notes", ""), (1, "b", "serve_motion", "server", "unknown"), (1, "b", "serve_motion", "end", None), (1, "b", "serve_motion", "notes", " x "), (1, "b", "serve_motion", "notes", "x" * 1001), (2, "c", "serve_motion", "server", "P1"), (2, "c", "serve_motion", "end", "left")]
+    values = spark.createDataFrame(rows, "job int, task string, kind string, field string, value string")
+    roster = spark.createDataFrame([(1, "P1", "Ann"), (1, "P1", "Ann")], "job int, id string, name string")
+    got = {(r.job, r.field, r.value): (r.clean, r.error) for r in labelling.checked_labels(values, roster).collect()}
+    assert got == {(1, "player", "P1"): ("P1", None), (1, "player", "P9"): (None, "unknown_value"), (1, "quality", "clear"): ("clear", None), (1, "notes", ""): (None, "unknown_field"), (1, "server", "unknown"): ("unknown", None), (1, "end", None): (None, None), (1, "notes", " x "): ("x", None), (1, "notes", "x" * 1001): (None, "long_note"), (2, "server", "P1"): (None, "unknown_value"), (2, "end", "left"): (None, "unknown_value")}
+    jobs = spark.createDataFrame([(1, "m.mp4", "{}"), (2, "n.mp4", None), (3, "o.mp4", "{}")], "job int, filename string, context string")
+    tasks = spark.createDataFrame([(1, "b", "serve_motion", 2.0), (1, "a", "player_identity", 1.0)], "job int, task string, kind string, time_s double")
+    docs = {r.job: json.loads(r.document) for r in labelling.exported(jobs, roster.distinct(), tasks, labelling.checked_labels(values, roster)).collect()}
+    assert docs.keys() == {1, 3} and docs[3]["tasks"] == [] and [t["task"] for t in docs[1]["tasks"]] == ["a", "b"]
+    assert [(x["task"], x["field"], x["clean"]) for x in docs[1]["labels"]] == [("a", "player", "P1"), ("a", "quality", "clear"), ("b", "notes", "x"), ("b", "server", "unknown")]
+
+
+def test_names_and_calibrations(spark, tmp_path):
+    from tidemark.functions import names
+    from tidemark.sources import intervals
+
+    cases = {"a/b/c d.mp4": "c d.mp4", "x/": "x", None: "upload.mp4", "..": "upload.mp4", "é#1?.mov": "é_1_.mov", " .hid": "hid"}
+    df = spark.createDataFrame([(k,) for k in cases], "n string")
+    assert {r.n: r.s for r in df.select("n", names.safe_name(F.col("n")).alias("s")).collect()} == cases
+    ids = spark.createDataFrame([("P1",), ("-a",), ("a" * 51,), (None,)], "n string")
+    assert [r[0] for r in ids.select(names.is_roster_id(F.col("n"))).collect()] == [True, False, False, False]
+    corners = spark.createDataFrame([("one", [(1.0, 2.0), (3.0, 4.0)])], "name string, corners array<struct<x double, y double>>")
+    intervals.write_calibrations(corners, str(tmp_path / "cal"))
+    (r,) = intervals.calibrations(spark, str(tmp_path / "cal" / "name=one")).collect()
+    assert [(p.x, p.y) for p in r.corners] == [(1.0, 2.0), (3.0, 4.0)]

@@ -108,3 +108,5 @@ def test_inspection_rows(spark):
     found = identity.assign_identities(seen, spark.createDataFrame([(1, 1)], "m long, per_end int"), "m")
     got = sorted((r.slot, r["rank"], r.ms) for r in identity.inspection_rows(seen, found, "m").collect())
     assert got == [(0, 1, 0), (0, 2, 1000), (0, 3, 2000), (0, 4, 9500), (1, 1, 0)]
+    (near, far) = sorted(identity.public_roster(found, identity.inspection_rows(seen, found, "m"), "m").collect(), key=lambda r: r.id)
+    assert (near.id, near.team, near.tracks, near.thumbnails) == ("P1", "T1", [1], [0, 1000, 2000]) and (far.id, far.team, far.tracks, far.thumbnails) == ("P2", "T2", [2], [0])

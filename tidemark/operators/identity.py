@@ -122,6 +122,15 @@ def inspection_rows(seen: DataFrame, assigned: DataFrame, match: str, most: floa
     return kept.select(match, "slot", "ms", "area").withColumn("rank", F.row_number().over(order))
 
 
+def public_roster(assigned: DataFrame, inspected: DataFrame, match: str, thumbnails: int = 3) -> DataFrame:
+    """match, id (P1 and on, by slot), team (T1 near, T2 far), tracks (ascending) and thumbnails (the times of the largest inspection rows, largest first)."""
+    own = assigned.filter("slot is not null").groupBy(match, "slot").agg(F.min_by("end", F.struct("distance", "track")).alias("_end"), F.array_sort(F.collect_list("track")).alias("tracks"))
+    best = inspected.filter(F.col("rank") <= thumbnails).groupBy(match, "slot").agg(F.array_sort(F.collect_list(F.struct("rank", "ms"))).alias("_t"))
+    rows = own.join(best, [match, "slot"], "left")
+    none = F.array().cast("array<bigint>")
+    return rows.select(match, F.concat(F.lit("P"), (F.col("slot") + 1).cast("string")).alias("id"), F.when(F.col("_end") == "near", "T1").otherwise("T2").alias("team"), "tracks", F.coalesce("_t.ms", none).alias("thumbnails"))
+
+
 def detections(frames: DataFrame, detector, schema: str) -> DataFrame:
     """The boundary to a model: detector(iterator of pandas frames) on each partition, one worker a task."""
 

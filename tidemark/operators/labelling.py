@@ -48,3 +48,45 @@ def player_crops(boxes: DataFrame, regions: DataFrame, keys: list[str], most: in
     rows = rows.withColumn("task", F.row_number().over(order) - 1).filter(F.col("task") < most)
     slot = suggested_slot(F.col("_fx"), F.col("_fy"), (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("low")) / 2, F.coalesce("doubles", F.lit(False)))
     return rows.select(*keys, "task", "time_s", "crop", slot.alias("suggested"))
+
+
+# The words that a label of each kind may use. Fields of ROSTER take the ids of the job's roster as well.
+WORDS = {
+    ("player_identity", "quality"): ("clear", "partial", "occluded", "not_player"),
+    ("serve_motion", "is_serve"): ("yes", "no", "unsure"),
+    ("serve_motion", "server"): ("unknown",),
+    ("serve_motion", "side"): ("deuce", "ad"),
+    ("serve_motion", "end"): ("near", "far"),
+    ("serve_motion", "serve_type"): ("flat", "slice", "kick"),
+    ("serve_motion", "outcome"): ("in", "fault", "ace", "let"),
+}
+ROSTER = (("player_identity", "player"), ("serve_motion", "server"))
+NOTES, LONGEST_NOTE = ("serve_motion", "notes"), 1000
+
+
+def checked_labels(values: DataFrame, roster: DataFrame) -> DataFrame:
+    """values (job, task, kind, field, value) with clean, what is stored, and error: unknown_field, unknown_value or long_note. Null and empty values are
+    stored as nothing and are no error, but for a field that no label of the kind has. roster: job, id. Notes lose the white space around them."""
+    spark = values.sparkSession
+    words = spark.createDataFrame([(*f, w) for f, ws in WORDS.items() for w in ws], "kind string, field string, value string")
+    fields = spark.createDataFrame(sorted({*WORDS, *ROSTER, NOTES}), "kind string, field string").withColumn("_field", F.lit(True))
+    ids = spark.createDataFrame(list(ROSTER), "kind string, field string")
+    rows = values.join(F.broadcast(fields), ["kind", "field"], "left").join(F.broadcast(words.withColumn("_word", F.lit(True))), ["kind", "field", "value"], "left")  # fixed tables
+    named = roster.select("job", F.col("id").alias("value")).distinct().crossJoin(F.broadcast(ids)).withColumn("_id", F.lit(True))  # two rows an id
+    rows = rows.join(named, ["job", "kind", "field", "value"], "left")
+    note = (F.col("kind") == NOTES[0]) & (F.col("field") == NOTES[1])
+    blank = F.coalesce(F.col("value") == "", F.lit(True))
+    short = F.regexp_replace("value", r"^\s+|\s+$", "")
+    error = F.when(F.col("_field").isNull(), "unknown_field").when(blank, F.lit(None)).when(note, F.when(F.length(short) > LONGEST_NOTE, "long_note")).when(F.coalesce("_word", "_id").isNull(), "unknown_value")
+    clean = F.when(error.isNull() & ~blank, F.when(note, short).otherwise(F.col("value")))
+    return rows.select("job", "task", "kind", "field", "value", clean.alias("clean"), error.alias("error"))
+
+
+def exported(jobs: DataFrame, roster: DataFrame, tasks: DataFrame, labels: DataFrame) -> DataFrame:
+    """job and document: for each job with a feature context (jobs: job, filename, context), one JSON text of its roster (job, id, name), tasks (job, task, kind, time_s) and
+    clean labels (job, task, field, clean), each list in order. Jobs without a context cannot be exported and have no row."""
+    lists = lambda df, name, *fields: df.groupBy("job").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    rows = jobs.filter("context is not null").join(lists(roster, "roster", "id", "name"), "job", "left").join(lists(tasks, "tasks", "task", "kind", "time_s"), "job", "left")
+    rows = rows.join(lists(labels.filter("clean is not null"), "labels", "task", "field", "clean"), "job", "left")
+    empty = lambda c: F.coalesce(c, F.from_json(F.lit("[]"), rows.schema[c].dataType)).alias(c)
+    return rows.select("job", F.to_json(F.struct("job", "filename", empty("roster"), empty("tasks"), empty("labels"), F.col("context").alias("feature_context"))).alias("document"))

@@ -90,6 +90,13 @@ def inspection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.inspection_rows(seen, written(found), "match_id")
 
 
+def public_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The players of each match with their tracks and thumbnails."""
+    seen, found = _assigned(spark, sf_dir)
+    found = written(found)
+    return identity.public_roster(found, identity.inspection_rows(seen, found, "match_id"), "match_id")
+
+
 def anchor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracks that stand for the players of each match."""
     seen = _observations(spark, sf_dir)
@@ -163,7 +170,7 @@ def label_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(evaluation.scores(F.col("n_match"), F.col("n_pred"), F.col("n_gold")))
 
 
-QUERIES = {f.__name__: f for f in (frame_profile, state_histogram, format_inference, dominant_end, appearance_centroid, cosine_nearest, identity_assignment, inspection_rows, anchor_rows, annotation_counts, homography_projection, joint_angles, quads, region_percentiles, interval_eval, interval_coverage, label_eval)}
+QUERIES = {f.__name__: f for f in (frame_profile, state_histogram, format_inference, dominant_end, appearance_centroid, cosine_nearest, identity_assignment, inspection_rows, public_roster, anchor_rows, annotation_counts, homography_projection, joint_angles, quads, region_percentiles, interval_eval, interval_coverage, label_eval)}
 
 _H = geometry.solve_homography([(250, 850), (1050, 850), (900, 320), (400, 320)], [(0, 0), (10.97, 0), (10.97, 23.77), (0, 23.77)])
 _V = ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import court
+from tidemark.functions import court, names
 from tidemark.operators import islands, labelling
 from tidemark.plans import decode
 from tidemark.queries import points
@@ -60,13 +60,43 @@ def points_after_intro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.after_intro(points._decoded(spark, sf_dir)[0], 60.0).select("m", "no", "kind", "start", "end", "classification")
 
 
-QUERIES = {f.__name__: f for f in (court_people, player_crops, frame_times, serve_summary, points_after_intro)}
+_FIELDS = {0: ["player", "quality", "colour"], 1: ["is_serve", "server", "end", "notes", "player"]}
+_VALUES = ["P1", "clear", "near", "yes", "", "unknown", "P2"]
+
+
+def label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels made from documents, with what is stored of each and why the others are refused; a roster for every other job."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    serve = F.col("doc_id") % 2 == 1
+    pick = lambda names, by: F.get(F.array(*map(F.lit, names)), (by % len(names)).cast("int"))
+    field = F.when(serve, pick(_FIELDS[1], F.col("n_chars"))).otherwise(pick(_FIELDS[0], F.col("n_chars")))
+    values = d.select(F.floor(F.col("doc_id") / 50).alias("job"), F.col("doc_id").alias("task"), F.when(serve, "serve_motion").otherwise("player_identity").alias("kind"), field.alias("field"), pick(_VALUES, F.floor(F.col("n_chars") / 7)).alias("value"))
+    roster = values.filter("job % 2 = 0").select("job").distinct().withColumn("id", F.explode(F.array(F.lit("P1"), F.lit("P3"))))
+    return labelling.checked_labels(values.filter("field is not null"), roster)
+
+
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file that comes from each page would be called, and whether that could be an id of a roster."""
+    name = names.safe_name(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("name"), names.is_roster_id(name).alias("roster_id"))
+
+
+QUERIES = {f.__name__: f for f in (court_people, player_crops, frame_times, serve_summary, points_after_intro, label_check, safe_names)}
 
 _BOXES = """b0 AS (SELECT vec_id, vec_id // 40 AS m, (vec_id // 8 % 5)::DOUBLE AS time_s, greatest(least((embedding[1]::DOUBLE + 0.5::DOUBLE) * 900, 1200.0::DOUBLE), 0.0::DOUBLE) AS x0, greatest(least((embedding[2]::DOUBLE + 0.5::DOUBLE) * 450, 680.0::DOUBLE), 0.0::DOUBLE) AS y0,
   abs(embedding[3]::DOUBLE) * 120 AS w, abs(embedding[4]::DOUBLE) * 240 AS h FROM embeddings),
 b AS (SELECT vec_id, m, time_s, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM b0)"""
 
+_WORDS = ", ".join(f"('{k}', '{f}', '{w}')" for (k, f), ws in labelling.WORDS.items() for w in ws)
+_KNOWN = ", ".join(f"('{k}', '{f}')" for k, f in sorted({*labelling.WORDS, *labelling.ROSTER, labelling.NOTES}))
 SQL = {
+    "label_check": f"""WITH v AS (SELECT doc_id // 50 AS job, doc_id AS task, CASE WHEN doc_id % 2 = 1 THEN 'serve_motion' ELSE 'player_identity' END AS kind,
+   CASE WHEN doc_id % 2 = 1 THEN {_FIELDS[1]}[n_chars % 5 + 1] ELSE {_FIELDS[0]}[n_chars % 3 + 1] END AS field, {_VALUES}[n_chars // 7 % 7 + 1] AS value FROM documents),
+ e AS (SELECT *, CASE WHEN NOT EXISTS (SELECT 1 FROM (VALUES {_KNOWN}) k(kind, field) WHERE k.kind = v.kind AND k.field = v.field) THEN 'unknown_field' WHEN coalesce(value, '') = '' OR field = 'notes' THEN NULL
+   WHEN EXISTS (SELECT 1 FROM (VALUES {_WORDS}) w(kind, field, word) WHERE w.kind = v.kind AND w.field = v.field AND w.word = v.value) OR (field IN ('player', 'server') AND job % 2 = 0 AND value IN ('P1', 'P3')) THEN NULL ELSE 'unknown_value' END AS error FROM v WHERE field IS NOT NULL)
+ SELECT *, CASE WHEN error IS NULL AND value <> '' THEN value END AS clean FROM e""",
+    "safe_names": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '([^/]*)/*$', 1), '[^\p{L}\p{N}._\- ]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS n FROM pages),
+ q AS (SELECT page_id, CASE WHEN n = '' THEN 'upload.mp4' ELSE n END AS name FROM p) SELECT page_id, name, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_.-]{0,49}') AS roster_id FROM q""",
     "court_people": f"""WITH {_BOXES}, o AS (SELECT *, (x0 + x1) / 2560.0::DOUBLE AS foot_x, y1 / 720.0::DOUBLE AS foot_y, (x1 - x0) * (y1 - y0) / (1280.0::DOUBLE * 720.0::DOUBLE) AS area FROM b),
  s AS (SELECT *, x0 / 1280.0::DOUBLE AS l, x1 / 1280.0::DOUBLE AS r, y0 / 720.0::DOUBLE AS t, y1 / 720.0::DOUBLE AS d FROM o),
  p AS (SELECT *, greatest(l - 0.12::DOUBLE * (r - l), 0.0::DOUBLE) * 1280 AS wl, least(r + 0.12::DOUBLE * (r - l), 1.0::DOUBLE) * 1280 AS wr, greatest(t - 0.07::DOUBLE * (d - t), 0.0::DOUBLE) * 720 AS wt, least(d + 0.06::DOUBLE * (d - t), 1.0::DOUBLE) * 720 AS wd FROM s),

@@ -77,3 +77,16 @@ def datasets(files: DataFrame) -> DataFrame:
     inputs = inputs.groupBy("id").agg(F.min("input").alias("input"), F.count("*").alias("n")).filter("n = 1").drop("n")
     notes = files.select(F.regexp_extract(name, r"^res_(.+)\.txt$", 1).alias("id"), F.col("path").alias("notes")).filter("id != ''")
     return inputs.join(notes, "id")
+
+
+def calibrations(spark: SparkSession, path: str) -> DataFrame:
+    """path and corners (array of x, y) of calibration files: {"court_corners": [[x, y], ...]}. A file of another shape has null corners."""
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", "court_corners array<array<double>>").alias("d"))
+    pairs = F.transform("d.court_corners", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return texts.select("path", F.when(F.forall("d.court_corners", lambda p: F.size(p) == 2), pairs).alias("corners"))
+
+
+def write_calibrations(df: DataFrame, path: str) -> None:
+    """One JSON line per row of df (name, corners), in files by name below path."""
+    corners = F.transform("corners", lambda p: F.array(p["x"], p["y"]))
+    df.select("name", F.to_json(F.struct(corners.alias("court_corners"))).alias("value")).repartition("name").write.partitionBy("name").text(path)
