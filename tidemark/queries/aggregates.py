@@ -54,12 +54,22 @@ def appearance_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", F.posexplode("centre").alias("i", "x"))
 
 
+#: Centres that a vector is compared with at once, and that are sent to every task.
+CENTRES = 1024
+
+
 def cosine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector and the label whose centre is nearest. There is a centre a label, so the pairs are few."""
+    """Each vector and the label whose centre is nearest. Centres go in blocks; only a single block of them is broadcast."""
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    centres = identity.median_vector(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
-    every = centres.agg(F.collect_list(F.struct("label", "centre")).alias("c"))
-    both = x.join(F.broadcast(every)).select("vec_id", F.array_min(F.transform("c", lambda c: F.struct(F.round(vectors.cosine_distance(F.col("v"), c["centre"]), 9).alias("d"), c["label"].alias("l")))).alias("best"))
+    centres = written(identity.median_vector(table(spark, sf_dir, "embeddings"), ["label"], "embedding"))
+    blocks = -(-centres.count() // CENTRES) or 1
+    every = centres.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("label", "centre")).alias("c"))
+    rows = x.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    both = rows.join(F.broadcast(every) if blocks == 1 else every, "block")
+    best = F.array_min(F.transform("c", lambda c: F.struct(F.round(vectors.cosine_distance(F.col("v"), c["centre"]), 9).alias("d"), c["label"].alias("l"))))
+    both = both.select("vec_id", best.alias("best"))
+    if blocks > 1:
+        both = both.groupBy("vec_id").agg(F.min("best").alias("best"))
     return both.select("vec_id", F.col("best.l").alias("label"), F.col("best.d").alias("distance"))
 
 
