@@ -41,13 +41,16 @@ def carried(df: DataFrame, keys: list[str], bucket: Column | None, order: list[s
     totals, up = totals.withColumnRenamed("_bucket", "_at"), None
     if not keys:
         totals, up = totals.withColumn("_whole", F.lit(0)), F.floor(F.col("_at") / FAN)
-    before = carried(totals, keys or ["_whole"], up, ["_at"], before_sums=held(adds), befores=held(latest), before_maxes=held(most), afters=held(nexts))
-    before = before.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), F.col("_at").alias("_same"), *(f"_b_{n}" for n in own))
-    same = F.col("_bucket").eqNullSafe(F.col("_same"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
-    out = rows.withColumns({f"_own_{n}": c for n, c in own.items()}).join(before, same)
-    found = {n: F.col(f"_own_{n}") + F.coalesce(f"_b_{n}", F.lit(0)) for n in adds} | {n: F.coalesce(f"_own_{n}", f"_b_{n}") for n in (*latest, *nexts)}
-    found |= {n: F.greatest(f"_own_{n}", f"_b_{n}") for n in most}
-    return out.withColumns(found).select(*df.columns, *(n for n in found if n not in df.columns))
-
+    carry = carried(totals, keys or ["_whole"], up, ["_at"], before_sums=held(adds), befores=held(latest), before_maxes=held(most), afters=held(nexts))
+    # What is carried into a bucket comes as a row before its rows, what follows the bucket as a row behind them: rows are shuffled once, for the window.
+    as_row = lambda side, names: carry.select(*keys, F.col("_at").alias("_bucket"), F.lit(side).alias("_side"), *(F.col(f"_b_{n}").alias(f"_v_{n}") for n in names))
+    values = {**adds, **latest, **most, **nexts}
+    every = rows.withColumns({f"_v_{n}": c for n, c in values.items()}).withColumn("_side", F.lit(1))
+    if adds or latest or most:
+        every = every.unionByName(as_row(0, [*adds, *latest, *most]), allowMissingColumns=True)
+    if nexts:
+        every = every.unionByName(as_row(2, nexts).dropna(subset=[f"_v_{n}" for n in nexts]), allowMissingColumns=True)
+    span = Window.partitionBy(*keys, "_bucket").orderBy("_side", *order)
+    found = {n: F.coalesce(F.sum(f"_v_{n}").over(over(n)), F.lit(0)) for n in adds} | {n: F.last(f"_v_{n}", ignorenulls=True).over(over(n)) for n in latest}
+    found |= {n: F.max(f"_v_{n}").over(over(n)) for n in most} | {n: F.lead(f"_v_{n}").over(span) for n in nexts}
+    return every.select(*df.columns, "_side", *(c.alias(f"_found_{n}") for n, c in found.items())).filter("_side = 1").select(*(c for c in df.columns if c not in found), *(F.col(f"_found_{n}").alias(n) for n in found))
