@@ -30,6 +30,32 @@ def band_pairs(points: DataFrame, bands: DataFrame, keys: list[str], time: str,
     return pairs.filter(inside & (F.col(time) <= F.col("_high"))).drop("_bucket", "_low", "_high")
 
 
+def band_totals(points: DataFrame, bands: DataFrame, keys: list[str], time: str, low: int, high: int, width: int, sums: dict[str, Column] | None = None, first: str | None = None) -> DataFrame:
+    """Each band of bands, time + low..time + high with both ends, that holds a point of the same keys: bands' columns, n (points in it), sums (of columns of
+    points, null where all are) and _first, time and `first` of the earliest of them (the smaller `first` of those at one time). Times and summed columns are whole numbers.
+
+    No pair is made: totals are differences of running ones, so the work grows with points and bands, however many points a band holds. A task sorts one
+    bucket of a key, width long, with the points that the bands of the bucket can reach.
+    """
+    sums = sums or {}
+    known = F.col(time).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    own = bands.columns
+    at = F.col(time)
+    seen = points.filter(known).select(*keys, at.alias("_t"), F.lit(1).cast("long").alias("_n"), F.struct(at.alias("t"), F.col(first or time).alias("v")).alias("_first"), *(c.alias(f"_s_{n}") for n, c in sums.items()))
+    seen = seen.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("_t") - high, width), _bucket(F.col("_t") - low, width))))
+    rows = bands.filter(known).withColumns({"_t": at, "_bucket": _bucket(at, width), "_band": F.lit(True)}).unionByName(seen, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, "_bucket")
+    # Frames that begin with the partition only grow: up to the upper end, back to the lower end, and all of it. What both of the first hold is counted twice.
+    upto, back = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, high), part.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, -low)
+    of = lambda f, c, over: F.coalesce(f(c).over(over), F.lit(0))
+    inner = lambda f, c: of(f, c, upto) + of(f, c, back) - of(f, c, part)
+    found = {"n": inner(F.count, "_n"), "_first": F.min("_first").over(back)} | {x: F.when(inner(F.count, f"_s_{x}") > 0, inner(F.sum, f"_s_{x}")) for x in sums}
+    rows = rows.select(*own, "_band", *(c.alias(f"_found_{x}") for x, c in found.items())).filter(F.col("_band") & (F.col("_found_n") > 0))
+    return rows.select(*own, *(F.col(f"_found_{x}").alias(x) for x in found))
+
+
 def band_semi(rows: DataFrame, row_id: str, points: DataFrame, keys: list[str], time: str, low: Column, high: Column, width: float, open_low: bool = False, anti: bool = False) -> DataFrame:
     """The rows with a point in their band (without one if anti), whole and once each."""
     found = band_pairs(points.select(*keys, time), rows.select(*keys, F.col(row_id), low.alias("_l"), high.alias("_h")), keys, time, F.col("_l"), F.col("_h"), width, open_low)

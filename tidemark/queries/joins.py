@@ -53,17 +53,17 @@ def band_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per error, the events of all users within ten minutes of it, both ends included."""
     e = events(spark, sf_dir).withColumn("all", F.lit(1))
-    errors = e.filter("event_type = 'error'").select("all", F.col("event_id").alias("error_id"), F.col("t").alias("at"))
-    pairs = ranges.band_pairs(e.select("all", "t", "side"), errors, ["all"], "t", F.col("at") - 10 * MINUTE, F.col("at") + 10 * MINUTE, 20 * MINUTE)
-    return pairs.groupBy("error_id").agg(F.count("*").alias("n"), F.sum("side").cast("long").alias("n_side1"))
+    errors = e.filter("event_type = 'error'").select("all", F.col("event_id").alias("error_id"), "t")
+    found = ranges.band_totals(e.select("all", "t", "side"), errors, ["all"], "t", -10 * MINUTE, 10 * MINUTE, HOUR, sums={"n_side1": F.col("side")})
+    return found.groupBy("error_id").agg(F.sum("n").alias("n"), F.sum("n_side1").cast("long").alias("n_side1"))
 
 
 def first_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per click, the first event of the other side 9 to 105 minutes later."""
     e = events(spark, sf_dir)
-    clicks = e.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("t").alias("at"), (1 - F.col("side")).alias("side"))
-    pairs = ranges.band_pairs(e.select("side", "t", "event_id"), clicks, ["side"], "t", F.col("at") + 9 * MINUTE, F.col("at") + 105 * MINUTE, 2 * HOUR)
-    return pairs.groupBy("click_id").agg(F.min_by("event_id", F.struct("t", "event_id")).alias("response_id"), F.count("*").alias("n"))
+    clicks = e.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), "t", (1 - F.col("side")).alias("side"))
+    found = ranges.band_totals(e.select("side", "t", "event_id"), clicks, ["side"], "t", 9 * MINUTE, 105 * MINUTE, 4 * HOUR, first="event_id")
+    return found.groupBy("click_id").agg(F.min("_first")["v"].alias("response_id"), F.sum("n").alias("n"))
 
 
 def _intervals(spark: SparkSession, sf_dir: str, kind: str, p: str) -> DataFrame:
