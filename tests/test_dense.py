@@ -1,11 +1,13 @@
 """Steps whose work must grow with their rows, not with the pairs of rows near each other."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from tidemark import queries
-from tidemark.operators import ranges
+from tidemark.functions.geometry import box_iou
+from tidemark.operators import ranges, spatial, timeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +35,20 @@ def test_band_totals_equal_pairs(spark):
 def test_responses_and_counts_make_no_pairs(spark):
     for name in ("first_response", "band_count"):
         assert "Join" not in planned(queries.queries()[name](spark, SF))
+
+
+def test_window_states_have_no_sliding_frames(spark):
+    rng = random.Random(11)
+    kinds, radius = ["seed", "support", "idle", "other", None], 5
+    rows = [(d, rng.choice([None, *range(-30, 50)]), rng.choice(kinds), rng.choice([0, 1, None]), i) for i in range(250) for d in [rng.choice([1, 2])]]
+    df = spark.createDataFrame(rows, "d int, t long, kind string, side int, id int")
+    out = timeline.window_states(df, ["d"], "t", "kind", "side", radius, ("seed",), "support", "idle")
+    got = {r.id: (r.n_near, r.n_seed, r.n_support, r.sides, r.evidence_start, r.evidence_end) for r in out.collect()}
+    for d, t, _, _, i in rows:
+        near = [(u, k, s) for e, u, k, s, _ in rows if e == d and (u is None if t is None else u is not None and abs(u - t) <= radius)]
+        told = any(k for _, k, _ in near)
+        n = lambda kind: sum(k == kind for _, k, _ in near) if told else None  # noqa: B023, E731
+        times = [u for u, k, _ in near if k in ("seed", "support") and u is not None]
+        assert got[i] == (len(near), n("seed"), n("support"), len({s for _, k, s in near if k == "seed" and s is not None}), min(times, default=None), max(times, default=None))
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", planned(out))
+    assert frames and set(frames) == {"unboundedpreceding$()"}

@@ -62,18 +62,34 @@ def window_states(df: DataFrame, keys: list[str], time: str, kind: str, side: st
     Seed: two seed kinds on both sides, or one and a support. Support: at least two of that kind. Between:
     more than half idle rows.
     """
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-radius, radius)
     is_seed, is_support, is_idle = F.col(kind).isin(*seed), F.col(kind) == support, F.col(kind) == idle
-    count = lambda c: F.sum(c.cast("long")).over(w)
-    rows = df.withColumns({
-        "n_near": F.count("*").over(w),
-        "n_seed": count(is_seed),
-        "n_support": count(is_support),
-        "n_idle": count(is_idle),
-        "sides": F.max(F.when(is_seed & (F.col(side) == 0), 1).otherwise(0)).over(w) + F.max(F.when(is_seed & (F.col(side) == 1), 1).otherwise(0)).over(w),
-        "evidence_start": F.min(F.when(is_seed | is_support, F.col(time))).over(w),
-        "evidence_end": F.max(F.when(is_seed | is_support, F.col(time))).over(w),
-    })
+    # Each bucket of time also gets the rows within radius of it. Frames that begin with the bucket only grow, so each row is added once to each of them:
+    # up to radius after a row, back to radius before it, and the whole bucket. What both of the first hold is counted twice.
+    width = 4 * radius
+    cell = lambda x: F.floor(x / width)
+    rows = df.withColumn("_home", cell(F.col(time)))
+    rows = rows.withColumn("_bucket", F.explode(F.coalesce(F.sequence(cell(F.col(time) - radius), cell(F.col(time) + radius)), F.array(F.lit(None).cast("long")))))
+    part = Window.partitionBy(*keys, "_bucket")
+    upto, back = part.orderBy(time).rangeBetween(Window.unboundedPreceding, radius), part.orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, radius)
+    inner = lambda c: F.count_if(c).over(upto) + F.count_if(c).over(back) - F.count_if(c).over(part)
+    evidence = F.when(is_seed | is_support, F.col(time))
+    rows = rows.withColumns({
+        "n_near": inner(F.lit(True)),
+        "_known": inner(F.col(kind).isNotNull()),
+        "n_seed": inner(is_seed),
+        "n_support": inner(is_support),
+        "n_idle": inner(is_idle),
+        "_left": inner(is_seed & (F.col(side) == 0)),
+        "_right": inner(is_seed & (F.col(side) == 1)),
+        "evidence_start": F.min(evidence).over(back),
+        "evidence_end": F.max(evidence).over(upto),
+    }).filter(F.col("_bucket").eqNullSafe(F.col("_home")))
+    rows = rows.withColumns({
+        **{n: F.when(F.col("_known") > 0, F.col(n)) for n in ("n_seed", "n_support", "n_idle")},
+        "sides": (F.col("_left") > 0).cast("int") + (F.col("_right") > 0).cast("int"),
+        "evidence_start": F.when(F.col("evidence_start") <= F.col(time) + radius, F.col("evidence_start")),
+        "evidence_end": F.when(F.col("evidence_end") >= F.col(time) - radius, F.col("evidence_end")),
+    }).drop("_home", "_bucket", "_known", "_left", "_right")
     state = (
         F.when(((F.col("n_seed") >= 2) & (F.col("sides") == 2)) | ((F.col("n_seed") >= 1) & (F.col("n_support") >= 1)), "LIVE_SEED")
         .when(F.col("n_support") >= 2, "LIVE_SUPPORT")
