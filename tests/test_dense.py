@@ -52,3 +52,22 @@ def test_window_states_have_no_sliding_frames(spark):
         assert got[i] == (len(near), n("seed"), n("support"), len({s for _, k, s in near if k == "seed" and s is not None}), min(times, default=None), max(times, default=None))
     frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", planned(out))
     assert frames and set(frames) == {"unboundedpreceding$()"}
+
+
+def test_box_argmax_pairs_shapes_not_rows(spark):
+    rng = random.Random(3)
+    a = [(i % 2, i, float(x), float(y), x + 5.0, y + 4.0) for i in range(60) for x, y in [(rng.randrange(3), rng.randrange(2))]]
+    b = [(i % 2, i, float(x), float(y), x + 6.0, y + 5.0) for i in range(50) for x, y in [(rng.randrange(4), rng.randrange(2))]]
+    left, right = spark.createDataFrame(a, "f int, i int, x double, y double, x2 double, y2 double"), spark.createDataFrame(b, "f int, j int, u double, v double, u2 double, v2 double")
+    score = box_iou([F.col(c) for c in ("x", "y", "x2", "y2")], [F.col(c) for c in ("u", "v", "u2", "v2")])
+    got = {r.i: (r.j, round(r.iou, 9)) for r in spatial.best_boxes(left, right, ["f"], ("x", "y", "x2", "y2"), ("u", "v", "u2", "v2"), "j", score, 0.4, "iou").collect()}
+    want = {}
+    for f, i, x, y, x2, y2 in a:
+        found = []
+        for g, j, u, v, u2, v2 in b:
+            inner = max(0.0, min(x2, u2) - max(x, u)) * max(0.0, min(y2, v2) - max(y, v))
+            if g == f and inner / (20 + 30 - inner) >= 0.4:
+                found.append((-inner / (50 - inner), j))
+        if found:
+            want[i] = (min(found)[1], round(-min(found)[0], 9))
+    assert got == want and len(want) > 20

@@ -41,3 +41,15 @@ def box_pairs(a: DataFrame, b: DataFrame, keys: list[str], a_box: tuple[str, str
     meet = (F.col(a_box[0]) <= F.col(b_box[2])) & (F.col(b_box[0]) <= F.col(a_box[2])) & (F.col(a_box[1]) <= F.col(b_box[3])) & (F.col(b_box[1]) <= F.col(a_box[3]))
     once: Column = (F.greatest("_own", "_other") == F.col("_level")) & (corner(0) == F.col("_cx")) & (corner(1) == F.col("_cy"))
     return left.join(right, [*keys, "_level", "_cx", "_cy"]).filter(meet & once).drop("_level", "_cx", "_cy", "_own", "_other")
+
+
+def best_boxes(a: DataFrame, b: DataFrame, keys: list[str], a_box: tuple[str, str, str, str], b_box: tuple[str, str, str, str], b_id: str, score: Column, least: float, name: str) -> DataFrame:
+    """Each row of a whose box meets boxes of b with a score of at least `least`: its columns, b_id of the one with the highest, the smallest at equal scores, and
+    `name`, that score.
+
+    score: a column over both boxes' bounds. Equal boxes of one key are one before pairs are made, so pairs grow with the different boxes that meet, not with rows.
+    """
+    ours, theirs = a.select(*keys, *a_box).distinct(), b.groupBy(*keys, *b_box).agg(F.min(b_id).alias(b_id))
+    pairs = box_pairs(ours, theirs, keys, a_box, b_box).withColumn(name, score).filter(F.col(name) >= least)
+    best = pairs.groupBy(*keys, *a_box).agg(F.max_by(b_id, F.struct(name, -F.col(b_id))).alias(b_id), F.max(name).alias(name))
+    return a.join(best, [*keys, *a_box])

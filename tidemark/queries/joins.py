@@ -109,9 +109,9 @@ def spatial_iou_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"), (F.col("s_suppkey") % 97).alias("frame"), (F.col("s_suppkey") % 11).cast("double").alias("u"), (F.col("s_suppkey") % 5).cast("double").alias("v"))
     p = p.select("part", "frame", "x", "y", (F.col("x") + 5).alias("x2"), (F.col("y") + 4).alias("y2"))
     s = s.select("supp", "frame", "u", "v", (F.col("u") + 6).alias("u2"), (F.col("v") + 5).alias("v2"))
-    both = spatial.box_pairs(p, s, ["frame"], ("x", "y", "x2", "y2"), ("u", "v", "u2", "v2"))
-    both = both.withColumn("iou", box_iou([F.col(c) for c in ("x", "y", "x2", "y2")], [F.col(c) for c in ("u", "v", "u2", "v2")])).filter("iou >= 0.12")
-    return both.groupBy("part").agg(F.max_by("supp", F.struct("iou", -F.col("supp"))).alias("supp"), F.max("iou").alias("iou"))
+    a_box, b_box = ("x", "y", "x2", "y2"), ("u", "v", "u2", "v2")
+    best = spatial.best_boxes(p, s, ["frame"], a_box, b_box, "supp", box_iou([F.col(c) for c in a_box], [F.col(c) for c in b_box]), 0.12, "iou")
+    return best.groupBy("part").agg(F.max_by("supp", F.struct("iou", -F.col("supp"))).alias("supp"), F.max("iou").alias("iou"))
 
 
 def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
