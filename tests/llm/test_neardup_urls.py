@@ -177,3 +177,25 @@ def test_vectors_that_share_an_id(spark):
     rows = [(1, near(1, 0)), (1, near(0, 1)), (2, near(1, 0.1)), (3, near(0.1, 1)), (4, near(0.05, 1))]
     found = sorted((r.vec_id, r.n_links, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert found == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
+def test_no_link_depends_on_the_size(spark, monkeypatch):
+    """All vectors in one part, and in hundreds: the components of every pair, none missing."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((12, 16)))
+    own = np.repeat(base, 125, 0)
+    side = rng.standard_normal(own.shape)
+    side = unit(side - (side * own).sum(1, keepdims=True) * own)
+    cosine = rng.uniform(0.91, 0.999, (len(own), 1))
+    x = unit(cosine * own + np.sqrt(1 - cosine * cosine) * side)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x @ x.T >= 0.9
+    want = closure(range(len(x)), [tuple(map(int, p)) for p in np.argwhere(np.triu(near, 1))])
+    for part in (4096, 32):
+        monkeypatch.setattr(neardup, "PART", part)
+        got = {r.vec_id: r for r in neardup.near_duplicates(df).collect()}
+        assert all(got[i].n_links == near[i].sum() - 1 for i in got)
+        assert all(got[i].component_id == want[i] for i in want) and len(set(want.values())) > 5
+    one = neardup.plan(x, len(x))
+    assert len(one.cuts) >= 32 and np.bincount(one.keys(x @ one.directions)).max() <= 64

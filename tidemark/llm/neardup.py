@@ -1,17 +1,14 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Each pass orders all distinct vectors lexicographically by a key of concatenated random hashes: bit k tells on which
-side of a cut the vector's projection on the pass's k-th random direction lies. The cut is the median of a sample among the vectors that share
-the bits before, so runs of equal keys are about as long in dense regions as in sparse ones. Every vector is compared with its
-window: the vectors of its own key and of the next key in the order (long runs are split into parts, and tasks
-compare two parts). The pairs verified in any pass are united into components.
-
-Key length and number of passes come from
-the row count and the sample: for each length, passes are added until partners made at exactly the threshold
-share a window with RECALL of all sampled vectors and of their densest third (half of the partners in a random
-direction, half towards a near neighbour), and the cheapest length is taken.
-Length 0 is one window, every pair, so some length always reaches RECALL. The links inside each component are then
-counted exactly, block against block: no pair is written, only sums per vector.
+"""Embedding near-duplicates by a sorted projection pass with exact windows.
+
+The pass orders all distinct vectors lexicographically by a key of bits: bit k tells on which side of a cut the vector's projection on the k-th direction
+lies. Directions are orthonormal, the widest of a sample first, and a cut is the median of the sample among the vectors that share the bits before, so runs of
+equal keys are about as long in dense regions as in sparse ones. A window of a run is every run that can hold a partner: unit vectors with a cosine of at least the
+threshold are no further apart than sqrt(2 - 2 * threshold), in any projection, so runs whose projections lie further apart hold none. Long runs are split into
+parts, and tasks compare two parts. The links found are united into components.
+
+No pair that reaches the threshold is left out, whatever the size of the table: its size and the sample decide how many pairs are compared, never which
+links there are. Where vectors have no wide directions (independent ones of many dimensions), windows hold most runs and the work is quadratic; a task still holds two
+parts only. The links inside each component are then counted exactly, block against block: no pair is written, only sums per vector.
 """
 
 from __future__ import annotations
@@ -21,19 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from tidemark.llm.common import save
 from tidemark.llm.components import components
 
-#: Share of the pairs at the threshold that the passes are planned to bring together.
-RECALL = 0.995
-#: Vectors of a key in a part, of the sample of a dimension, bytes of that sample, and sampled vectors with a key at least.
-PART, SAMPLE, SAMPLE_BYTES, IN_LEAF = 4096, 16_384, 64 << 20, 8
-#: Sampled vectors that are given a partner, and what shuffling a vector once costs, in comparisons.
-PROBES, ROW_COST = 6144, 2000
+#: Vectors of a part, of the sample of a dimension, bytes of that sample, and directions that tell runs apart.
+PART, SAMPLE, SAMPLE_BYTES, DIRECTIONS = 4096, 16_384, 64 << 20, 24
+#: Slack of a distance between projections, far above what double precision may be off by.
+SLACK = 1e-6
 #: Vectors of one component in a block; tasks compare two blocks at a time.
 BLOCK = 512
 #: Rows of a part that are compared at once, and close calls that are computed again in double precision at once.
@@ -63,96 +58,50 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class Pass:
-    """Directions (dim x bits), the cut for each beginning of a key (the empty one 1, longer ones 2i and 2i + 1) and the parts of each key's run."""
+    """Orthonormal directions (dim x some), and the cut for each beginning of a key (the empty one 1, longer ones 2i and 2i + 1)."""
 
     directions: np.ndarray
     cuts: np.ndarray
-    parts: np.ndarray
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        return _walk(x @ self.directions, self.cuts) - len(self.parts)
+    def keys(self, projected: np.ndarray) -> np.ndarray:
+        at = np.ones(len(projected), dtype=np.int64)
+        for column in _bits(projected, self.cuts):
+            at = 2 * at + (column > self.cuts[at])
+        return at - len(self.cuts)
 
 
-def _walk(projected: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    at = np.ones(len(projected), dtype=np.int64)
-    for column in projected.T:
-        at = 2 * at + (column > cuts[at])
-    return at
+def _bits(projected: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
+    """The projections that a key's bits are taken from, directions in turn."""
+    for bit in range(len(cuts).bit_length() - 1):
+        yield projected[:, bit % projected.shape[1]]
 
 
-def _grow(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Random directions and the median of the sample after every beginning of a key."""
-    directions, cuts = rng.standard_normal((sample.shape[1], depth)), np.zeros(1 << depth)
-    projected, at = sample @ directions, np.ones(len(sample), dtype=np.int64)
-    for column in projected.T:
+def plan(sample: np.ndarray, n: int) -> Pass:
+    """Directions and cuts for n vectors of which sample (unit length) is a random part: runs of about PART vectors, as far as the sample tells them apart."""
+    m, dim = sample.shape
+    # Widest directions of the sample first; without one, those of the axes.
+    middle = sample - sample.mean(0) if m else sample
+    directions = np.linalg.eigh(middle.T @ middle)[1][:, ::-1][:, :DIRECTIONS]
+    depth = min(int(np.ceil(np.log2(max(n / PART, 1)))), int(np.log2(max(m, 1))))
+    cuts = np.zeros(1 << depth)
+    projected, at = sample @ directions, np.ones(m, dtype=np.int64)
+    for column in _bits(projected, cuts):
         order = np.lexsort((column, at))
         nodes, start, count = np.unique(at[order], return_index=True, return_counts=True)
-        middle = start + count // 2
-        cuts[nodes] = (column[order[middle]] + column[order[np.maximum(middle - 1, start)]]) / 2
+        half = start + count // 2
+        cuts[nodes] = (column[order[half]] + column[order[np.maximum(half - 1, start)]]) / 2
         at = 2 * at + (column > cuts[at])
-    return directions, cuts
-
+    return Pass(directions, cuts)
 
-def _parts(count: np.ndarray | int, of: int, n: int) -> np.ndarray:
-    return np.maximum(1, np.ceil(np.asarray(count) * (n / of) / PART)).astype(np.int64)
 
-
-def plan(sample: np.ndarray, n: int, threshold: float, seed: int = 20_011) -> list[Pass]:
-    """The passes for n vectors of which sample (unit length) is a random part; an empty sample gives every pair."""
-    m, dim = sample.shape
-    every = [Pass(np.zeros((dim, 0)), np.zeros(1), _parts([1], 1, n))]
-    deepest = int(np.log2(max(m // IN_LEAF, 1)))
-    if n <= PART or not deepest or dim < 2:
-        return every
-    rng = np.random.default_rng(seed + dim)
-    own = rng.permutation(m)[:PROBES]
-    x = sample[own]
-    # Half of the partners lie in a random direction, half towards a near neighbour, inside the vector's own region.
-    some = sample[rng.permutation(m)[:256]]
-    cosine = x @ some.T
-    cosine[cosine > 1 - 1e-9] = -1
-    inward = np.arange(len(x)) % 2 == 1
-    away = np.where(inward[:, None], some[cosine.argmax(1)], rng.standard_normal(x.shape))
-    away -= (away * x).sum(1, keepdims=True) * x
-    away /= np.maximum(np.sqrt((away * away).sum(1, keepdims=True)), 1e-9)
-    partner = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * away
-    density = x @ sample.mean(0)
-    dense = density >= np.quantile(density, 2 / 3)
-    strata = [g for g in (~inward, inward, ~inward & dense, inward & dense) if g.any()]
-    best, cost = every, int(every[0].parts[0]) * ROW_COST + n / 2
-    met = np.zeros((deepest + 1, len(x)), dtype=bool)
-    price, open_depths, grown = np.zeros(deepest + 1), set(range(1, deepest + 1)), []
-    while open_depths:
-        directions, cuts = _grow(sample, deepest, rng)
-        at, other = _walk(sample @ directions, cuts), _walk(partner @ directions, cuts)
-        grown.append((directions, cuts, at))
-        for depth in sorted(open_depths):
-            up = deepest - depth
-            met[depth] |= np.abs((at[own] >> up) - (other >> up)) <= 1
-            count = np.bincount((at >> up) - (1 << depth), minlength=1 << depth)
-            parts, after = _parts(count, m, n), np.append(count[1:], 0)
-            price[depth] += ((parts + np.append(parts[1:], 0) + np.append(0, parts[:-1])) * count).sum() / m * ROW_COST + (count / m) @ (count / 2 + after) / m * n
-            if price[depth] >= cost:
-                open_depths.remove(depth)
-            elif min(met[depth][g].mean() for g in strata) >= RECALL:
-                open_depths.remove(depth)
-                cost = price[depth]
-                best = [Pass(d[:, :depth], c[: 1 << depth], _parts(np.bincount((a >> up) - (1 << depth), minlength=1 << depth), m, n)) for d, c, a in grown]
-    return best
-
-
-def plans(one: DataFrame, threshold: float) -> dict[int, list[Pass]]:
-    """The passes for each length of vector."""
+def plans(one: DataFrame) -> dict[int, Pass]:
+    """The pass for each length of vector."""
     out = {}
     for dim, n in one.groupBy(F.size("vector")).count().collect():
         most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
-        sample = np.zeros((0, dim))
-        if n > PART:
-            share = -(-n // most)
-            some = one.filter((F.size("vector") == dim) & (F.pmod(F.xxhash64("node", F.lit(23)), F.lit(share)) == 0)).select("node", "vector").toPandas()
-            if len(some):
-                sample = _unit(some.sort_values("node")["vector"])
-        out[dim] = plan(sample, n, threshold)
+        share = -(-n // most)
+        some = one.filter((F.size("vector") == dim) & (F.pmod(F.xxhash64("node", F.lit(23)), F.lit(share)) == 0)).select("node", "vector").toPandas()
+        out[dim] = plan(_unit(some.sort_values("node")["vector"]) if len(some) else np.zeros((0, dim)), n)
     return out
 
 
@@ -198,43 +147,59 @@ def _links(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float)
 
 
 def window_links(one: DataFrame, threshold: float, kind: str = "double") -> DataFrame:
-    """Verified links (a, b) that join all vectors linked within some window of some pass; kind: in what type vectors are shuffled."""
-    passes = plans(one, threshold)
+    """Links (a, b) that join all vectors of a cosine of at least the threshold, directly or by other links; kind: in what type vectors are shuffled."""
+    passes = plans(one)
+    width = min(DIRECTIONS, max(passes, default=1))
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def projected(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray]]:
         for frame in frames:
             for dim, part in frame.groupby(frame["vector"].map(len)):
                 for start in range(0, len(part), 2048):
                     some = part.iloc[start : start + 2048]
-                    x = _unit(some["vector"])
-                    keys = [t.keys(x) for t in passes[dim]]
-                    around = [np.concatenate([[0], t.parts, [0]]) for t in passes[dim]]
-                    sizes = {c: list(np.stack([p[k + i] for k, p in zip(keys, around, strict=True)], 1)) for i, c in enumerate(("before", "own", "after"))}
-                    yield pd.DataFrame({"dim": np.int32(dim), "node": some["node"].to_numpy(), "keys": list(np.stack(keys, 1)), **sizes, "vector": some["vector"].to_numpy()})
+                    on = _unit(some["vector"]) @ passes[dim].directions
+                    yield dim, some, on, passes[dim].keys(on)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for dim, some, _, keys in projected(frames):
+            yield pd.DataFrame({"dim": np.int32(dim), "key": keys, "node": some["node"].to_numpy(), "vector": some["vector"].to_numpy()})
+
+    def extent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for dim, _, on, keys in projected(frames):
+            on = np.pad(on, ((0, 0), (0, width - on.shape[1])))
+            names, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+            low, high = np.full((len(names), width), np.inf), np.full((len(names), width), -np.inf)
+            np.minimum.at(low, place, on)
+            np.maximum.at(high, place, on)
+            yield pd.DataFrame({"dim": np.int32(dim), "key": names, "n": count, "low": list(low), "high": list(high)})
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        node, own = frame["node"].to_numpy(), frame["_b"].to_numpy()
-        left, right = np.flatnonzero(own == key[3]), np.flatnonzero(own == key[4])
-        if key[5] and key[3] != key[4]:
-            right = np.concatenate([left, right])
+        node, own = frame["node"].to_numpy(), frame["part"].to_numpy()
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
         pairs = _links(_unit(frame["vector"]), left, right, threshold) if len(left) and len(right) else np.zeros((0, 2), dtype=np.int64)
         return pd.DataFrame(np.sort(node[pairs], 1), columns=["a", "b"])
 
-    rows = one.select("node", "vector").mapInPandas(deal, "dim int, node long, keys array<long>, before array<long>, own array<long>, after array<long>, vector array<double>")
-    at = lambda c: F.get(c, "pass").alias(f"_{c}")
-    rows = rows.select("dim", "node", F.posexplode("keys").alias("pass", "key"), "before", "own", "after", F.col("vector").cast(f"array<{kind}>").alias("vector"))
-    rows = rows.select("dim", "node", "pass", "key", at("before"), at("own"), at("after"), "vector").withColumn("_p", F.pmod(F.xxhash64("node"), "_own"))
-    # A window's parts are those of its own key, then those of the next. The first pair of an own part with a next one (or with itself, where
-    # there is no next key) also compares the part with itself.
-    task = lambda window, i, j, both, mine: F.struct(window.alias("window"), i.cast("long").alias("i"), j.cast("long").alias("j"), both.alias("both"), mine.cast("long").alias("_b"))
-    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), n), lambda o: o < n)
-    p, n, key = F.col("_p"), F.col("_own"), F.col("key")
-    among = F.transform(F.filter(upto(n), lambda o: o != p), lambda o: task(key, F.least(o, p), F.greatest(o, p), F.lit(False), p))
-    alone = F.when(F.col("_after") == 0, F.array(task(key, p, p, F.lit(True), p))).otherwise(F.array().cast("array<struct<window:bigint,i:bigint,j:bigint,both:boolean,_b:bigint>>"))
-    ahead = F.transform(upto(F.col("_after")), lambda o: task(key, p, n + o, o == 0, p))
-    behind = F.transform(upto(F.col("_before")), lambda o: task(key - 1, o, F.col("_before") + p, p == 0, F.col("_before") + p))
-    rows = rows.select("dim", "pass", F.explode(F.concat(among, alone, ahead, behind)).alias("t"), "node", "vector").select("dim", "pass", "t.*", "node", "vector")
-    return rows.groupBy("dim", "pass", "window", "i", "j", "both").applyInPandas(run, "a long, b long").distinct()
+    vectors = one.select("node", "vector")
+    runs = vectors.mapInPandas(extent, "dim int, key long, n long, low array<double>, high array<double>")
+    ends = lambda f, c: F.array(*(f(F.get(c, F.lit(i))) for i in range(width))).alias(c)
+    runs = runs.groupBy("dim", "key").agg(F.sum("n").alias("n"), ends(F.min, "low"), ends(F.max, "high"))
+    # Parts are numbered through all runs of a dimension, in the order of the keys.
+    parts = F.ceil(F.col("n") / PART).cast("long")
+    before = F.coalesce(F.sum(parts).over(Window.partitionBy("dim").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = save(runs.withColumns({"parts": parts, "first": before}))
+    blocks = runs.select("dim", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("i"), "low", "high")
+    other = blocks.select("dim", F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    apart = lambda k: F.greatest(F.get("low", F.lit(k)) - F.get("high2", F.lit(k)), F.get("low2", F.lit(k)) - F.get("high", F.lit(k)), F.lit(0.0))
+    distance = F.lit(0.0)
+    for k in range(width):
+        distance = distance + apart(k) * apart(k)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+    tasks = blocks.join(other, "dim").filter((F.col("i") <= F.col("j")) & (distance <= reach * reach)).select("dim", "i", "j")
+    dealt = save(tasks.withColumn("part", F.explode(F.array_distinct(F.array("i", "j")))))
+
+    rows = vectors.mapInPandas(deal, "dim int, key long, node long, vector array<double>")
+    rows = rows.join(runs.select("dim", "key", "parts", "first"), ["dim", "key"]).withColumn("part", F.col("first") + F.pmod(F.xxhash64("node"), "parts"))
+    rows = rows.select("dim", "part", "node", F.col("vector").cast(f"array<{kind}>").alias("vector")).join(dealt, ["dim", "part"])
+    return rows.groupBy("dim", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def count_links(one: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
