@@ -71,3 +71,9 @@ def test_box_argmax_pairs_shapes_not_rows(spark):
         if found:
             want[i] = (min(found)[1], round(-min(found)[0], 9))
     assert got == want and len(want) > 20
+
+
+def test_serves_make_their_windows_once(spark):
+    """Poses are windowed once, into a table that suppression and result both read; what lies behind a row is not shuffled."""
+    plan = planned(queries.queries()["serve_detection"](spark, SF))
+    assert "collect_list(struct(ms" not in plan and "-1350" not in plan

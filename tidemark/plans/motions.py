@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import TINY
 from tidemark.operators import folds, islands
-from tidemark.operators.ranges import band_semi
+from tidemark.operators.ranges import band_pairs
+from tidemark.sources.scratch import written
 
 HANDS = ("left", "right")
 COURT_LENGTH, COURT_WIDTH = 23.77, 10.97
@@ -86,9 +87,14 @@ def _hands(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("_h", F.explode(F.array(*each))).select(*(c for c in df.columns if c not in drop), "_h.*")
 
 
+def _step_back() -> Column:
+    """What of a row tells where the motion of a later one began."""
+    return F.struct("ms", "court_x", "court_y", "actor_end", "knee", *(f"{h}_over" for h in HANDS))
+
+
 def serve_candidates(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Thresholds = Thresholds()) -> DataFrame:
     """Every baseline row of a hand that is at its highest for 0.3 s around: the measures of the motion, whether
-    its parts come in order, its score, and accepted.
+    its parts come in order, its score, and accepted; and where its setup begins, as of setup_start.
 
     opposed: keys, ms of the frames in which both ends are seen.
     """
@@ -104,6 +110,7 @@ def serve_candidates(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Th
     mine = {h: (F.col("associated") & (F.col("racket_hand") == h)).cast("int") for h in HANDS}
     count = lambda x, over: F.coalesce(F.sum(x).over(over), F.lit(0))
     rows = rows.withColumns({
+        "_back": F.collect_list(_step_back()).over(w(-c.setup_longest, 0)),
         "_pre_rows": F.count("*").over(pre),
         "load": count(F.col("ready").cast("int"), pre),
         "knee_bend": count(bent, pre),
@@ -146,20 +153,18 @@ def serve_candidates(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Th
     out = hand.withColumns({"ordered": ordered, "_raw": score})
     out = out.withColumns({"accepted": F.col("ordered") & (F.col("_raw") >= c.serve_score), "score": F.bround("_raw", 4)})
     half = F.when(F.col("court_x") < COURT_WIDTH / 2, "left").otherwise("right")
-    return out.select(*keys, "actor_id", "ms", "hand", "hand_no", "actor_end", half.alias("half"), "over", "rise", F.col("fast").alias("speed"), "follow", "follow_side", "load", "knee_bend", "leg_drive", "recovery", "span", "opposed", "racket", "ordered", "score", "accepted", "court_x")
+    out = setup_start(out, c)
+    return out.select(*keys, "actor_id", "ms", "hand", "hand_no", "actor_end", half.alias("half"), "over", "rise", F.col("fast").alias("speed"), "follow", "follow_side", "load", "knee_bend", "leg_drive", "recovery", "span", "opposed", "racket", "ordered", "score", "accepted", "court_x", "setup_ms", "setup_source")
 
 
-def setup_start(candidates: DataFrame, pose: DataFrame, keys: list[str], c: Thresholds = Thresholds()) -> DataFrame:
-    """candidates with setup_ms and setup_source: where the arm begins to load.
+def setup_start(candidates: DataFrame, c: Thresholds = Thresholds()) -> DataFrame:
+    """candidates (with _back, their actor's rows of the last setup_longest) with setup_ms and setup_source: where the arm begins to load.
 
     Going back from the strike for at most setup_longest, rows count while none is more than setup_gap from
     the next, at the same end, at the baseline and near in x. With three rows of the hand the last one within
     0.03 of its lowest is the onset, or a knee bend up to 0.65 s before that; else setup_longest is taken.
     """
-    by = Window.partitionBy(*keys, "actor_id").orderBy("ms").rangeBetween(-c.setup_longest, 0)
-    item = F.struct("ms", "court_x", "court_y", "actor_end", "knee", *(f"{h}_over" for h in HANDS))
-    held = pose.select(*keys, "actor_id", "ms", F.sort_array(F.collect_list(item).over(by), asc=False).alias("_back")).dropDuplicates([*keys, "actor_id", "ms"])
-    rows = candidates.join(held, [*keys, "actor_id", "ms"])
+    rows = candidates.withColumn("_back", F.sort_array("_back", asc=False))
     shape = "struct<go:boolean,at:bigint,run:array<struct<ms:bigint,over:double,knee:double>>>"
     begin = F.struct(F.lit(True).alias("go"), F.col("ms").alias("at"), F.array().cast("array<struct<ms:bigint,over:double,knee:double>>").alias("run")).cast(shape)
 
@@ -183,9 +188,10 @@ def setup_start(candidates: DataFrame, pose: DataFrame, keys: list[str], c: Thre
 def serves(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Thresholds = Thresholds()) -> DataFrame:
     """Serve candidates with their setup, of those less than serve_apart from a better one none. Better: accepted,
     then score; then the smaller actor, the earlier row, the left hand."""
-    found = setup_start(serve_candidates(pose, opposed, keys, c), pose, keys, c)
+    found = serve_candidates(pose, opposed, keys, c)
     place = Window.partitionBy(*keys).orderBy("actor_id", "ms", "hand_no")
-    found = found.withColumn("_i", F.row_number().over(place)).withColumn("_rank", F.col("score") + F.when(F.col("accepted"), 10).otherwise(0))
+    # Needed twice: kept, as the windows over all poses would be made twice too.
+    found = written(found.withColumn("_i", F.row_number().over(place)).withColumn("_rank", F.col("score") + F.when(F.col("accepted"), 10).otherwise(0)))
     kept = folds.suppressed(found.select(*keys, "ms", "_rank", "_i"), keys, "ms", "_rank", "_i", c.serve_apart)
     return found.join(kept.select(*keys, "_i"), [*keys, "_i"], "left_semi").drop("_i", "_rank", "hand_no")
 
@@ -202,7 +208,15 @@ def stroke_proposals(pose: DataFrame, serve_times: DataFrame, keys: list[str], c
     Rows within serve_mask of a serve (keys, ms) are left out, as are actors with fewer than five rows."""
     w = _frames(keys)
     own = Window.partitionBy(*keys, "actor_id")
-    rows = pose.withColumn("_rows", F.count("*").over(own)).filter("_rows >= 5").drop("_rows")
+    # Masked rows are found first, by their names alone: the windows' arrays are never shuffled. They stay for the windows of others.
+    masks, names = serve_times.select(*keys, F.col("ms").alias("_sv")), pose.select(*keys, "actor_id", "ms").distinct()
+    # Serves are the points, rows the bands around themselves; without keys a constant stands in for one.
+    tag = keys or ["_k"]
+    if not keys:
+        names, masks = names.withColumn("_k", F.lit(1)), masks.withColumn("_k", F.lit(1))
+    hit = band_pairs(masks, names, tag, "_sv", F.col("ms") - c.serve_mask, F.col("ms") + c.serve_mask, 4.0 * c.serve_mask).select(*keys, "actor_id", "ms").distinct()
+    rows = pose.join(hit.withColumn("_masked", F.lit(True)), [*keys, "actor_id", "ms"], "left").withColumn("_masked", F.coalesce("_masked", F.lit(False)))
+    rows = rows.withColumn("_rows", F.count("*").over(own)).filter("_rows >= 5").drop("_rows")
     smooth = w(-c.stroke_smooth, c.stroke_smooth)
     seen = {h: F.col(f"{h}_x").isNotNull() & F.col(f"{h}_y").isNotNull() for h in HANDS}
     # A wrist that was not seen in the row itself is filled in from the rows around it.
@@ -221,14 +235,7 @@ def stroke_proposals(pose: DataFrame, serve_times: DataFrame, keys: list[str], c
         ahead = speed(F.lead("ms").over(order) - F.col("ms"), F.lead(x).over(order) - x, F.lead(y).over(order) - y)
         made |= {f"{h}_pre": F.sort_array(F.collect_list(at).over(pre)), f"{h}_post": F.collect_list(at).over(post), f"{h}_v": F.coalesce(F.greatest(back, ahead), F.lit(0.0)), f"{h}_el": F.percentile(F.col(f"{h}_elbow"), F.lit(0.5)).over(pre)}
     rows = rows.withColumns(made)
-    masks = serve_times.select(*keys, F.col("ms").alias("_sv"))
-    # Serves are the points, rows the bands around themselves; without keys a constant stands in for one.
-    tag = keys or ["_k"]
-    if not keys:
-        rows, masks = rows.withColumn("_k", F.lit(1)), masks.withColumn("_k", F.lit(1))
-    id_col = F.concat_ws("|", *tag, "actor_id", "ms")
-    rows = rows.withColumn("_id", id_col)
-    rows = band_semi(rows, "_id", masks, tag, "_sv", F.col("ms") - c.serve_mask, F.col("ms") + c.serve_mask, 4.0 * c.serve_mask, anti=True).drop("_id", "_k")
+    rows = rows.filter("not _masked").drop("_masked")
     hand = _hands(rows, ["over", "x", "y", "speed", "elbow", "sx", "sy", "pre", "post", "v", "el"])
     whole = F.col("sx").isNotNull() & (F.size("pre") >= 2) & (F.size("post") > 0) & F.col("elbow").isNotNull()
     half = F.greatest(F.lit(1), F.floor(F.size("pre") / 2).cast("int"))
