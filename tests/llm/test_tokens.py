@@ -80,6 +80,21 @@ def test_words_equal_library():
         assert g.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_words_are_encoded_by_their_pieces(monkeypatch):
+    """Forms of a word share its stem's entry, and the table starts anew without a change of ids."""
+    enc = wavelet.WordEncoder(WORDS)
+    forms = [w + m for w in ("stone", "Stone", "STONE", "Élan", "élan") for m in ("", ",", ".", "!?", ");")]
+    enc.encode(pa.array([" ".join(forms)]))
+    assert sorted(enc.known) == ["", "!?", ");", ",", ".", "stone", "élan"]
+    monkeypatch.setattr(wavelet, "TABLE_WORDS", 50)
+    lib, some = Tokenizer.from_file(WORDS), texts(500)
+    got = []
+    for i in range(0, len(some), 20):
+        ids, ends = enc.encode(pa.array(some[i : i + 20]))
+        got += [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_shard_lookups():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50, 200_000).astype(np.uint32)

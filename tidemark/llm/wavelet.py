@@ -14,9 +14,9 @@ manifest that Spark commits names the ones that count.
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,64 +35,82 @@ MAGIC = b"TWM1"
 BLOCK_BITS = 1 << 16
 #: A shard is closed at so many tokens; one longer document is a shard of its own.
 SHARD_TOKENS = 1 << 21
-#: Distinct words a worker holds before it starts its table anew.
+#: Distinct pieces of words a worker holds before it starts its table anew.
 TABLE_WORDS = 500_000
 
-# Latin words in lower case, with ASCII punctuation other than the apostrophe behind them.
-_SIMPLE = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+# Latin words, with ASCII punctuation other than the apostrophe behind them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\\[-`{-~]*$"
+_LOWER = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """The tokenizers library's ids of whole texts for a model that drops white space.
 
-    Texts are cut at ASCII white space, which no token crosses, and every distinct word is encoded once
-    per worker. Plain Latin words go straight to the library's model, all else through its pipeline. Texts
-    stay in Arrow buffers: a slice's words are numbered there and their ids gathered by position.
+    Texts are cut at ASCII white space, which no token crosses. A slice's distinct words are parted in Arrow: plain Latin
+    ones into a lower-case stem and the punctuation behind it, which go straight to the library's model, all else goes through its
+    pipeline whole. Stems, punctuation and odd words are encoded once per worker, and their ids lie in one array, from which
+    those of words and texts are gathered by position.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.words: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
-        self.stems: dict[str, np.ndarray] = {}
-
-    def stem(self, word: str) -> np.ndarray:
-        found = self.stems.get(word)
-        if found is None:
-            raw = word if word.isascii() else self.bytes_of(word)[0][0]
-            found = self.stems[word] = np.array([t.id for t in self.library.model.tokenize(raw)], np.uint32)
-        return found
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > TABLE_WORDS:
-            self.words = {"": self.words[""]}
-        if len(self.stems) > TABLE_WORDS:
-            self.stems.clear()
-        odd = []
-        for word in words:
-            if word not in self.words:
-                m = _SIMPLE.fullmatch(word.lower())
-                if m and "<|" not in word:
-                    own = self.stem(m[1])
-                    self.words[word] = np.concatenate([own, self.stem(m[2])]) if m[2] else own
-                else:
-                    odd.append(word)
-        for start in range(0, len(odd), 4096):
-            part = odd[start : start + 4096]
-            for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(e.ids, np.uint32)
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {ord(c): bytes_of(c)[0][0] for c in _LOWER}
+        self.clear()
+
+    def clear(self) -> None:
+        #: Where the ids of each known piece lie: its number, and by number the end in `flat`; number 0 is the empty piece.
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def stems(self, pieces: list[str]) -> Iterator[list[int]]:
+        tokenize = self.library.model.tokenize
+        for piece in pieces:
+            yield [t.id for t in tokenize(piece if piece.isascii() else piece.translate(self.spelled))]
+
+    def whole(self, words: list[str]) -> Iterator[list[int]]:
+        for start in range(0, len(words), 4096):
+            for e in self.library.encode_batch_fast(words[start : start + 4096], add_special_tokens=False):
+                yield e.ids
+
+    def numbers(self, pieces: pa.Array, encode: Callable[[list[str]], Iterator[list[int]]]) -> np.ndarray:
+        """The number of each piece; those not known yet are encoded."""
+        each = pc.dictionary_encode(pieces)
+        distinct = each.dictionary.to_pylist()
+        known, flat, ends = self.known, self.flat, self.ends
+        fresh = [p for p in distinct if p not in known]
+        for piece, ids in zip(fresh, encode(fresh), strict=True):
+            known[piece] = len(ends)
+            flat.extend(ids)
+            ends.append(len(flat))
+        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[each.indices.to_numpy()]
+
+    def pieces(self, words: pa.Array) -> np.ndarray:
+        """Two numbers of pieces for each word, one after the other."""
+        if len(self.known) > TABLE_WORDS:
+            self.clear()
+        plain = pc.and_(pc.match_substring_regex(words, _SIMPLE), pc.invert(pc.match_substring(words, "<|")))
+        of = plain.to_numpy(zero_copy_only=False)
+        lower = pc.utf8_lower(words.filter(plain))
+        out = np.zeros((len(words), 2), np.int64)
+        out[of, 0] = self.numbers(pc.ascii_rtrim(lower, _MARKS), self.stems)
+        out[of, 1] = self.numbers(pc.utf8_ltrim(lower, _LOWER), self.stems)
+        out[~of, 0] = self.numbers(words.filter(pc.invert(plain)), self.whole)
+        return out.ravel()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's ids end; null texts have none."""
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         numbered = pc.dictionary_encode(cut.flatten())
-        words = numbered.dictionary.to_pylist()
-        self.learn(words)
-        runs = [self.words[w] for w in words]
-        size = np.array([len(x) for x in runs], np.int64)
+        pieces = self.pieces(numbered.dictionary)
+        ends = np.array(self.ends)
+        begin = np.concatenate([[0], ends[:-1]])
+        lengths = ends - begin
+        runs, size = gather(np.array(self.flat, np.uint32), begin, lengths, pieces), lengths[pieces].reshape(-1, 2).sum(axis=1)
         place = numbered.indices.to_numpy()
-        ids = gather(np.concatenate(runs) if runs else np.zeros(0, np.uint32), np.cumsum(size) - size, size, place)
+        ids = gather(runs, np.cumsum(size) - size, size, place)
         upto = np.concatenate([[0], np.cumsum(size[place])])
         bounds = cut.offsets.to_numpy()
         return ids, upto[bounds[1:] - bounds[0]]
