@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import queries
 from tidemark.functions.geometry import box_iou
 from tidemark.operators import ranges, spatial, timeline
+from tidemark.plans import live
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +78,11 @@ def test_serves_make_their_windows_once(spark):
     """Poses are windowed once, into a table that suppression and result both read; what lies behind a row is not shuffled."""
     plan = planned(queries.queries()["serve_detection"](spark, SF))
     assert "collect_list(struct(ms" not in plan and "-1350" not in plan
+
+
+def test_bouts_run_their_windows_once(spark):
+    """Each pass over buckets reads its rows twice: what the bouts rest on is kept, not run again for each of them."""
+    rows = [(1, i * 200, ("LIVE_SEED", "BETWEEN_POINTS", "UNKNOWN")[i % 7 % 3], i * 200, i * 200, None) for i in range(50)]
+    states = spark.createDataFrame(rows, "match long, ms long, state string, evidence_start long, evidence_end long, between_start long")
+    plan = planned(live.bouts(states, ["match"]))
+    assert plan.count("Scan") <= 2 and "evidence_end" not in plan

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.islands import _running
 from tidemark.operators.prefix import carried
+from tidemark.sources.scratch import written
 
 
 def suppressed(df: DataFrame, keys: list[str], time: str, score: str, tie: str, radius: float, limit: int | None = None) -> DataFrame:
@@ -49,19 +50,22 @@ def bouts(df: DataFrame, keys: list[str], time: str, tie: str, state: str, betwe
     Whether a row closes what is open depends on the rows of its BETWEEN run and on the last live row only, not on what is
     open. So rows are numbered by the closing rows before them, and of each number the rows from the first seed on are a bout. bucket: parts of the
     time that one task sorts, all of a key in one if None.
+
+    A pass over buckets reads its rows twice. Rows are kept before each pass, as else df would run twice as often with each.
     """
+    keep = written if bucket is not None else lambda rows: rows
     t = F.col(time).cast("double")
     own = lambda c: F.coalesce(F.col(c).cast("double"), t) if c else t
     part = [] if bucket is None else [bucket.alias("_part")]
     at = None if bucket is None else F.col("_part")
-    rows = df.select(*keys, t.alias("_t"), F.col(tie).alias("_k"), F.col(state).alias("_s"), own(first).alias("_from"), own(last).alias("_to"), own(calm).alias("_calm"), *part)
+    rows = keep(df.select(*keys, t.alias("_t"), F.col(tie).alias("_k"), F.col(state).alias("_s"), own(first).alias("_from"), own(last).alias("_to"), own(calm).alias("_calm"), *part))
     live, idle, order = F.col("_s").isin(*LIVE), F.col("_s") == "BETWEEN_POINTS", ["_t", "_k"]
-    rows = carried(rows, keys, at, order, lasts={"_live_t": F.when(live, F.col("_t"))}, befores={"_before": F.col("_s")})
+    rows = keep(carried(rows, keys, at, order, lasts={"_live_t": F.when(live, F.col("_t"))}, befores={"_before": F.col("_s")}))
     fresh = idle & ~F.coalesce(F.col("_before") == "BETWEEN_POINTS", F.lit(False))
     rows = carried(rows, keys, at, order, lasts={"_run": F.when(fresh, F.struct("_t", "_calm"))})
     shut = F.when(idle, F.col("_t") - F.col("_run._t") >= between).when(~live, F.col("_t") - F.col("_live_t") > bridge)
-    rows = rows.withColumn("_shut", F.coalesce(shut, F.lit(False)).cast("long"))
-    rows = carried(rows, keys, at, order, before_sums={"_number": F.col("_shut")})
+    rows = keep(rows.withColumn("_shut", F.coalesce(shut, F.lit(False)).cast("long")))
+    rows = written(carried(rows, keys, at, order, before_sums={"_number": F.col("_shut")}))
     seed = F.when(F.col("_s") == "LIVE_SEED", F.struct("_t", "_k"))
     opened = rows.groupBy(*keys, "_number").agg(F.min(seed).alias("_seed")).filter("_seed is not null")
     place = F.struct("_t", "_k")

@@ -18,6 +18,7 @@ from tidemark.operators import folds
 from tidemark.operators.prefix import carried
 from tidemark.operators.ranges import band_pairs
 from tidemark.plans.service import opposite
+from tidemark.sources.scratch import written
 
 ENDS = ("near", "far")
 
@@ -78,6 +79,7 @@ def frames(players: DataFrame, keys: list[str], c: Evidence = Evidence(), times:
 def answers(events: DataFrame, seen: DataFrame, keys: list[str], c: Evidence = Evidence(), width: int = 60_000) -> DataFrame:
     """events with answer: when the other end first answers within the response times: its first active frame, or the second of
     its ready ones if that comes earlier. Null without one, or where the event's end is not known."""
+    events = written(events)  # read twice, and numbered by a pass that reads its own rows twice
     own = events.select(*keys, "event_no", F.col("ms").alias("_t"), opposite(F.col("end")).alias("_want")).filter("_want is not null")
     points = seen.select(*keys, F.col("ms").alias("_at"), *(f"{e}_{what}" for e in ENDS for what in ("ready", "active")))
     near = band_pairs(points, own, keys, "_at", F.col("_t") + c.answer_from, F.col("_t") + c.answer_to, width)
@@ -114,6 +116,7 @@ def windows(seen: DataFrame, events: DataFrame, keys: list[str], c: Evidence = E
         none = F.lit(None).cast("long")
         return rows.select(*keys, (at if begin is None else begin).alias("_begin"), (at if end is None else end).alias("_end"), at.cast("long").alias("at"), *(F.coalesce(counts.get(x, F.lit(0)).cast("long"), F.lit(0)).alias(x) for x in counted), (none if evidence is None else evidence).cast("long").alias("evidence"), (none if calm is None else calm).cast("long").alias("calm"))
 
+    events = written(events)  # read in five parts of the timeline
     t, one = F.col("ms"), F.lit(1)
     gap = t - F.col("back")
     paired = events.filter(gap.between(c.answer_from, c.answer_to))
