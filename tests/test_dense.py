@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark import queries
 from tidemark.functions.geometry import box_iou
 from tidemark.operators import ranges, spatial, timeline
-from tidemark.plans import live
+from tidemark.plans import live, motions
+from tidemark.queries.motions import _poses
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +87,11 @@ def test_bouts_run_their_windows_once(spark):
     states = spark.createDataFrame(rows, "match long, ms long, state string, evidence_start long, evidence_end long, between_start long")
     plan = planned(live.bouts(states, ["match"]))
     assert plan.count("Scan") <= 2 and "evidence_end" not in plan
+
+
+def test_poses_are_windowed_before_any_join(spark):
+    """Poses meet the frames of both ends as candidates only, and the serves' masks as rows of the timeline: they are shuffled once."""
+    pose = _poses(spark, SF)
+    plan = planned(motions.serve_candidates(pose, pose.select("match", "ms"), ["match"]))
+    assert plan.index("Join Inner") < plan.index("-1350")
+    assert "LeftOuter" not in planned(motions.stroke_proposals(pose, pose.select("match", "ms"), ["match"]))

@@ -104,7 +104,7 @@ def serve_candidates(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Th
     both = pose.select(*keys, "actor_id", "ms", F.lit(0).alias("_o")).distinct().unionByName(opposed.select(*keys, F.lit(None).cast(pose.schema["actor_id"].dataType).alias("actor_id"), "ms", F.lit(1).alias("_o")))
     around = F.sum("_o").over(Window.partitionBy(*keys).orderBy("ms").rangeBetween(-450, 450)) if keys else F.sum("_o").over(Window.orderBy("ms").rangeBetween(-450, 450))
     seen = both.withColumn("opposed", around).filter("_o = 0").select(*keys, "actor_id", "ms", "opposed")
-    rows = pose.join(seen, [*keys, "actor_id", "ms"])
+    rows = pose.dropna(subset=[*keys, "actor_id", "ms"])
     bent = (F.col("knee") <= c.knee_bend).cast("int")
     knees = [f(F.col("knee")).over(x) for x in (pre, w(0, 0), post) for f in (F.min, F.max)]
     mine = {h: (F.col("associated") & (F.col("racket_hand") == h)).cast("int") for h in HANDS}
@@ -134,6 +134,8 @@ def serve_candidates(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Th
         "follow": F.array_max(F.transform("after", away)),
         "follow_side": F.array_max(F.transform("after", lambda p: F.abs(p["x"] - F.col("x")))),
     })
+    # Only candidates need to know of opposed frames: they meet the timeline without the lists they were made of.
+    hand = setup_start(hand, c).drop("after").join(seen, [*keys, "actor_id", "ms"])
     drive = (F.col("leg_drive") >= c.leg_drive) | (F.col("recovery") >= 0.12) | (F.col("racket") > 0) | ((F.col("opposed") > 0) & (F.col("follow") >= 1.5 * c.follow))
     finish = (F.col("follow") >= c.follow) & ((F.col("follow_side") >= c.follow_side) | (F.col("racket") > 0) | (F.col("fast") >= 1.25 * c.hand_speed))
     ordered = (F.col("rise") >= c.rise) & (F.col("fast") >= c.hand_speed) & (F.col("load") + F.col("knee_bend") > 0) & finish & (F.col("span") <= c.setup_span) & drive
@@ -153,7 +155,6 @@ def serve_candidates(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Th
     out = hand.withColumns({"ordered": ordered, "_raw": score})
     out = out.withColumns({"accepted": F.col("ordered") & (F.col("_raw") >= c.serve_score), "score": F.bround("_raw", 4)})
     half = F.when(F.col("court_x") < COURT_WIDTH / 2, "left").otherwise("right")
-    out = setup_start(out, c)
     return out.select(*keys, "actor_id", "ms", "hand", "hand_no", "actor_end", half.alias("half"), "over", "rise", F.col("fast").alias("speed"), "follow", "follow_side", "load", "knee_bend", "leg_drive", "recovery", "span", "opposed", "racket", "ordered", "score", "accepted", "court_x", "setup_ms", "setup_source")
 
 
@@ -208,14 +209,16 @@ def stroke_proposals(pose: DataFrame, serve_times: DataFrame, keys: list[str], c
     Rows within serve_mask of a serve (keys, ms) are left out, as are actors with fewer than five rows."""
     w = _frames(keys)
     own = Window.partitionBy(*keys, "actor_id")
-    # Masked rows are found first, by their names alone: the windows' arrays are never shuffled. They stay for the windows of others.
+    # Masked rows are found by their names alone, which join the timeline as rows that only tell: poses are shuffled once, for all windows, and before what
+    # windows are made of is worked out. Masked rows stay for the windows of others.
     masks, names = serve_times.select(*keys, F.col("ms").alias("_sv")), pose.select(*keys, "actor_id", "ms").distinct()
     # Serves are the points, rows the bands around themselves; without keys a constant stands in for one.
     tag = keys or ["_k"]
     if not keys:
         names, masks = names.withColumn("_k", F.lit(1)), masks.withColumn("_k", F.lit(1))
     hit = band_pairs(masks, names, tag, "_sv", F.col("ms") - c.serve_mask, F.col("ms") + c.serve_mask, 4.0 * c.serve_mask).select(*keys, "actor_id", "ms").distinct()
-    rows = pose.join(hit.withColumn("_masked", F.lit(True)), [*keys, "actor_id", "ms"], "left").withColumn("_masked", F.coalesce("_masked", F.lit(False)))
+    told = pose.withColumns({"_pose": F.lit(True), "_masked": F.lit(False)}).unionByName(hit.dropna().withColumns({"_pose": F.lit(False), "_masked": F.lit(True)}), allowMissingColumns=True)
+    rows = told.withColumn("_masked", F.max("_masked").over(w(0, 0))).filter("_pose").drop("_pose")
     rows = rows.withColumn("_rows", F.count("*").over(own)).filter("_rows >= 5").drop("_rows")
     smooth = w(-c.stroke_smooth, c.stroke_smooth)
     seen = {h: F.col(f"{h}_x").isNotNull() & F.col(f"{h}_y").isNotNull() for h in HANDS}

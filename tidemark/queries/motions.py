@@ -47,7 +47,8 @@ def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     pose = written(_poses(spark, sf_dir))
     keys = ["match"]
     opposed = pose.groupBy("match", "ms").agg(F.countDistinct("actor_end").alias("ends")).filter("ends = 2").select("match", "ms")
-    tried = written(motions.serves(pose, opposed, keys))
+    # Poses are dealt before the windows are planned: what these are made of is worked out behind the shuffle and does not pass through it.
+    tried = written(motions.serves(pose.repartition(*keys, "actor_id"), opposed, keys))
     end = F.when(F.col("actor_id") % 2 == 0, "near").otherwise("far").alias("end")
     hits = written(motions.strokes(pose, tried.filter("accepted").select("match", "ms"), keys).select("match", F.col("top").alias("ms"), "actor_id", "session", end))
     seconds = lambda c: (F.col(c) / 1000).cast("double")
