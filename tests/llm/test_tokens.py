@@ -2,6 +2,7 @@ import hashlib
 import random
 import uuid
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,26 @@ def test_pieces_of_pages_without_a_chunk(spark, rows):
         assert all(r.ids_sha256 == r.decoded_sha256 == nothing for r in got.values() if not r.n_tokens)
 
 
+def test_pieces_of_a_page_are_cut_in_parts(monkeypatch):
+    held = []
+
+    def logged(some):
+        held.append(sum(len((t or "").encode()) for t in some.to_pylist()))
+        return own(some)
+
+    own = pieces.chunks_of
+    monkeypatch.setattr(pieces, "chunks_of", logged)
+    monkeypatch.setattr(pieces, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    rows = [None, "", *(" ".join(f"w{i * j % 9973}" for j in range(500)) for i in range(2000)), *texts(), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["_text"])
+    (page,) = pieces._numbered(iter([batch]), 7)
+    _, _, part, counts, codes, chunks, bucket = page
+    assert sum(held) > 4 << 20 and max(held) <= pieces.PAGE_BYTES // 8 and part.num_rows == len(rows)
+    whole, n = own(batch.column("_text"))
+    assert chunks.take(pa.array(codes)).equals(whole) and counts.tolist() == n.tolist()
+    assert len(chunks) == len(set(chunks.to_pylist())) == len(bucket) and bucket.max() < 7
+
+
 def test_pieces_segment_each_chunk_once(spark, monkeypatch, tmp_path):
     def logged(chunks, model):
         with open(tmp_path / uuid.uuid4().hex, "w") as f:

@@ -40,6 +40,8 @@ MARK = "▁"
 PAGE_BYTES = 8 << 20
 #: Text bytes to a bucket of the table of distinct chunks; the chunks themselves are a part of that.
 BUCKET_BYTES = 8 << 20
+#: Text bytes of a page that are cut into chunks at once (one text at least), and distinct chunks that are hashed at once.
+CUT_BYTES, HASHED = 1 << 20, 1 << 14
 #: Places of a page whose ids are gathered at once (one text at least).
 GATHERED = 1 << 18
 
@@ -69,7 +71,7 @@ def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     ends = np.frombuffer(ends, np.int32)[marked.offset : marked.offset + len(marked) + 1]
     space = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] == 32 if data is not None else np.zeros(0, bool)
     first = space.copy()
-    first[1:] &= ~space[:-1]
+    np.greater(space[1:], space[:-1], out=first[1:])
     first[(ends[:-1] - ends[0])[ends[1:] > ends[:-1]]] = True
     at = np.flatnonzero(first).astype(np.int32)
     offsets = np.append(at + ends[0], ends[-1]).astype(np.int32)
@@ -94,20 +96,38 @@ def of_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, int]:
+    """The number of the chunk at each place of a page, how many places each text has, the distinct chunks as they come, and
+    a digest of the text. Texts are cut CUT_BYTES at a time, so that a page's memory is its chunks and their numbers."""
+    found, counts, digest = [], [], xxhash.xxh64()
+    for part in batch_slices(iter([pa.RecordBatch.from_arrays([texts], ["_text"])]), "_text", CUT_BYTES):
+        chunks, n = chunks_of(part.column("_text"))
+        digest.update(chunks.buffers()[2])
+        found.append(chunks)
+        counts.append(n)
+    coded = pc.dictionary_encode(pa.chunked_array(found, pa.string())).chunks
+    place = np.concatenate([np.zeros(0, np.int32), *(x.indices.to_numpy() for x in coded)])
+    # All parts have one dictionary; there is none where no text has a chunk.
+    return place, np.concatenate(counts), coded[-1].dictionary if coded else pa.array([], pa.string()), digest.intdigest() - 2**63
+
+
 def _numbered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
     """Per page: its name (task and place in the task), a digest of its text, the rows, the chunks of each row, the number
     of the chunk at each place, the distinct chunks by number (commonest first) and the bucket of each."""
     task = TaskContext.get().partitionId() << 32
     for at, part in enumerate(batch_slices(batches, "_text", PAGE_BYTES)):
-        found, counts = chunks_of(part.column("_text"))
-        coded = pc.dictionary_encode(found)
-        place = coded.indices.to_numpy()
-        order = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
+        place, counts, chunks, digest = _coded(part.column("_text"))
+        order = np.argsort(-np.bincount(place, minlength=len(chunks)), kind="stable")
         number = np.empty(len(order), "<u4")
-        number[order] = np.arange(len(order))
-        chunks = coded.dictionary.take(pa.array(order))
-        bucket = (pd.util.hash_array(chunks.to_numpy(zero_copy_only=False), categorize=False) % buckets).astype("<u4")
-        yield task + at, xxhash.xxh64_intdigest(found.buffers()[2]) - 2**63, part, counts, number[place], chunks, bucket
+        number[order] = np.arange(len(order), dtype="<u4")
+        codes, chunks = number[place], chunks.take(pa.array(order))
+        del place, order, number
+        bucket = np.empty(len(chunks), "<u4")
+        for start in range(0, len(chunks), HASHED):
+            some = chunks.slice(start, HASHED).to_numpy(zero_copy_only=False)
+            bucket[start : start + HASHED] = pd.util.hash_array(some, categorize=False) % buckets
+        give_back()
+        yield task + at, digest, part, counts, codes, chunks, bucket
     give_back()
 
 
