@@ -52,6 +52,22 @@ def test_many_writers_at_once(spark, tmp_path):
     assert sorted(v for v, _ in won) == [2, 3, 4, 5] and all(versions.resolve(spark, root, v) == a for v, a in won)
 
 
+def test_writers_of_one_version_at_once(spark, tmp_path):
+    def write(root, attempt, start, won):
+        start.wait()
+        try:
+            won.append((versions.publish(spark, root, attempt, 0), attempt))
+        except versions.Stale:
+            pass
+
+    for turn in range(40):
+        root, won, start = f"file://{tmp_path}/{turn}", [], threading.Barrier(8)
+        threads = [threading.Thread(target=write, args=(root, f"{i:032x}", start, won)) for i in range(8)]
+        [t.start() for t in threads]
+        [t.join(60) for t in threads]
+        assert len(won) == 1 and versions.resolve(spark, root, 1) == won[0][1]
+
+
 def test_an_unwritten_pointer_is_no_version(spark, tmp_path):
     root = f"file://{tmp_path}/c"
     first(spark, root)

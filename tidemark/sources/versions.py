@@ -10,6 +10,7 @@ interleave. Versions never change, so a reader that has resolved one reads whole
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +42,35 @@ def publish(spark: SparkSession, root: str, attempt: str, parent: int) -> int:
     version = parent + 1
     fs, at = _path(spark, f"{root}/versions/{version:012d}")
     try:
-        out = fs.create(at, False)
+        if fs.getUri().getScheme() == "file":
+            _create_local(at.toUri().getPath(), attempt)
+        else:
+            out = fs.create(at, False)
+            out.write(attempt.encode())
+            out.close()
     except Exception as e:
         if not fs.exists(at):
             raise
         if resolve(spark, root, version) == attempt:
             return version
         raise Stale(f"version {version} of {root} is taken") from e
-    out.write(attempt.encode())
-    out.close()
     return version
 
 
+def _create_local(path: str, attempt: str) -> None:
+    """Create the file with its content, or raise FileExistsError. Hadoop's local file system looks whether a file is there and then creates
+    it, so two writers can both succeed; a link to a whole file is made by one only."""
+    folder, name = os.path.split(path)
+    os.makedirs(folder, exist_ok=True)
+    own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with open(own, "x") as f:
+        f.write(attempt)
+    try:
+        os.link(own, path)
+    finally:
+        os.unlink(own)
+
+
 def resolve(spark: SparkSession, root: str, version: int) -> str | None:
     """The attempt that a version names; None if there is no such version, or its name is not written yet."""
     fs, at = _path(spark, f"{root}/versions/{version:012d}")
