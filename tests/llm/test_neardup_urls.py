@@ -1,8 +1,10 @@
+import importlib
 import itertools
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from tidemark.llm import neardup, urlrules
 from tidemark.llm.components import components
@@ -34,6 +36,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [5, 100, 250_000])
+def test_components_with_and_without_steps(spark, monkeypatch, at_once):
+    monkeypatch.setattr(importlib.import_module("tidemark.llm.components"), "TASK_EDGES", at_once)
+    rng = np.random.default_rng(at_once)
+    edges = [(i, i + 1) for i in range(40)] + [(900 + i, 999) for i in range(30)] + [(-3, 2**62), (2**62, -(2**62))] + rng.integers(2000, 2080, (60, 2)).tolist()
+    real = [(a, b) for a, b in edges if a != b]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == closure({x for e in real for x in e}, real) and len(got) == len({x for e in real for x in e})
+
+
+def test_few_edges_take_few_jobs(spark):
+    """Every job costs the driver memory for a moment: a long path of few edges takes no round for each halving."""
+    context = spark.sparkContext
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    context.setJobGroup("few edges", "components")
+    try:
+        assert components(edges).count() == 201
+        assert len(context.statusTracker().getJobIdsForGroup("few edges")) <= 8
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_embeddings_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = np.random.default_rng(3)
