@@ -95,3 +95,13 @@ def test_poses_are_windowed_before_any_join(spark):
     plan = planned(motions.serve_candidates(pose, pose.select("match", "ms"), ["match"]))
     assert plan.index("Join Inner") < plan.index("-1350")
     assert "LeftOuter" not in planned(motions.stroke_proposals(pose, pose.select("match", "ms"), ["match"]))
+
+
+def test_points_send_no_growing_side_through_the_driver(spark):
+    ran = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda: {x.executionId(): x for x in map(ran.executionsList().apply, range(ran.executionsCount()))}
+    before = max(listed(), default=-1)
+    queries.queries()["point_decoding"](spark, SF).write.format("noop").mode("overwrite").save()
+    plans = [x.physicalPlanDescription() for i, x in listed().items() if i > before]
+    assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.islands import _running
 from tidemark.operators.prefix import carried
+from tidemark.operators.ranges import by_key
 from tidemark.sources.scratch import written
 
 
@@ -69,7 +70,7 @@ def bouts(df: DataFrame, keys: list[str], time: str, tie: str, state: str, betwe
     seed = F.when(F.col("_s") == "LIVE_SEED", F.struct("_t", "_k"))
     opened = rows.groupBy(*keys, "_number").agg(F.min(seed).alias("_seed")).filter("_seed is not null")
     place = F.struct("_t", "_k")
-    rows = rows.join(opened, [*keys, "_number"]).filter(place >= F.col("_seed"))
+    rows = rows.join(by_key(opened), [*keys, "_number"]).filter(place >= F.col("_seed"))
     ended = F.max(F.when(F.col("_shut") == 1, F.struct(idle.alias("calmed"), F.col("_run._calm").alias("calm"))))
     found = rows.groupBy(*keys, "_number").agg(F.min_by("_from", F.when(live, place)).alias("start"), F.max(F.when(live, F.col("_to"))).alias("_to"), F.count_if(live).alias("live_rows"), ended.alias("_shut"))
     end = F.when(F.col("_shut.calmed"), F.greatest("start", "_shut.calm")).otherwise(F.col("_to"))
@@ -92,7 +93,7 @@ def turns(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expect
     place = F.struct("_t", tie)
     right = F.col("_want").isNull() | (F.col(side) == F.col("_want"))
     starts = rows.groupBy(*keys).agg(F.min(F.when(right, place)).alias("_first"))
-    rows = rows.join(starts, keys)
+    rows = rows.join(by_key(starts), keys)
     # From the first row on, a row's side differs from that of the row before it or not.
     inside = place >= F.col("_first")
     order, at = ["_t", tie], None if bucket is None else F.col("_part")
@@ -101,11 +102,11 @@ def turns(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expect
     rows = carried(rows.withColumn("_head", head), keys, at, order, befores={"_last": F.when(F.col("_head"), F.col("_t"))})
     late = F.coalesce(F.col("_t") - F.col("_last") > gap, F.col("_t") - F.col("_after") > first_gap)
     stops = rows.groupBy(*keys).agg(F.min(F.when(late, place)).alias("_stop"))
-    rows = rows.join(stops, keys).filter(F.col("_stop").isNull() | (place < F.col("_stop")))
+    rows = rows.join(by_key(stops), keys).filter(F.col("_stop").isNull() | (place < F.col("_stop")))
     ended = stops.select(*keys, F.col("_stop").isNotNull().alias("stopped"), F.col("_stop._t").alias("stop_at"))
     counts = rows.groupBy(*keys).agg(F.count_if("_head").alias("accepted"), F.count_if(~F.col("_head")).alias("skipped"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.filter("_head").select(*df.columns), ended.join(counts, keys, "left").select(*keys, zero("accepted"), zero("skipped"), "stopped", "stop_at")
+    return rows.filter("_head").select(*df.columns), ended.join(by_key(counts), keys, "left").select(*keys, zero("accepted"), zero("skipped"), "stopped", "stop_at")
 
 
 def alternating_scan(df: DataFrame, keys: list[str], time: str, tie: str, side: str, expected: Column, after: Column, first_gap: float, gap: float, bucket: Column | None = None) -> DataFrame:

@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """df as a side of a join in which both sides grow with the input: both are shuffled by key, none is sent through the driver. Spark would take
+    the size of compressed files, or of a few columns of them, for that of the rows in memory, which can be a hundred times as large."""
+    return df.hint("merge")
+
+
 def _bucket(x: Column, width: float) -> Column:
     return F.floor(x / width)
 
@@ -26,7 +32,7 @@ def band_pairs(points: DataFrame, bands: DataFrame, keys: list[str], time: str,
     Both ends belong to the band, the lower one not if open_low. Other columns must not clash."""
     wide = _spread(bands.withColumns({"_low": low, "_high": high}), F.col("_low"), F.col("_high"), width)
     inside = (F.col(time) > F.col("_low")) if open_low else (F.col(time) >= F.col("_low"))
-    pairs = points.withColumn("_bucket", _bucket(F.col(time), width)).join(wide, [*keys, "_bucket"])
+    pairs = points.withColumn("_bucket", _bucket(F.col(time), width)).join(by_key(wide), [*keys, "_bucket"])
     return pairs.filter(inside & (F.col(time) <= F.col("_high"))).drop("_bucket", "_low", "_high")
 
 
@@ -68,7 +74,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: list[str], width: float, str
     left, right = _spread(a, F.col("a_start"), F.col("a_end"), width), _spread(b, F.col("b_start"), F.col("b_end"), width)
     begin = F.greatest("a_start", "b_start")
     meet = F.least("a_end", "b_end")
-    pairs = left.join(right, [*keys, "_bucket"]).filter(_bucket(begin, width) == F.col("_bucket"))
+    pairs = left.join(by_key(right), [*keys, "_bucket"]).filter(_bucket(begin, width) == F.col("_bucket"))
     return pairs.filter(begin < meet if strict else begin <= meet).drop("_bucket")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.folds import turns
 from tidemark.operators.prefix import carried
-from tidemark.operators.ranges import band_pairs
+from tidemark.operators.ranges import band_pairs, by_key
 from tidemark.plans.service import Limits, known_end, opposite, with_return
 from tidemark.sources.scratch import written
 
@@ -60,9 +60,10 @@ def decoded(hyp: DataFrame, strokes: DataFrame, keys: list[str], duration: float
     found = found.withColumn("seq", F.row_number().over(place)).withColumn("role", F.when(F.col("seq") == 1, "return").otherwise("exchange"))
     last = found.groupBy(*keys, "no").agg(F.max("t").alias("_last"))
     late = F.col("t") > F.col("live_start") + lim.mask
-    unknown = mine.filter(F.col("end").isNull() & late).join(went.select(*keys, "no", "stop_at"), [*keys, "no"], "left")
+    unknown = mine.filter(F.col("end").isNull() & late).join(by_key(went.select(*keys, "no", "stop_at")), [*keys, "no"], "left")
     unknown = unknown.filter(F.col("stop_at").isNull() | (F.col("t") < F.col("stop_at"))).groupBy(*keys, "no").agg(F.count("*").alias("_unknown"))
-    rows = rows.join(went, [*keys, "no"], "left").join(last, [*keys, "no"], "left").join(unknown, [*keys, "no"], "left")
+    for part in (went, last, unknown):
+        rows = rows.join(by_key(part), [*keys, "no"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     rows = rows.withColumns({
         "accepted_actions": F.when(F.col("kind") == "serve", zero("accepted")).otherwise(zero("seed_n")),
@@ -78,7 +79,7 @@ def decoded(hyp: DataFrame, strokes: DataFrame, keys: list[str], duration: float
     dropped = F.when(F.col("tail") > lim.tail + 1e-6, "unexplained_tail").when(F.col("end") - F.col("start") < lim.least, "too_short").when((F.col("kind") == "live_state") & ~F.col("has_bout"), "no_live_state")
     rows = written(rows.withColumn("dropped", dropped))
     counts = band_pairs(strokes.select(*keys, F.col("t").alias("_at")), rows.select(*keys, "no", F.col("start").alias("_a"), F.col("end").alias("_b")), keys, "_at", F.col("_a"), F.col("_b"), width)
-    rows = rows.join(counts.groupBy(*keys, "no").agg(F.count("*").alias("_raw")), [*keys, "no"], "left").withColumn("raw_actions", zero("_raw"))
+    rows = rows.join(by_key(counts.groupBy(*keys, "no").agg(F.count("*").alias("_raw"))), [*keys, "no"], "left").withColumn("raw_actions", zero("_raw"))
     columns = [*(c for c in hyp.columns if c != "live_end"), "live_end", "no", "next_start", "accepted_actions", "rejected_actions", "raw_actions", "last_action", "last_evidence", "end", "tail", "source", "confidence", "dropped"]
     return rows.select(*columns), found.select(*keys, "no", "seq", "role", "t", "stroke_id", "end")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import folds
 from tidemark.operators.prefix import carried
-from tidemark.operators.ranges import band_pairs
+from tidemark.operators.ranges import band_pairs, by_key
 from tidemark.plans.service import opposite
 from tidemark.sources.scratch import written
 
@@ -68,7 +68,7 @@ def frames(players: DataFrame, keys: list[str], c: Evidence = Evidence(), times:
         *(any_of(what, e).alias(f"{e}_{what}") for e in ENDS for what in ("ready", "active")),
     )
     if times is not None:
-        found = times.select(*keys, "ms").distinct().join(found, [*keys, "ms"], "left")
+        found = times.select(*keys, "ms").distinct().join(by_key(found), [*keys, "ms"], "left")
         found = found.withColumns({name: F.coalesce(name, F.lit(0).cast(kind)) for name, kind in found.dtypes if kind in ("bigint", "double") and name not in (*keys, "ms")})
         found = found.withColumns({name: F.coalesce(name, F.lit(False)) for name, kind in found.dtypes if kind == "boolean" and name not in keys})
     two = (F.col("visible") >= c.players) & F.col("near_seen") & F.col("far_seen") & F.col("_known")
@@ -86,7 +86,7 @@ def answers(events: DataFrame, seen: DataFrame, keys: list[str], c: Evidence = E
     of = lambda what: F.when(F.when(F.col("_want") == "near", F.col(f"near_{what}")).otherwise(F.col(f"far_{what}")), F.col("_at"))
     # Two smallest of the ready times: at most a response's frames, some twenty of them.
     found = near.groupBy(*keys, "event_no").agg(F.min(of("active")).alias("_active"), F.get(F.array_sort(F.collect_set(of("ready"))), F.lit(1)).alias("_second"))
-    return events.join(found.select(*keys, "event_no", F.least("_active", "_second").alias("answer")), [*keys, "event_no"], "left")
+    return events.join(by_key(found.select(*keys, "event_no", F.least("_active", "_second").alias("answer"))), [*keys, "event_no"], "left")
 
 
 def numbered(serves: DataFrame, strokes: DataFrame, keys: list[str], bucket: int = 60_000) -> DataFrame:

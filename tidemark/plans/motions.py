@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import TINY
 from tidemark.operators import folds, islands
-from tidemark.operators.ranges import band_pairs
+from tidemark.operators.ranges import band_pairs, by_key
 from tidemark.sources.scratch import written
 
 HANDS = ("left", "right")
@@ -135,7 +135,7 @@ def serve_candidates(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Th
         "follow_side": F.array_max(F.transform("after", lambda p: F.abs(p["x"] - F.col("x")))),
     })
     # Only candidates need to know of opposed frames: they meet the timeline without the lists they were made of.
-    hand = setup_start(hand, c).drop("after").join(seen, [*keys, "actor_id", "ms"])
+    hand = setup_start(hand, c).drop("after").join(by_key(seen), [*keys, "actor_id", "ms"])
     drive = (F.col("leg_drive") >= c.leg_drive) | (F.col("recovery") >= 0.12) | (F.col("racket") > 0) | ((F.col("opposed") > 0) & (F.col("follow") >= 1.5 * c.follow))
     finish = (F.col("follow") >= c.follow) & ((F.col("follow_side") >= c.follow_side) | (F.col("racket") > 0) | (F.col("fast") >= 1.25 * c.hand_speed))
     ordered = (F.col("rise") >= c.rise) & (F.col("fast") >= c.hand_speed) & (F.col("load") + F.col("knee_bend") > 0) & finish & (F.col("span") <= c.setup_span) & drive
@@ -194,7 +194,7 @@ def serves(pose: DataFrame, opposed: DataFrame, keys: list[str], c: Thresholds =
     # Needed twice: kept, as the windows over all poses would be made twice too.
     found = written(found.withColumn("_i", F.row_number().over(place)).withColumn("_rank", F.col("score") + F.when(F.col("accepted"), 10).otherwise(0)))
     kept = folds.suppressed(found.select(*keys, "ms", "_rank", "_i"), keys, "ms", "_rank", "_i", c.serve_apart)
-    return found.join(kept.select(*keys, "_i"), [*keys, "_i"], "left_semi").drop("_i", "_rank", "hand_no")
+    return found.join(by_key(kept.select(*keys, "_i")), [*keys, "_i"], "left_semi").drop("_i", "_rank", "hand_no")
 
 
 def _median(items: Column, field: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import overlap
-from tidemark.operators.ranges import band_pairs, overlap_pairs
+from tidemark.operators.ranges import band_pairs, by_key, overlap_pairs
 from tidemark.sources.scratch import written
 
 
@@ -63,7 +63,7 @@ def with_return(serves: DataFrame, strokes: DataFrame, keys: list[str], lim: Lim
     points = strokes.select(*keys, F.col("t").alias("_at"), F.col("end").alias("_end"))
     hit = band_pairs(points, s, keys, "_at", F.col("_t") + lim.mask, F.col("_t") + lim.first_return, width, open_low=True)
     hit = hit.filter(F.col("_end") == F.col("want")).select(*keys, "serve_id").distinct().withColumn("returned", F.lit(True))
-    return serves.join(hit, [*keys, "serve_id"], "left").withColumn("returned", F.coalesce("returned", F.lit(False)))
+    return serves.join(by_key(hit), [*keys, "serve_id"], "left").withColumn("returned", F.coalesce("returned", F.lit(False)))
 
 
 def service_groups(serves: DataFrame, keys: list[str], lim: Limits) -> DataFrame:
@@ -102,7 +102,7 @@ def _served(serves: DataFrame, bouts: DataFrame, keys: list[str], duration: floa
     # The bout that overlaps most, then the longer, then the earlier one.
     best = F.max(F.struct(size.alias("o"), (F.col("b_end") - F.col("b_start")).alias("d"), (-F.col("b_start")).alias("s"), F.col("b_end").alias("e"), F.col("transition").alias("t")))
     found = overlap_pairs(a, b, keys, width).groupBy(*keys, "group").agg(best.alias("best"))
-    rows = chosen.join(found, [*keys, "group"], "left").filter(F.col("returned") | F.col("best").isNotNull() | (F.coalesce("score", F.lit(0.0)) >= lim.unreturned_score))
+    rows = chosen.join(by_key(found), [*keys, "group"], "left").filter(F.col("returned") | F.col("best").isNotNull() | (F.coalesce("score", F.lit(0.0)) >= lim.unreturned_score))
     rows = written(rows.withColumn("live_end", F.coalesce("best.e", "strike")))
     kind = F.when(F.col("returned"), "returned_serve").when(F.col("best").isNotNull(), "serve_with_play").otherwise("unreturned_serve")
     out = rows.select(*keys, F.lit("serve").alias("kind"), F.col("setup").alias("start"), F.col("strike").alias("live_start"), "live_end", known_end(F.col("end")).alias("server_end"), "attempts", kind.alias("classification"), "serve_id", F.col("best").isNotNull().alias("has_bout"), F.col("best.t").alias("transition"), F.lit(0).cast("long").alias("seed_n"), F.lit(None).cast("double").alias("seed_last"))
@@ -113,11 +113,11 @@ def _unserved(bouts: DataFrame, covered: DataFrame, sequences: DataFrame, keys:
     """The hypothesis of each long bout that no service covers, from its longest exchange where it has one."""
     long = bouts.filter(F.col("end") - F.col("start") >= lim.candidate).select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"), "transition")
     gone = overlap_pairs(covered, long, keys, width).filter(overlap(*map(F.col, ("a_start", "a_end", "b_start", "b_end"))) > lim.same).select(*keys, "b_start", "b_end").distinct()
-    alone = long.join(gone, [*keys, "b_start", "b_end"], "left_anti")
+    alone = long.join(by_key(gone), [*keys, "b_start", "b_end"], "left_anti")
     inside = overlap_pairs(sequences.select(*keys, F.col("first").alias("a_start"), F.col("last").alias("a_end"), "n"), alone.select(*keys, (F.col("b_start") - lim.slack).alias("b_start"), (F.col("b_end") + lim.slack).alias("b_end"), F.col("b_start").alias("s"), F.col("b_end").alias("e")), keys, width)
     inside = inside.filter((F.col("a_start") >= F.col("b_start")) & (F.col("a_end") <= F.col("b_end")))
     seed = inside.groupBy(*keys, F.col("s").alias("b_start"), F.col("e").alias("b_end")).agg(F.max(F.struct("n", (-F.col("a_start")).alias("f"), F.col("a_end").alias("l"))).alias("seed"))
-    rows = alone.join(seed, [*keys, "b_start", "b_end"], "left").withColumn("first", -F.col("seed.f"))
+    rows = alone.join(by_key(seed), [*keys, "b_start", "b_end"], "left").withColumn("first", -F.col("seed.f"))
     begin = F.when(F.col("first").isNotNull(), F.greatest("b_start", F.col("first") - lim.lookback)).otherwise(F.col("b_start"))
     seeded = lambda yes, no: F.when(F.col("first").isNotNull(), yes).otherwise(no)
     return rows.select(

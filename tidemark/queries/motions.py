@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import roster
+from tidemark.operators.ranges import by_key
 from tidemark.plans import decode, live, motions, service
 from tidemark.queries.base import events, table
 from tidemark.sources.scratch import written
@@ -61,7 +62,7 @@ def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     bouts = live.bouts(live.windows(seen, events, keys), keys)
     hyp = service.point_hypotheses(serves, strokes, bouts, keys, float(1 << 20))
     ends = pose.groupBy("match").agg((F.max("ms") / 1000 + 1).alias("duration"))
-    return decode.decoded(hyp.join(ends, "match"), strokes, keys, F.col("duration"))[0]
+    return decode.decoded(hyp.join(by_key(ends), "match"), strokes, keys, F.col("duration"))[0]
 
 
 def point_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
